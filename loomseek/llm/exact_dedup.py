@@ -147,3 +147,10 @@ def drop_copies(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
     columns = [F.col("row")[c].alias(c) for c in docs.columns]
     alone = matched(rows.where("text IS NOT NULL"), suspects, key, "left_anti").drop(key)
     return kept.select(*columns).unionAll(alone.select(*docs.columns)).unionAll(docs.where("text IS NULL"))
+
+
+COPIES_SQL = """
+SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER w END AS keeper_id,
+  CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER w END AS copies,
+  CASE WHEN text IS NULL THEN false ELSE row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) > 1 END AS is_copy
+FROM documents WINDOW w AS (PARTITION BY text)"""

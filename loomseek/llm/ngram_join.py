@@ -472,11 +472,16 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     return matched(docs.withColumn(key, F.xxhash64("text")), gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def shingles_sql(n: int) -> str:
-    """DuckDB: (unit, text's n-grams) as this module defines them, for n = 3."""
-    assert n == 3
-    return """
-    SELECT text, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-      ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS grams
-    FROM (SELECT DISTINCT text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)"""
-
+#: DuckDB: what near_pairs gives at n = 3 and threshold 0.5.
+PAIRS_SQL = """
+WITH words AS (SELECT text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, list_sort(list(doc_id) FILTER (doc_id IS NOT NULL)) AS ids
+               FROM documents WHERE text IS NOT NULL GROUP BY text),
+units AS (SELECT row_number() OVER (ORDER BY text) AS u, ids, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS grams FROM words),
+grams AS (SELECT u, unnest(grams) AS g FROM units),
+shared AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.u < b.u GROUP BY ALL),
+pairs AS (SELECT x.ids AS xi, y.ids AS yi, c / (len(x.grams) + len(y.grams) - c) AS j
+          FROM shared JOIN units x ON x.u = a JOIN units y ON y.u = b
+          WHERE c >= 0.5 * (len(x.grams) + len(y.grams) - c) AND len(x.ids) > 0 AND len(y.ids) > 0)
+SELECT least(xi[1], yi[1]) AS doc_id_a, CASE WHEN xi[1] <= yi[1] THEN yi ELSE xi END AS doc_ids_b, round(j, 6) AS jaccard FROM pairs
+UNION ALL SELECT ids[1], ids[2:], 1.0 FROM units WHERE len(ids) > 1"""
