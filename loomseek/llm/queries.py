@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomseek.llm import exact_dedup, ngram_join, toxicity
+from loomseek.llm import exact_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).select("doc_id", "tox_score", "toxic")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", mixing.token_count(F.col("text")).alias("words"))
+    return mixing.balanced_sample(docs, tokens=F.col("words")).drop("words")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_documents(spark, sf_dir).select("doc_id", "text"), exact="exact")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(_documents(spark, sf_dir))
 
@@ -29,6 +39,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
 }
