@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseek.llm import exact_dedup, ngram_join, toxicity
+from loomseek.llm import exact_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
 from loomseek.llm.shared import shared_folder
 
 #: No SQL: a trained classifier, a balanced sample and a tokenizer are among the stages.
@@ -26,7 +26,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A balanced sample: sources in the ratio of their tokens to the power 0.7."""
+    return mixing.balanced_sample(docs, only_selected=True)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their texts."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_text),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
