@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import exact_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
+from loomseek.llm import exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, sentencepiece_codec, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +37,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_documents(spark, sf_dir))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op6_ngram_jaccard": ngram_join.PAIRS_SQL,
     "op8_exact_dedup": exact_dedup.COPIES_SQL,
+    "op10_line_dedup": line_dedup.LINES_SQL,
 }
