@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, sentencepiece_codec, toxicity
+from loomseek.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, sentencepiece_codec, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balanced_sample(docs, tokens=F.col("words")).drop("words")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_documents(spark, sf_dir).select("doc_id", "text"), exact="exact")
 
@@ -33,6 +37,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(_documents(spark, sf_dir))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filter.fit(url_filter.sample_labelled(pages, url_filter.seed_label(F.col("url"))))
+    return url_filter.classify(pages, model)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_documents(spark, sf_dir))
 
@@ -48,8 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_chat_format": op3_chat_format,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
