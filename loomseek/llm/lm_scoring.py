@@ -269,8 +269,9 @@ def _estimates(b: Block, folder: str, total: int) -> tuple[np.ndarray, ...]:
     n1 = np.maximum(c1[scored - 1] - 1, 0)
     n2 = np.where(b.start[scored] > 1, np.maximum(c2[scored - 1] - 1, 0), 0)
     p1 = (c1[scored] - 1) / max(1, total - 1)
-    p2 = np.where(n1 > 0, (c2[scored] - 1) / np.maximum(n1, 1), 0.0)
-    p3 = np.where(n2 > 0, (c3[scored] - 1) / np.maximum(n2, 1), 0.0)
+    # n-grams of equal hash can be counted more often than their contexts: no estimate is above 1
+    p2 = np.where(n1 > 0, np.minimum((c2[scored] - 1) / np.maximum(n1, 1), 1.0), 0.0)
+    p3 = np.where(n2 > 0, np.minimum((c3[scored] - 1) / np.maximum(n2, 1), 1.0), 0.0)
     return p1, p2, p3, n1, n2
 
 

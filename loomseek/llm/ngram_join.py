@@ -3,8 +3,10 @@
 Exact, with adaptive multi-match prefixes. A text with a set of size s overlaps any partner in at least
 o = ceil(t s) n-grams, so of two partners, each of which puts its s - o + l first n-grams (in one global order, rare ones
 first) into its prefix, at least l are in both prefixes. Each text chooses its own l: a longer prefix costs more
-entries, but a pair must then share min(l, l') of them before it is verified. The choice minimises the estimated cost, entries
-plus candidates to verify, from a sketch of n-gram frequencies over the whole corpus.
+entries, but a pair must then share more of them before it is verified: min(l, l'), and also the overlap that sets of just
+these two sizes need, less the longer of the two rests outside the prefixes (what is shared up to the end of the prefix
+that ends first lies in both). The choice minimises the estimated cost, entries plus candidates to verify, from a sketch
+of n-gram frequencies over the whole corpus.
 
 Plan: (1) a frequency sketch of fixed size, summed by chunk; (2) prefixes, packed into one binary row for each task and
 range of hashes and shuffled once by range; (3) pairs within ranges, their shared counts packed and summed by pair;
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def _sketch(n: int):
         if any_:
             packed = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
             # one text counts once in a cell, so a task of fewer than 65536 texts never meets the limit of its cells
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in packed], pa.binary())], ["chunk", "counts"])
 
     return run
 
@@ -65,7 +68,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(b.as_buffer(), "<u2").astype(np.int64)
+            x = np.frombuffer(zstandard.decompress(b.as_buffer()), "<u2").astype(np.int64)
             total[chunk] = total[chunk] + x if chunk in total else x
     for chunk, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([x.astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
@@ -91,6 +94,13 @@ def overlap_needed(size: np.ndarray | int, threshold: float) -> np.ndarray:
     return np.maximum(1, np.ceil(np.asarray(size) * threshold - 1e-9)).astype(np.int64)
 
 
+def shared_needed(size_a: np.ndarray, size_b: np.ndarray, matches_a: np.ndarray, matches_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Least number of n-grams that the prefixes of two partners of these sizes share."""
+    both = np.ceil((size_a + size_b) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+    rest = np.maximum(overlap_needed(size_a, threshold) - matches_a, overlap_needed(size_b, threshold) - matches_b)
+    return np.maximum(np.minimum(matches_a, matches_b).astype(np.int64), both - rest)
+
+
 def choose_prefix(cls: np.ndarray, threshold: float) -> tuple[int, int]:
     """(matches, length) of the prefix of one set, whose n-grams have the classes ``cls`` in the global order.
 
@@ -227,7 +237,8 @@ def _pairs(threshold: float, parts: int):
         code, n = total
         for i in range(0, len(code), 1_000_000):
             c, k = code[i: i + 1_000_000], n[i: i + 1_000_000]
-            yield from _pack_pairs(unit[c // len(unit)], unit[c % len(unit)], k, np.minimum(matches[c // len(unit)], matches[c % len(unit)]), parts)
+            x, y = c // len(unit), c % len(unit)
+            yield from _pack_pairs(unit[x], unit[y], k, shared_needed(size[x], size[y], matches[x], matches[y], threshold), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
@@ -249,7 +260,7 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, p
     part = ((a ^ (b >> np.int64(7))).view(np.uint64) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((b, a, part))
     a, b, part = a[order], b[order], part[order]
-    n, need = np.minimum(n[order], 255).astype(np.uint8), need[order].astype(np.uint8)
+    n, need = (np.minimum(x[order], 65535).astype("<u2") for x in (n, need))
     edge = np.searchsorted(part, np.arange(parts + 1))
     some = np.flatnonzero(np.diff(edge))
     blob = [struct.pack("<I", edge[p + 1] - edge[p]) + b"".join(x[edge[p]: edge[p + 1]].tobytes() for x in (a, b, n, need)) for p in some]
@@ -265,7 +276,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in blobs:
             (m,) = struct.unpack_from("<I", x)
             at = 4
-            for col, kind in zip(cols, ("<i8", "<i8", np.uint8, np.uint8), strict=True):
+            for col, kind in zip(cols, ("<i8", "<i8", "<u2", "<u2"), strict=True):
                 col.append(np.frombuffer(x, kind, m, at))
                 at += col[-1].nbytes
         a, b, n, need = (np.concatenate(c) for c in cols)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, sentencepiece_codec, toxicity, url_filter
+from loomseek.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, neighbours, ngram_join, sentencepiece_codec, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_documents(spark, sf_dir).select("doc_id", "text"), exact="exact")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_chat_format": op3_chat_format,
+    "op4_neighbours": op4_neighbours,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filter": op7_url_filter,
