@@ -243,7 +243,7 @@ def nearest(rows: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str
              .repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_search(dims, k, parts), "part int, data binary")
              .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(k), "id_ long, neighbours array<long>, cosines array<float>"))
     found = written(found, f"{shared_folder(spark, 'neighbours')}/found")
-    usable = (F.size("vector_") == dims) & F.forall("vector_", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector_", lambda v: v != 0)
+    usable = F.col("id_").isNotNull() & (F.size("vector_") == dims) & F.forall("vector_", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector_", lambda v: v != 0)
     return (source.select("id_", F.coalesce(usable, F.lit(False)).alias("usable_")).join(found, "id_", "left")
             .select(F.col("id_").alias(id_column),
                     *[F.when(F.col("usable_"), F.coalesce(F.col(c), F.array().cast(t))).alias(c) for c, t in (("neighbours", "array<long>"), ("cosines", "array<float>"))]))

@@ -51,7 +51,7 @@ def windows(texts: list[str], width: int) -> tuple[bytes, np.ndarray, np.ndarray
     A window begins at the first space at or after each multiple of ``width`` bytes and ends where the next begins,
     so that windows cover the text; a word longer than that makes its window longer.
     """
-    coded = [(" " + normal(t) + " ").encode("utf-8", "replace") for t in texts]
+    coded = [(" " + n + " ").encode("utf-8", "replace") if n else b"" for n in map(normal, texts)]
     data = b"".join(coded)
     bounds = np.concatenate([[0], np.cumsum([len(b) for b in coded])])
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
