@@ -147,7 +147,7 @@ def cosine_scan(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, d
     norms = np.sqrt((query_matrix**2).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if query_ids else ():
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
                 v = part.column(2)
