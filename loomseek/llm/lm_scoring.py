@@ -12,7 +12,7 @@ in the shared folder by block. So the corpus is counted with two shuffles of pac
 
 Definitions. Words are runs of letters and numbers in lower case; every text begins and ends with a boundary, and the one at its end is
 scored as a word. A null text has null scores, an empty one the score of its end. Rows alike are scored alike, each a part of the
-corpus. N-grams are told apart by 40 bits of hash within a range.
+corpus. N-grams are told apart by 36 bits of hash within a range (which has about a million of them).
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseek.llm.shared import filesystem, mix, shared_folder, slices, tasks, word_hashes, written
+from loomseek.llm.shared import filesystem, mix, release, shared_folder, slices, tasks, word_hashes, written
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _EDGE = np.uint64(0x51A7E0B5D9F3C62B)
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_LOW = np.uint64((1 << 40) - 1)
+_BITS = np.uint64(36)
+_LOW = np.uint64((1 << 36) - 1)
 _NONE = 127
 _ROUNDS = 60
 
@@ -67,7 +68,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             valid = text.is_valid().to_numpy(zero_copy_only=False)
             lens = np.concatenate(lens)
             flat = np.concatenate(parts)[np.repeat(valid, lens)]
-            vocab, codes = np.unique(flat, return_inverse=True)
+            vocab, codes, often = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small codes, which pack well
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            vocab, codes = vocab[order], place[codes]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
                  pa.array([np.where(valid, lens, -1)], pa.list_(pa.int32())), pa.array([vocab.tobytes()], pa.binary()), pa.array([_pack(codes)], pa.binary())],
@@ -91,7 +96,7 @@ class Block:
         self.start = np.arange(len(self.words)) - np.repeat(begin, own)  # position within its text
 
     def grams(self, n: int) -> np.ndarray:
-        """Range and 40 bits of the n-gram that ends at each position; meaningless at the first n - 1 of a text."""
+        """Range and 36 bits of the n-gram that ends at each position; meaningless at the first n - 1 of a text."""
         w = self.words
         with np.errstate(over="ignore"):
             if n == 1:
@@ -100,7 +105,7 @@ class Block:
                 h = mix(np.concatenate([[_EDGE], w[:-1]])[: len(w)] * _B + w * _C)
             else:
                 h = mix(np.concatenate([[_EDGE] * 2, w[:-2]])[: len(w)] * _A + np.concatenate([[_EDGE], w[:-1]])[: len(w)] * _B + w * _C)
-        return ((h >> np.uint64(40)) % np.uint64(self.parts)) << np.uint64(40) | h & _LOW
+        return ((h >> np.uint64(40)) % np.uint64(self.parts)) << _BITS | h & _LOW
 
     def asked(self, n: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams at the chosen positions in order, the index of each position's one, and their counts in the block."""
@@ -109,7 +114,7 @@ class Block:
 
 
 def _requests(block: int, kind: int, keys: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    part = (keys >> np.uint64(40)).astype(np.int64)
+    part = (keys >> _BITS).astype(np.int64)
     start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for i, j in zip(start, [*start[1:], len(part)]):
         low = keys[i:j] & _LOW
@@ -288,21 +293,41 @@ def _value(q: np.ndarray) -> np.ndarray:
     return np.where(q == _NONE, 0.0, 2.0 ** (-np.asarray(q, np.float64) / 2))
 
 
-def _histogram(folder: str, total: int):
-    """How often the positions of a block have these buckets and estimates, the latter rounded to half octaves."""
+def _counted(*columns: np.ndarray) -> pa.RecordBatch:
+    code = columns[0]
+    for x in columns[1:]:
+        code = code << 7 | x
+    code, n = np.unique(code, return_counts=True)
+    out = [code >> 7 * k & 127 for k in range(len(columns) - 1, -1, -1)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in out), pa.array(n.astype(np.int64))], [*"xyz"[: len(columns)], "n"])
+
+
+def _low_histogram(folder: str, total: int):
+    """How often the positions of a block have these p1 and p2 (rounded to half octaves) and bucket of the word before."""
+
+    def run(b: Block) -> pa.RecordBatch:
+        p1, p2, _, n1, _ = _estimates(b, folder, total)
+        return _counted(half_octave(p1), half_octave(p2), bucket(n1))
+
+    return run
+
+
+def _high_histogram(folder: str, words: int, total: int, l1: float, l2: np.ndarray):
+    """How often they have these P2 and p3 and bucket of the two words before."""
 
     def run(b: Block) -> pa.RecordBatch:
         p1, p2, p3, n1, n2 = _estimates(b, folder, total)
-        code = half_octave(p1)
-        for x in (half_octave(p2), bucket(n1), half_octave(p3), bucket(n2)):
-            code = code << 7 | x
-        code, n = np.unique(code, return_counts=True)
-        cols = [code >> 28, code >> 21 & 127, code >> 14 & 127, code >> 7 & 127, code & 127, n]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["q1", "q2", "b2", "q3", "b3", "n"])
+        return _counted(half_octave(_mixed(p1, p2, n1, words, l1, l2)), half_octave(p3), bucket(n2))
 
     return run
 
 
+def _mixed(p1: np.ndarray, p2: np.ndarray, n1: np.ndarray, words: int, l1: float, l2: np.ndarray) -> np.ndarray:
+    """P2 at each position."""
+    w = l2[bucket(n1)]
+    return w * p2 + (1 - w) * (l1 * p1 + (1 - l1) / (words + 1))
+
+
 def learn(high: np.ndarray, low: np.ndarray, bucket_: np.ndarray, n: np.ndarray, buckets: int = 64) -> np.ndarray:
     """Expectation-maximisation: for each bucket the weight of ``high`` against ``low`` that makes the n events likeliest; 0 for bucket 0."""
     weight = np.full(buckets, 0.5)
@@ -316,35 +341,26 @@ def learn(high: np.ndarray, low: np.ndarray, bucket_: np.ndarray, n: np.ndarray,
 
 
 def fit(blocks: DataFrame, parts: int, folder: str, words: int, total: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """The weights l1, l2 by bucket, l3 by bucket. The driver sees histograms, whose size has a bound that no corpus changes."""
-    spark = blocks.sparkSession
-    hist = blocks.mapInArrow(_each_block(parts, _histogram(folder, total)), "q1 long, q2 long, b2 long, q3 long, b3 long, n long")
-    hist = written(hist.groupBy("q1", "q2", "b2", "q3", "b3").agg(F.sum("n").alias("n")), f"{folder}/histogram")
-
-    def cells(df: DataFrame, *by: str) -> list[np.ndarray]:
-        got = df.groupBy(*by).agg(F.sum("n").alias("n")).orderBy(*by).toArrow()
-        return [got[c].to_numpy().astype(np.int64) for c in (*by, "n")]
-
-    q1, n = cells(hist, "q1")
-    even = 1 / (words + 1)
-    l1 = float(learn(_value(q1), np.full(len(q1), even), np.ones(len(q1), np.int64), n)[1]) if len(q1) else 0.5
-    q1, q2, b2, n = cells(hist, "q1", "q2", "b2")
-    low = l1 * _value(q1) + (1 - l1) * even
-    l2 = learn(_value(q2), low, b2, n)
-    p2 = half_octave(l2[b2] * _value(q2) + (1 - l2[b2]) * low)
-    table = spark.createDataFrame([tuple(map(int, x)) for x in zip(q1, q2, b2, p2)], "q1 long, q2 long, b2 long, low long")
-    low, q3, b3, n = cells(hist.join(F.broadcast(table), ["q1", "q2", "b2"]), "low", "q3", "b3")
+    """The weights l1, l2 by bucket, l3 by bucket. The driver sees histograms of 128 x 128 x 64 cells at most, whatever the corpus."""
+
+    def cells(fn: Callable[[Block], pa.RecordBatch]) -> list[np.ndarray]:
+        rows = blocks.mapInArrow(_each_block(parts, fn), "x int, y int, z int, n long")
+        got = rows.groupBy("x", "y", "z").agg(F.sum("n").alias("n")).orderBy("x", "y", "z").toArrow()
+        return [got[c].to_numpy().astype(np.int64) for c in ("x", "y", "z", "n")]
+
+    q1, q2, b2, n = cells(_low_histogram(folder, total))
+    even = np.full(len(q1), 1 / (words + 1))
+    l1 = float(learn(_value(q1), even, np.ones(len(q1), np.int64), n)[1])
+    l2 = learn(_value(q2), l1 * _value(q1) + (1 - l1) * even, b2, n)
+    low, q3, b3, n = cells(_high_histogram(folder, words, total, l1, l2))
     return l1, l2, learn(_value(q3), _value(low), b3, n)
 
 
 def _scores(folder: str, words: int, total: int, l1: float, l2: np.ndarray, l3: np.ndarray):
     def run(b: Block) -> pa.RecordBatch:
         p1, p2, p3, n1, n2 = _estimates(b, folder, total)
-        p = l1 * p1 + (1 - l1) / (words + 1)
-        w = l2[bucket(n1)]
-        p = w * p2 + (1 - w) * p
         w = l3[bucket(n2)]
-        p = w * p3 + (1 - w) * p
+        p = w * p3 + (1 - w) * _mixed(p1, p2, n1, words, l1, l2)
         n = np.maximum(b.lens - 1, 0)
         sums = np.bincount(np.repeat(np.arange(len(n)), n), np.log(p), len(n))
         null = b.lens < 0
@@ -363,6 +379,8 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, _BLOCKS), f"{folder}/blocks")
     counts = f"{folder}/counts"
     words, total = _ask(blocks, parts, counts, _first_requests)
+    release(spark)
     _ask(blocks, parts, counts, _second_requests(counts))
+    release(spark)
     l1, l2, l3 = fit(blocks, parts, counts, words, total)
     return blocks.mapInArrow(_each_block(parts, _scores(counts, words, total, l1, l2, l3)), "doc_id long, n_scored long, log_prob double, perplexity double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files: Spark deletes them when the driver's garbage, which has their last handles, is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle of the size that the session is tuned for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
