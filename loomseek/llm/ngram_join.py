@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseek.llm.shared import fresh, matched, ngram_hashes, shared_folder, slices, small, tasks, word_hashes, written
+from loomseek.llm.shared import fresh, matched, ngram_hashes, release, shared_folder, slices, small, tasks, word_hashes, written
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent as CHUNKS rows by each task and broadcast as a byte each (4 MB).
 SKETCH_BITS, CHUNKS = 22, 16
 MOST_MATCHES = 8
 _KEY_BITS = 40
-_BLOCK = 1024
+_BLOCK = 4096
 _VERIFY_COST = 0.05
 
 
@@ -101,13 +101,6 @@ def shared_needed(size_a: np.ndarray, size_b: np.ndarray, matches_a: np.ndarray,
     return np.maximum(np.minimum(matches_a, matches_b).astype(np.int64), both - rest)
 
 
-def shared_needed(size_a: np.ndarray, size_b: np.ndarray, matches_a: np.ndarray, matches_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Least number of n-grams that the prefixes of two partners of these sizes share."""
-    both = np.ceil((size_a + size_b) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
-    rest = np.maximum(overlap_needed(size_a, threshold) - matches_a, overlap_needed(size_b, threshold) - matches_b)
-    return np.maximum(np.minimum(matches_a, matches_b).astype(np.int64), both - rest)
-
-
 def choose_prefix(cls: np.ndarray, threshold: float) -> tuple[int, int]:
     """(matches, length) of the prefix of one set, whose n-grams have the classes ``cls`` in the global order.
 
@@ -270,22 +263,34 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, p
     n, need = (np.minimum(x[order], 65535).astype("<u2") for x in (n, need))
     edge = np.searchsorted(part, np.arange(parts + 1))
     some = np.flatnonzero(np.diff(edge))
-    blob = [struct.pack("<I", edge[p + 1] - edge[p]) + b"".join(x[edge[p]: edge[p + 1]].tobytes() for x in (a, b, n, need)) for p in some]
+    blob = [_squeeze(*(x[edge[p]: edge[p + 1]] for x in (a, b, n, need))) for p in some]
     if len(some):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blob, pa.binary())], ["part", "data"])
 
 
+def _squeeze(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> bytes:
+    """Sorted pairs in little space: the units once, then steps between their places, as compressed byte planes."""
+    units, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = back[: len(a)].astype(np.int64), back[len(a):].astype(np.int64)
+    cols = np.stack([np.diff(left, prepend=0), np.diff(right, prepend=0) & 0xFFFFFFFF, n, need]).astype("<u4")
+    planes = np.ascontiguousarray(cols.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1))
+    return struct.pack("<II", len(units), len(a)) + units.astype("<i8").tobytes() + zstandard.compress(planes.tobytes(), 1)
+
+
+def _unsqueeze(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k, m = struct.unpack_from("<II", x)
+    units = np.frombuffer(x, "<i8", k, 8)
+    planes = np.frombuffer(zstandard.decompress(x[8 + 8 * k:]), np.uint8).reshape(4, 4, m)
+    cols = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(4, m)
+    left, right = np.cumsum(cols[0].astype(np.int64)), np.cumsum(cols[1].view("<i4").astype(np.int64))
+    return units[left], units[right], cols[2], cols[3]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the shared counts of each pair and keeps those with enough."""
 
     def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for x in blobs:
-            (m,) = struct.unpack_from("<I", x)
-            at = 4
-            for col, kind in zip(cols, ("<i8", "<i8", "<u2", "<u2"), strict=True):
-                col.append(np.frombuffer(x, kind, m, at))
-                at += col[-1].nbytes
+        cols = zip(*(_unsqueeze(x) for x in blobs), strict=True)
         a, b, n, need = (np.concatenate(c) for c in cols)
         order = np.lexsort((b, a))
         a, b, n, need = a[order], b[order], n[order].astype(np.int64), need[order]
@@ -373,6 +378,7 @@ def unit_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataF
     """Verified pairs of unit keys: a, b, overlap, unions (sizes of intersection and union)."""
     spark = units.sparkSession
     found = candidate_pairs(units, n, threshold, folder)
+    release(spark)
     # Blocks: a unit's hub is its least partner (or itself), a pair belongs to the lesser hub of its two; near copies of one
     # text so come to one block, which gets each text once. Large hubs are split into pairs of chunks.
     both = found.unionAll(found.select("b", "a"))
