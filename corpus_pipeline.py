@@ -11,28 +11,41 @@ from loomseek.llm.shared import shared_folder
 ORACLE_SQL: str | None = None
 
 
+#: Rows of whole documents that go to a Python worker at once; keeps executors with little memory within it.
+BATCH_ROWS = "2000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; null and empty texts stay."""
+    _small_batches(spark)
     model = toxicity.fit(toxicity.sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     flag = "toxic_flag_"
     return toxicity.classify(docs, model, "tox_score_", flag).where(f"NOT {flag}").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A balanced sample: sources in the ratio of their tokens to the power 0.7."""
+    _small_batches(spark)
     return mixing.balanced_sample(docs, only_selected=True)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their texts."""
+    _small_batches(spark)
     return sentencepiece_codec.encode(docs)
 
 
