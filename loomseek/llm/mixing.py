@@ -53,10 +53,11 @@ def flight(pi: np.ndarray, tokens: np.ndarray, seed: int) -> np.ndarray:
     the chances that keep the expectation, until one of them is 0 or 1 and the next takes its place.
     """
     out = pi.astype(np.float64).copy()
+    out[out <= _NEAR], out[out >= 1 - _NEAR] = 0.0, 1.0
     with np.errstate(over="ignore"):
         chance = (mix(np.arange(len(out) + 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % (1 << 64))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
     chance = chance.tolist()
-    open_ = [(float(out[i]), float(tokens[i]), i) for i in np.flatnonzero((out > _NEAR) & (out < 1 - _NEAR))]
+    open_ = [(float(out[i]), float(tokens[i]), i) for i in np.flatnonzero((out > 0) & (out < 1))]
     hand: list[tuple[float, float, int]] = []
     turn = 0
     for unit in open_:

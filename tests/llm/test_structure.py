@@ -21,6 +21,8 @@ def test_flight_keeps_totals():
     assert abs(out.sum() - pi.sum()) < 1e-6 and abs(out @ tokens - pi @ tokens) < 1e-3
     landed = mixing.land(pi, tokens, 5)
     assert set(np.unique(landed)) <= {0.0, 1.0} and abs(landed.sum() - pi.sum()) <= 2
+    nearly = np.append(np.full(100, 1 - 1e-16), np.full(100, np.nextafter(1.0, 0)))
+    assert (mixing.land(np.append(nearly, 1e-12), np.ones(201), 1) == np.append(np.ones(200), 0)).all()
     assert set(np.unique(mixing.land(np.full(7, 0.5), np.full(7, 3.0), 1))) <= {0.0, 1.0}
 
 
