@@ -31,7 +31,7 @@ class ToxicityModel:
     ordinary: bytes
     threshold: float
     ratio: tuple[float, ...] = field(repr=False, default=())
-    window: int = 96
+    window: int = 64
     level: int = 9
 
 
@@ -40,9 +40,10 @@ def normal(text: str) -> str:
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(
-        level=level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-        write_content_size=False, write_checksum=False, write_dict_id=False)
+    # matches of 6 bytes or more: shorter ones are common syllables, which any text shares with some mark
+    params = zstandard.ZstdCompressionParameters.from_level(
+        level, source_size=128, dict_size=len(content), min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
 
 def windows(texts: list[str], width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -82,9 +83,15 @@ def gains(texts: list[str], toxic, ordinary, width: int) -> tuple[np.ndarray, np
     return sizes(ordinary) - sizes(toxic), owner
 
 
-def _marks(own: Counter, other: Counter, n_own: int, n_other: int, rate: float, size: int, lift: float = 4.0) -> bytes:
+_STEM = 5
+
+
+def _marks(own: Counter, other: Counter, n_own: int, n_other: int, rate: float, size: int, lift: float, stems: tuple[Counter, Counter]) -> bytes:
     """Content of one class: the words that are in a share ``rate`` of its texts and ``lift`` times more often than in the other's, the commonest last, where offsets are cheapest."""
-    words = [w for w in own if own[w] >= max(2, rate * n_own) and own[w] * n_other > lift * (other[w] + 1) * n_own]
+    words = [w for w in own if own[w] >= max(4, rate * n_own) and own[w] * n_other > lift * (other[w] + 1) * n_own]
+    stems_own, stems_other = stems
+    # words that merely begin like many words of the other class would save bytes there too
+    words = [w for w in words if stems_own[w[:_STEM]] * n_other > lift / 2 * (stems_other[w[:_STEM]] + 1) * n_own]
     words.sort(key=lambda w: (-own[w], w))
     seen: set[bytes] = set()
     out, used = [], 0
@@ -106,8 +113,8 @@ def _common(samples: list[bytes], size: int) -> bytes:
     return b" ".join(samples)[:256]
 
 
-def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.005, window: int = 96, level: int = 9,
-        mark_bytes: int = 1000, common_bytes: int = 4096, mark_rate: float = 0.02) -> ToxicityModel | None:
+def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: int = 64, level: int = 9,
+        mark_bytes: int = 1000, common_bytes: int = 4096, mark_rate: float = 0.02, mark_lift: float = 12.0) -> ToxicityModel | None:
     """Train on (text, toxic) pairs. Half of them make the dictionaries, a quarter the ratios, a quarter the threshold.
 
     ``false_rate``: share of held-out ordinary texts that may exceed the threshold. None without 4 rows of each class.
@@ -124,25 +131,43 @@ def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.005, window: i
         return Counter(w for t in texts for w in set(normal(t).split()))
 
     t_in, c_in = presence(t_dict), presence(c_dict)
+    t_stem, c_stem = (Counter(x for t in texts for x in {w[:_STEM] for w in normal(t).split()}) for texts in (t_dict, c_dict))
     sample = [normal(t).encode("utf-8", "replace") for t in c_dict]
     common = _common([s[i: i + 100_000] for s in sample for i in range(0, len(s), 100_000)], common_bytes)
-    toxic_content = common + _marks(t_in, c_in, len(t_dict), len(c_dict), mark_rate, mark_bytes)
-    plain_content = common + _marks(c_in, t_in, len(c_dict), len(t_dict), mark_rate, mark_bytes)
+    toxic_content = common + _marks(t_in, c_in, len(t_dict), len(c_dict), mark_rate, mark_bytes, mark_lift, (t_stem, c_stem))
+    plain_content = common + _marks(c_in, t_in, len(c_dict), len(t_dict), mark_rate, mark_bytes, mark_lift, (c_stem, t_stem))
     a, b = _compressor(toxic_content, level), _compressor(plain_content, level)
 
     def histogram(texts: list[str]) -> np.ndarray:
-        x = np.full(HIGH - LOW + 1, 0.5)
+        x = np.zeros(HIGH - LOW + 1)
         for i in range(0, len(texts), _SLICE_DOCS):
             g, _ = gains(texts[i: i + _SLICE_DOCS], a, b, window)
             x += np.bincount(np.clip(g, LOW, HIGH) - LOW, minlength=len(x))
-        return x / x.sum()
+        return x
 
-    ratio = np.log(histogram(t_ratio) / histogram(c_ratio))
+    ratio = rising_ratio(histogram(t_ratio), histogram(c_ratio))
     held = scores(c_held, a, b, ratio, window)
     at = min(len(held) - 1, int(np.ceil((1 - false_rate) * len(held))))
     return ToxicityModel(toxic_content, plain_content, float(max(0.0, np.sort(held)[at])), tuple(map(float, ratio)), window, level)
 
 
+def rising_ratio(toxic: np.ndarray, clean: np.ndarray, weight: float = 30.0) -> np.ndarray:
+    """Log-likelihood ratio by gain from two histograms, which never falls as the gain rises.
+
+    Rare gains lean on all windows taken together (as ``weight`` windows), so that a gain seen in one class alone says
+    little; neighbours out of order are pooled.
+    """
+    every = (toxic + clean + 0.01) / (toxic + clean + 0.01).sum()
+    t, c = (toxic + weight * every) / (toxic.sum() + weight), (clean + weight * every) / (clean.sum() + weight)
+    groups: list[list[float]] = []  # toxic share, clean share, number of gains
+    for x, y in zip(t, c, strict=True):
+        groups.append([x, y, 1])
+        while len(groups) > 1 and groups[-2][0] * groups[-1][1] > groups[-1][0] * groups[-2][1]:
+            x_, y_, n = groups.pop()
+            groups[-1] = [groups[-1][0] + x_, groups[-1][1] + y_, groups[-1][2] + n]
+    return np.repeat([np.log(x / y) for x, y, _ in groups], [int(n) for _, _, n in groups])
+
+
 def scores(texts: list[str], toxic, ordinary, ratio: np.ndarray, width: int) -> np.ndarray:
     """By text: the sum of its windows' log-likelihood ratios; 0 for a text without words."""
     out = np.zeros(len(texts))
