@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,7 +32,7 @@ from loomseek.llm.shared import fresh, slices
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_MOST_CACHED = 400_000
+_MOST_CACHED = 120_000  # units, and pairs, that a worker remembers: some 30 MB each
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -111,7 +112,7 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None) for p in self.reached}
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, array] = {}
         raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(SPACE, " ").encode()
                for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._raw = pa.array(raw, pa.large_binary())
@@ -207,7 +208,7 @@ class Codec:
         cuts = [i for i in range(len(text)) if inside[i]] + [len(text)]
         return [text[i:j] for i, j in zip(cuts, cuts[1:])]
 
-    def unit(self, text: str) -> list[int]:
+    def unit(self, text: str) -> list[int] | array:
         """Ids of one unit (spaces already replaced)."""
         found = self._cache.get(text)
         if found is not None:
@@ -225,7 +226,7 @@ class Codec:
         if len(self._cache) > _MOST_CACHED:
             self._cache.clear()
         if len(text) <= 64:
-            self._cache[text] = out
+            self._cache[text] = array("i", out)
         return out
 
     def _unknown(self, part: str) -> list[int]:
@@ -239,7 +240,7 @@ class Codec:
             return []
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         if not self.splits:
-            return self.unit(text)
+            return list(self.unit(text))
         return [i for u in _UNIT.findall(text) for i in self.unit(u)]
 
     def encode_array(self, texts: pa.Array) -> pa.ListArray:
@@ -333,6 +334,7 @@ def _encoder(path: str, column: str, ids: str, exact: str | None):
                 if exact is not None:
                     more.append(pc.equal(codec.decode_array(coded), own))
                 yield pa.RecordBatch.from_arrays([*cols, *more], [*keep, ids, f"n_{ids}", *([exact] if exact is not None else [])])
+        pa.default_memory_pool().release_unused()
 
     return run
 
