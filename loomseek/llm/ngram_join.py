@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseek.llm.shared import fresh, matched, ngram_hashes, release, shared_folder, slices, small, tasks, word_hashes, written
+from loomseek.llm.shared import fresh, matched, mix, ngram_hashes, release, shared_folder, slices, small, tasks, word_hashes, written
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent as CHUNKS rows by each task and broadcast as a byte each (4 MB).
 SKETCH_BITS, CHUNKS = 22, 16
@@ -179,7 +179,7 @@ def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
     return (*out, low.view("<u8").ravel())
 
 
-def _pairs(threshold: float, parts: int):
+def _pairs(threshold: float, bits: int, parts: int):
     """Within each range of hashes: pairs of units, how many prefix n-grams they share there, how many they need."""
 
     def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def _pairs(threshold: float, parts: int):
         for i in range(0, len(code), 1_000_000):
             c, k = code[i: i + 1_000_000], n[i: i + 1_000_000]
             x, y = c // len(unit), c % len(unit)
-            yield from _pack_pairs(unit[x], unit[y], k, shared_needed(size[x], size[y], matches[x], matches[y], threshold), parts)
+            yield from _pack_pairs(unit[x], unit[y], k, shared_needed(size[x], size[y], matches[x], matches[y], threshold), bits, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
@@ -255,12 +255,13 @@ def _pairs(threshold: float, parts: int):
     return run
 
 
-def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    part = ((a ^ (b >> np.int64(7))).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    a, b = (x.view(np.uint64) >> np.uint64(64 - bits) for x in (a, b))
+    a, b = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+    part = (mix(a.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((b, a, part))
     a, b, part = a[order], b[order], part[order]
-    n, need = (np.minimum(x[order], 65535).astype("<u2") for x in (n, need))
+    n, need = (np.minimum(x[order], 65535) for x in (n, need))
     edge = np.searchsorted(part, np.arange(parts + 1))
     some = np.flatnonzero(np.diff(edge))
     blob = [_squeeze(*(x[edge[p]: edge[p + 1]] for x in (a, b, n, need))) for p in some]
@@ -269,21 +270,21 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, p
 
 
 def _squeeze(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> bytes:
-    """Sorted pairs in little space: the units once, then steps between their places, as compressed byte planes."""
-    units, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = back[: len(a)].astype(np.int64), back[len(a):].astype(np.int64)
-    cols = np.stack([np.diff(left, prepend=0), np.diff(right, prepend=0) & 0xFFFFFFFF, n, need]).astype("<u4")
+    """Sorted pairs in little space: steps from one to the next, as compressed byte planes."""
+    step = np.diff(a, prepend=0)
+    cols = np.stack([step, np.where(step == 0, np.diff(b, prepend=0), b), n, need]).astype("<u4")
     planes = np.ascontiguousarray(cols.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1))
-    return struct.pack("<II", len(units), len(a)) + units.astype("<i8").tobytes() + zstandard.compress(planes.tobytes(), 1)
+    return struct.pack("<I", len(a)) + zstandard.compress(planes.tobytes(), 3)
 
 
 def _unsqueeze(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    k, m = struct.unpack_from("<II", x)
-    units = np.frombuffer(x, "<i8", k, 8)
-    planes = np.frombuffer(zstandard.decompress(x[8 + 8 * k:]), np.uint8).reshape(4, 4, m)
-    cols = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(4, m)
-    left, right = np.cumsum(cols[0].astype(np.int64)), np.cumsum(cols[1].view("<i4").astype(np.int64))
-    return units[left], units[right], cols[2], cols[3]
+    (m,) = struct.unpack_from("<I", x)
+    planes = np.frombuffer(zstandard.decompress(x[4:]), np.uint8).reshape(4, 4, m)
+    step, b, n, need = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(4, m).astype(np.int64)
+    total = np.cumsum(b)
+    first = np.flatnonzero(np.append(True, step[1:] != 0))
+    base = np.repeat(total[first] - b[first], np.diff(np.append(first, m)))
+    return np.cumsum(step), total - base, n, need
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(new)
-        keep = start[np.add.reduceat(n, start) >= need[start]] if len(start) else start
+        keep = start[np.add.reduceat(n, start) >= np.minimum.reduceat(need, start)] if len(start) else start
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     current, blobs = None, []
@@ -363,15 +364,25 @@ def _verify(n: int, threshold: float):
 
 
 def candidate_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
-    """Pairs (a, b) of unit keys, a < b, that share enough prefix n-grams; no pair that reaches the threshold is missing."""
+    """Pairs (a, b) of unit keys, a < b, that share enough prefix n-grams; no pair that reaches the threshold is missing.
+
+    Shared counts are summed under the leading bits of the keys, a few more than tell the units apart; where two units
+    have the same, their counts add up, which can only make more candidates.
+    """
     spark = units.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(units, n))
     parts = tasks(spark)
+    keys = written(units.select("unit").distinct(), f"{folder}/keys")
+    bits = min(32, max(8, keys.count().bit_length() + 3))
     data = (units.select("text", "unit").mapInArrow(_prefixes(classes, n, threshold, parts), "part int, data binary")
             .repartition(parts, "part").sortWithinPartitions("part")
-            .mapInArrow(_pairs(threshold, parts), "part int, data binary")
+            .mapInArrow(_pairs(threshold, bits, parts), "part int, data binary")
             .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "a long, b long"))
-    return written(data, f"{folder}/candidates")
+    found = written(data, f"{folder}/shared")
+    place = F.shiftrightunsigned("unit", 64 - bits)
+    full = (found.join(keys.select(place.alias("a"), F.col("unit").alias("ua")), "a").join(keys.select(place.alias("b"), F.col("unit").alias("ub")), "b")
+            .where("a <> b OR ua < ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")))
+    return written(full, f"{folder}/candidates")
 
 
 def unit_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
