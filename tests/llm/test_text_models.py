@@ -47,6 +47,16 @@ def test_toxicity_held_out(docs):
     assert flags[1000] == {False} and flags[1001] == {False}
 
 
+def test_toxicity_passage_in_long_text(docs):
+    texts = made_texts(1200, 1)
+    model = toxicity.fit(texts[:800])
+    clean = [w for t, y in texts[800:] if not y for w in t.split()]
+    clean = (clean * (20_000 // len(clean) + 1))[:20_000]
+    passage = [w for t, y in texts[800:] if y for w in t.split()][:500]
+    rows = [(1, " ".join(clean)), (2, " ".join(clean[:9_000] + passage + clean[9_000:])), (3, " ".join(passage + clean)), (4, " ".join(clean + passage))]
+    assert {r.doc_id: r.toxic for r in toxicity.classify(docs(rows), model).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
 def test_toxicity_without_training(docs):
     assert toxicity.fit([]) is None
     got = toxicity.classify(docs([(1, "a"), (2, None)]), None).collect()
