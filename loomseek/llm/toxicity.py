@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled rows, one of toxic and one of ordinary text; both end in
-the content that zstandard's own trainer picks from ordinary text, so that they differ only in what marks a class.
+Two zstandard dictionaries are trained on labelled rows, one on toxic and one on ordinary text, each on the stretches that
+its class has far more often than the other; both begin with what the trainer picks from whole ordinary texts, so that
+they differ only in what marks a class.
 Every text is cut into windows of whole words, and each window is compressed with both. How much shorter the toxic
 dictionary makes it says how toxic the window is; held-out rows turn that gain into a log-likelihood ratio. A text is
 judged by the run of consecutive windows whose ratios have the greatest sum, so that ordinary text around a toxic
@@ -11,6 +12,7 @@ places gets about that much by chance. Held-out rows set the threshold, at a cho
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -90,22 +92,60 @@ def gains(texts: list[str], toxic, ordinary, width: int) -> tuple[np.ndarray, np
 _STEM = 5
 
 
-def _marks(own: Counter, other: Counter, n_own: int, n_other: int, rate: float, size: int, lift: float, stems: tuple[Counter, Counter]) -> bytes:
-    """Content of one class: the words that are in a share ``rate`` of its texts and ``lift`` times more often than in the other's, the commonest last, where offsets are cheapest."""
-    words = [w for w in own if own[w] >= max(4, rate * n_own) and own[w] * n_other > lift * (other[w] + 1) * n_own]
-    stems_own, stems_other = stems
+def _terms(text: str) -> set[str]:
+    """Words, and phrases of two."""
+    words = normal(text).split()
+    return {*words, *map(" ".join, itertools.pairwise(words))}
+
+
+def _frequent(texts: list[str], least: float) -> Counter:
+    """Number of texts by term, for terms in ``least`` texts or more. Hashed counts come first, so that memory doesn't grow with the rare ones."""
+    few = np.zeros(1 << 20, np.int32)
+    for t in texts:
+        few[list({hash(x) % len(few) for x in _terms(t)})] += 1
+    often = (few >= least).tolist()
+    found = Counter(x for t in texts for x in _terms(t) if often[hash(x) % len(often)])
+    return Counter({x: n for x, n in found.items() if n >= least})
+
+
+def _stems(texts: list[str]) -> Counter:
+    return Counter(x for t in texts for x in {w[:_STEM] for w in normal(t).split()})
+
+
+def _marks(own: list[str], other: list[str], rate: float, lift: float) -> set[str]:
+    """Words and phrases that are in a share ``rate`` of one class's texts (4 at least) and ``lift`` times more often than in the other's."""
+    found = _frequent(own, max(4, rate * len(own)))
+    there = Counter(x for t in other for x in _terms(t) & found.keys())
+    marks = {x for x, n in found.items() if n * len(other) > lift * (there[x] + 1) * len(own)}
+    stems_own, stems_other = _stems(own), _stems(other)
     # words that merely begin like many words of the other class would save bytes there too
-    words = [w for w in words if stems_own[w[:_STEM]] * n_other > lift / 2 * (stems_other[w[:_STEM]] + 1) * n_own]
-    words.sort(key=lambda w: (-own[w], w))
-    seen: set[bytes] = set()
-    out, used = [], 0
-    for w in words:
-        b = (" " + w.strip(".,;:!?\"'()")).encode("utf-8", "replace")
-        if len(b) > 2 and b not in seen and used + len(b) <= size:
-            seen.add(b)
-            out.append(b)
-            used += len(b)
-    return b"".join(reversed(out)) + b" "
+    return {x for x in marks if " " in x or stems_own[x[:_STEM]] * len(other) > lift / 2 * (stems_other[x[:_STEM]] + 1) * len(own)}
+
+
+def _telling(texts: list[str], marks: set[str]) -> list[bytes]:
+    """The stretches of the texts that consist of marks. All else is alike in both classes and would fill the dictionaries."""
+    out = []
+    for t in texts:
+        words = normal(t).split()
+        told = [w in marks for w in words]
+        for i, pair in enumerate(itertools.pairwise(words)):
+            if " ".join(pair) in marks:
+                told[i] = told[i + 1] = True
+        for tells, run in itertools.groupby(zip(told, words, strict=True), lambda x: x[0]):
+            if tells:
+                out.append(f" {' '.join(w for _, w in run)} ".encode("utf-8", "replace"))
+    return out
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary by zstandard's trainer; if it finds too little text even for a small one, the distinct samples, the commonest last."""
+    at = size
+    while at >= 256:
+        try:
+            return zstandard.train_dictionary(at, samples, k=32, d=6).as_bytes()
+        except zstandard.ZstdError:
+            at //= 2
+    return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
 
 
 def _common(samples: list[bytes], size: int) -> bytes:
@@ -118,7 +158,7 @@ def _common(samples: list[bytes], size: int) -> bytes:
 
 
 def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: int = 64, level: int = 9,
-        mark_bytes: int = 1000, common_bytes: int = 4096, mark_rate: float = 0.02, mark_lift: float = 12.0) -> ToxicityModel | None:
+        mark_bytes: int = 1536, common_bytes: int = 4096, mark_rate: float = 0.005, mark_lift: float = 12.0) -> ToxicityModel | None:
     """Train on (text, toxic) pairs. Half of them make the dictionaries, a quarter the ratios, a quarter the threshold.
 
     ``false_rate``: share of held-out ordinary texts that may exceed the threshold. None without 4 rows of each class.
@@ -131,15 +171,10 @@ def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: i
     cut = lambda xs: (xs[0::2], xs[1::4], xs[3::4] or xs[1::4])
     (t_dict, t_ratio, _), (c_dict, c_ratio, c_held) = cut(toxic), cut(clean)
 
-    def presence(texts: list[str]) -> Counter:
-        return Counter(w for t in texts for w in set(normal(t).split()))
-
-    t_in, c_in = presence(t_dict), presence(c_dict)
-    t_stem, c_stem = (Counter(x for t in texts for x in {w[:_STEM] for w in normal(t).split()}) for texts in (t_dict, c_dict))
     sample = [normal(t).encode("utf-8", "replace") for t in c_dict]
     common = _common([s[i: i + 100_000] for s in sample for i in range(0, len(s), 100_000)], common_bytes)
-    toxic_content = common + _marks(t_in, c_in, len(t_dict), len(c_dict), mark_rate, mark_bytes, mark_lift, (t_stem, c_stem))
-    plain_content = common + _marks(c_in, t_in, len(c_dict), len(t_dict), mark_rate, mark_bytes, mark_lift, (c_stem, t_stem))
+    toxic_content = common + _trained(_telling(t_dict, _marks(t_dict, c_dict, mark_rate, mark_lift)), mark_bytes)
+    plain_content = common + _trained(_telling(c_dict, _marks(c_dict, t_dict, mark_rate, mark_lift)), mark_bytes)
     a, b = _compressor(toxic_content, level), _compressor(plain_content, level)
 
     def histogram(texts: list[str]) -> np.ndarray:

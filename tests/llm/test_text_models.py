@@ -57,6 +57,31 @@ def test_toxicity_passage_in_long_text(docs):
     assert {r.doc_id: r.toxic for r in toxicity.classify(docs(rows), model).collect()} == {1: False, 2: True, 3: True, 4: True}
 
 
+def test_toxicity_trained_on_phrases():
+    """Ordinary words that only toxic texts have side by side."""
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 9))) for _ in range(300)]
+
+    def made(k):
+        w = [r.choice(words) for _ in range(100)]
+        if k % 4 == 0:
+            for i in range(0, 100, 10):
+                w[i: i + 2] = words[:2]
+        return " ".join(w), int(k % 4 == 0)
+
+    texts = [made(k) for k in range(1200)]
+    model = toxicity.fit(texts[:800])
+    a, b = (toxicity._compressor(x, model.level) for x in (model.toxic, model.ordinary))
+    flags = toxicity.scores([t for t, _ in texts[800:]], a, b, np.array(model.ratio), model.window) > model.threshold
+    toxic = np.array([y for _, y in texts[800:]]) == 1
+    assert flags[toxic].mean() > 0.9 and flags[~toxic].mean() < 0.03
+
+
+def test_toxicity_marks_of_few_texts():
+    toxic = ["calm words here"] * 990 + ["calm words gnarfle"] * 10
+    assert toxicity._marks(toxic, ["calm words here"] * 2000, 0.005, 12.0) >= {"gnarfle", "words gnarfle"}
+
+
 def test_toxicity_without_training(docs):
     assert toxicity.fit([]) is None
     got = toxicity.classify(docs([(1, "a"), (2, None)]), None).collect()
