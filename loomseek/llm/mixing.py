@@ -1,7 +1,7 @@
 """Mixing sources to target weights by the cube method.
 
 Every row of a source has the same inclusion probability, so that the expected tokens of the sources are in the ratio
-of the target weights. Balanced sampling then walks the vector of probabilities through the null space of the
+of the target weights, but for sources that run out and are kept whole. Balanced sampling then walks the vector of probabilities through the null space of the
 constraints (documents and tokens of each source) until nearly all are 0 or 1, first within each batch of rows where they
 are read, then over what is left of each source, then over what is left of all. The landing decides the last two.
 
@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from loomseek.llm.shared import fresh, mix, shared_folder, small, written
 
 _NEAR = 1e-9
+#: Part of the weight whose sources, the first to run out, may be kept whole without holding the others down.
+SCARCE = 0.1
 _NONE = "\u0000"
 
 
@@ -34,16 +36,32 @@ def token_count(text: Column) -> Column:
 
 
 def inclusion(totals: dict[str, int], weights: dict[str, float] | None = None, temperature: float = 0.7) -> dict[str, float]:
-    """Inclusion probability by source: as many tokens as there can be with no source above 1, in the ratio of the weights.
+    """Inclusion probability by source, in the ratio of the weights but for sources that run out: these are kept whole and the others get the rest of their share.
 
-    Without ``weights``, a source's weight is its share of tokens to the power ``temperature``: 1 keeps all, 0 levels the sources.
-    A source without tokens is kept whole, as it weighs nothing.
+    The sample is as large as the sources allow that hold all of the weight but SCARCE: those that run out before,
+    however small, don't set its size. Without ``weights``, a source's weight is its share of tokens to the power
+    ``temperature``: 1 keeps all, 0 levels the sources. A source without tokens is kept whole, as it weighs nothing.
     """
     if weights is None:
         weights = {s: float(n) ** temperature for s, n in totals.items() if n > 0}
-    rates = [totals[s] / w for s, w in weights.items() if w > 0 and totals.get(s, 0) > 0]
-    budget = min(rates, default=0.0)
-    return {s: min(1.0, budget * weights.get(s, 0.0) / n) if n > 0 else float(weights.get(s, 1.0) > 0) for s, n in totals.items()}
+    used = sorted((s for s, w in weights.items() if w > 0 and totals.get(s, 0) > 0), key=lambda s: (totals[s] / weights[s], s))
+    share = sum(weights[s] for s in used)
+    scarce = 0.0
+    rest = 0.0  # tokens to draw
+    for s in used:
+        scarce += weights[s]
+        if scarce > SCARCE * share:
+            rest = totals[s] / weights[s] * share
+            break
+    level = 0.0  # tokens for a weight of 1
+    for s in used:
+        level = rest / share
+        if totals[s] / weights[s] > level:
+            break
+        rest, share = max(0.0, rest - totals[s]), share - weights[s]
+        if share <= 0:
+            break
+    return {s: min(1.0, level * weights.get(s, 0.0) / n) if n > 0 else float(weights.get(s, 1.0) > 0) for s, n in totals.items()}
 
 
 def flight(pi: np.ndarray, tokens: np.ndarray, seed: int) -> np.ndarray:

@@ -59,6 +59,15 @@ def test_mixing_weights(docs):
     assert mixing.inclusion({}) == {} and mixing.inclusion({"a": 0}) == {"a": 1.0}
 
 
+def test_mixing_tiny_source_leaves_the_rest(docs):
+    got = mixing.inclusion({"tiny": 100, mixing._NONE: 7, "hot": 2_400_000_000, **{f"s{k}": 80_000_000 for k in range(300)}})
+    assert got["tiny"] == got[mixing._NONE] == 1 and all(got[f"s{k}"] > 1 - 1e-9 for k in range(300)) and 0.3 < got["hot"] < 0.5
+    exact = mixing.inclusion({"a": 1000, "b": 4000, "c": 5}, {"a": 1, "b": 2, "c": 0.1})  # c's share is 100, 95 go to the others
+    assert exact["a"] == exact["c"] == 1 and abs(exact["b"] * 4000 - 2095) < 1e-6
+    rows = [(k, "w " * 99 + "w", "a" if k % 2 else "b") for k in range(1000)] + [(2000, "x", "tiny"), (2001, "x y", None)]
+    assert mixing.balanced_sample(docs(rows), only_selected=True).count() == len(rows)
+
+
 def legal(roles):
     state = ""
     for r in roles:
