@@ -13,28 +13,35 @@ range of hashes and shuffled once by range; (3) pairs within ranges, their share
 (4) candidates verified on whole sets, their texts fetched by key once for each block of candidates.
 
 Definitions. Words are runs of letters and numbers in lower case; a text of fewer than n words has one n-gram, all its words; a null
-text, or one without words, has no partner. Identical texts are one unit (key: 64-bit hash of the text) and always pairs.
+text, or one without words, has no partner but its copies. Identical texts are one unit and always alike. A unit's key is a
+64-bit hash; texts that share it are told apart by a second one, so units are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseek.llm.shared import fresh, matched, mix, ngram_hashes, release, shared_folder, slices, small, tasks, word_hashes, written
+from loomseek.functions.partitions import spread
+from loomseek.llm.shared import fresh, matched, mix, ngram_hashes, placed, ranges, release, shared_folder, slices, small, tasks, word_hashes, written
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent as CHUNKS rows by each task and broadcast as a byte each (4 MB).
 SKETCH_BITS, CHUNKS = 22, 16
 MOST_MATCHES = 8
 _KEY_BITS = 40
-_BLOCK = 4096
+#: N-grams in a range of hashes, at most about; a range is what a worker holds at once.
+RANGE_GRAMS = 2_000_000
+#: Pairs that a worker holds at once before it sends them on.
+_MOST_PAIRS = 4_000_000
+#: Characters of the texts of a block of pairs to verify, about.
+_BLOCK_CHARS = 16_000_000
 _VERIFY_COST = 0.05
 
 
@@ -74,8 +81,8 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([x.astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
 
 
-def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
-    """For each cell of the sketch, the rounded-up binary logarithm of its count above the average of rare cells.
+def frequency_classes(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """For each cell of the sketch, the rounded-up binary logarithm of its count above the average of rare cells; and the sum of all counts.
 
     Counts cover all texts. The result has the same size for any corpus.
     """
@@ -86,7 +93,7 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
         counts[r.chunk] = np.frombuffer(r.counts, "<u4")
     counts = counts.ravel()
     floor = int(np.median(counts))
-    return np.ceil(np.log2(np.maximum(1, counts - floor - int(2 * np.sqrt(floor)) + 1))).astype(np.uint8)
+    return np.ceil(np.log2(np.maximum(1, counts - floor - int(2 * np.sqrt(floor)) + 1))).astype(np.uint8), int(counts.sum())
 
 
 def overlap_needed(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -180,7 +187,10 @@ def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(threshold: float, bits: int, parts: int):
-    """Within each range of hashes: pairs of units, how many prefix n-grams they share there, how many they need."""
+    """Within each range of hashes: pairs of units, how many prefix n-grams they share there, how many they need.
+
+    A pair may be sent on more than once, with parts of what it shares, so that a worker holds a bounded number of them.
+    """
 
     def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         unpacked = [_unpack(b) for b in blobs]
@@ -201,24 +211,24 @@ def _pairs(threshold: float, bits: int, parts: int):
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(key)))
-        found: list[np.ndarray] = []
-        waiting = 0
         shared_start, shared_length = start[length > 1], length[length > 1]
         step = 1
-        total: tuple[np.ndarray, np.ndarray] | None = None
+        found: list[np.ndarray] = []
+        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def merge() -> None:
-            nonlocal total, found, waiting
-            code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            if total is not None:
-                every = np.concatenate([total[0], code])
-                code, back = np.unique(every, return_inverse=True)
-                n = np.bincount(back, np.concatenate([total[1], n])).astype(np.int64)
-            total, found, waiting = (code, n), [], 0
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, back = np.unique(np.concatenate([code, *found]), return_inverse=True)
+            return every, np.bincount(back, np.concatenate([n, np.ones(sum(map(len, found)), np.int64)]), len(every)).astype(np.int64)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(code), 1_000_000):
+                c, k = code[i: i + 1_000_000], n[i: i + 1_000_000]
+                x, y = c // len(unit), c % len(unit)
+                yield from _pack_pairs(unit[x], unit[y], k, shared_needed(size[x], size[y], matches[x], matches[y], threshold), bits, parts)
 
         # the step-th next entry of each run, for all runs at once; runs are sorted by size, so a run ends for an entry
         # at the first partner that is too large
-        left = np.concatenate([np.arange(s, s + m) for s, m in zip(shared_start, shared_length, strict=True)]) if len(shared_start) else np.zeros(0, np.int64)
+        left = np.repeat(shared_start - np.cumsum(shared_length) + shared_length, shared_length) + np.arange(shared_length.sum())
         ends = np.repeat(shared_start + shared_length, shared_length)
         while len(left):
             right = left + step
@@ -227,18 +237,16 @@ def _pairs(threshold: float, bits: int, parts: int):
             a, b = doc[left], doc[right]
             ok = size[b] * threshold <= size[a] + 1e-9
             left, ends, a, b = left[ok], ends[ok], a[ok], b[ok]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            found.append(lo * len(unit) + hi)
-            waiting += len(lo)
-            if waiting > 4_000_000:
-                merge()
+            found.append(np.minimum(a, b) * len(unit) + np.maximum(a, b))
+            if sum(map(len, found)) > _MOST_PAIRS:
+                code, n = merged()
+                found = []
+                if len(code) > _MOST_PAIRS:
+                    yield from sent()
+                    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
             step += 1
-        merge()
-        code, n = total
-        for i in range(0, len(code), 1_000_000):
-            c, k = code[i: i + 1_000_000], n[i: i + 1_000_000]
-            x, y = c // len(unit), c % len(unit)
-            yield from _pack_pairs(unit[x], unit[y], k, shared_needed(size[x], size[y], matches[x], matches[y], threshold), bits, parts)
+        code, n = merged()
+        yield from sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
@@ -270,17 +278,18 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, b
 
 
 def _squeeze(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> bytes:
-    """Sorted pairs in little space: steps from one to the next, as compressed byte planes."""
+    """Sorted pairs in little space: steps from one to the next, as compressed byte planes (of 4 bytes, or 8 where keys need them)."""
     step = np.diff(a, prepend=0)
-    cols = np.stack([step, np.where(step == 0, np.diff(b, prepend=0), b), n, need]).astype("<u4")
-    planes = np.ascontiguousarray(cols.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1))
-    return struct.pack("<I", len(a)) + zstandard.compress(planes.tobytes(), 3)
+    width = 4 if max(a[-1], b.max()) < 1 << 32 else 8
+    cols = np.stack([step, np.where(step == 0, np.diff(b, prepend=0), b), n, need]).astype(f"<u{width}")
+    planes = np.ascontiguousarray(cols.view(np.uint8).reshape(4, -1, width).transpose(0, 2, 1))
+    return struct.pack("<IB", len(a), width) + zstandard.compress(planes.tobytes(), 3)
 
 
 def _unsqueeze(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    (m,) = struct.unpack_from("<I", x)
-    planes = np.frombuffer(zstandard.decompress(x[4:]), np.uint8).reshape(4, 4, m)
-    step, b, n, need = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(4, m).astype(np.int64)
+    m, width = struct.unpack_from("<IB", x)
+    planes = np.frombuffer(zstandard.decompress(x[5:]), np.uint8).reshape(4, width, m)
+    step, b, n, need = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{width}").reshape(4, m).astype(np.int64)
     total = np.cumsum(b)
     first = np.flatnonzero(np.append(True, step[1:] != 0))
     base = np.repeat(total[first] - b[first], np.diff(np.append(first, m)))
@@ -363,39 +372,37 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def candidate_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
-    """Pairs (a, b) of unit keys, a < b, that share enough prefix n-grams; no pair that reaches the threshold is missing.
+def candidate_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
+    """Pairs (a, b) of unit keys (all of which are in ``keys``), a < b, that share enough prefix n-grams; no pair that reaches the threshold is missing.
 
     Shared counts are summed under the leading bits of the keys, a few more than tell the units apart; where two units
     have the same, their counts add up, which can only make more candidates.
     """
     spark = units.sparkSession
-    classes = spark.sparkContext.broadcast(frequency_classes(units, n))
-    parts = tasks(spark)
-    keys = written(units.select("unit").distinct(), f"{folder}/keys")
-    bits = min(32, max(8, keys.count().bit_length() + 3))
-    data = (units.select("text", "unit").mapInArrow(_prefixes(classes, n, threshold, parts), "part int, data binary")
-            .repartition(parts, "part").sortWithinPartitions("part")
-            .mapInArrow(_pairs(threshold, bits, parts), "part int, data binary")
-            .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "a long, b long"))
-    found = written(data, f"{folder}/shared")
+    table, grams = frequency_classes(units, n)
+    classes = spark.sparkContext.broadcast(table)
+    parts = ranges(grams, tasks(spark), RANGE_GRAMS)
+    bits = min(62, max(8, keys.count().bit_length() + 3))
+    data = placed(units.select("text", "unit").mapInArrow(_prefixes(classes, n, threshold, parts), "part int, data binary"), "part").mapInArrow(_pairs(threshold, bits, parts), "part int, data binary")
+    found = written(placed(data, "part").mapInArrow(_candidates, "a long, b long"), f"{folder}/shared")
     place = F.shiftrightunsigned("unit", 64 - bits)
     full = (found.join(keys.select(place.alias("a"), F.col("unit").alias("ua")), "a").join(keys.select(place.alias("b"), F.col("unit").alias("ub")), "b")
             .where("a <> b OR ua < ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")))
     return written(full, f"{folder}/candidates")
 
 
-def unit_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
-    """Verified pairs of unit keys: a, b, overlap, unions (sizes of intersection and union)."""
+def unit_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
+    """Verified pairs of unit keys: a, b, overlap, unions (sizes of intersection and union). ``units`` and ``keys``: see as_units."""
     spark = units.sparkSession
-    found = candidate_pairs(units, n, threshold, folder)
+    found = candidate_pairs(units, keys, n, threshold, folder)
     release(spark)
     # Blocks: a unit's hub is its least partner (or itself), a pair belongs to the lesser hub of its two; near copies of one
-    # text so come to one block, which gets each text once. Large hubs are split into pairs of chunks.
+    # text so come to one block, which gets each text once. Large hubs are split into pairs of chunks of bounded size.
     both = found.unionAll(found.select("b", "a"))
     hub = both.groupBy(F.col("a").alias("unit")).agg(F.least(F.min("b"), F.first("a")).alias("hub"))
     hub = written(hub, f"{folder}/hubs")
-    load = hub.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("chunks")).where("chunks > 1")
+    load = (matched(keys, hub, "unit", "left_semi").join(hub, "unit").groupBy("hub").agg(F.ceil(F.sum("chars") / _BLOCK_CHARS).cast("int").alias("chunks"))
+            .where("chunks > 1"))
     blocks = (found.join(hub.select(F.col("unit").alias("a"), F.col("hub").alias("ha")), "a")
               .join(hub.select(F.col("unit").alias("b"), F.col("hub").alias("hb")), "b")
               .select("a", "b", F.least("ha", "hb").alias("hub")).join(load, "hub", "left"))
@@ -412,33 +419,56 @@ def unit_pairs(units: DataFrame, n: int, threshold: float, folder: str) -> DataF
     return written(pairs, f"{folder}/pairs")
 
 
-def as_units(docs: DataFrame) -> DataFrame:
-    return docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("unit"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-
+def as_units(docs: DataFrame, folder: str, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, bool]:
+    """(unit, text, doc_id) of each text; the units' keys: (unit, chars, rows, id), the number of rows and their smallest id; and whether keys clashed.
 
-def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Near duplicates as doc_id_a, doc_ids_b, jaccard.
-
-    A row stands for each pair of its ids: (smallest id of a text, sorted ids of all rows with another text, their
-    similarity); the ids of identical texts are given once, as (smallest id, the others, 1.0). So any number of copies
-    makes one row for each pair of different texts instead of its square. Rows with a null id take part under no id.
+    ``key`` gives a 64-bit hash of a text. Where different texts share one (as a second hash shows), which is rare, their
+    units are a hash of both.
+    """
+    text = F.col("text")
+    other = F.xxhash64(F.lit("other"), text)
+    rows = docs.where("text IS NOT NULL").select(key(text).alias("unit"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        length = F.length("text")
+        one = rows.groupBy("unit").agg(F.max(length).cast("long").alias("chars"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("id"),
+                                       (F.min(other) != F.max(other)).alias("clash"))
+        return written(one, f"{folder}/{name}")
+
+    keys = grouped(rows, "keys")
+    clash = keys.where("clash").select("unit")
+    apart = not clash.isEmpty()
+    if apart:
+        mark = F.broadcast(clash.withColumn("clash", F.lit(True))) if small(clash) else clash.withColumn("clash", F.lit(True))
+        rows = rows.join(mark, "unit", "left").select(F.when(F.col("clash"), F.xxhash64(other, "unit")).otherwise(F.col("unit")).alias("unit"), "text", "doc_id")
+        keys = grouped(rows, "keys-apart")
+    return rows, keys.drop("clash"), apart
+
+
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, links.
+
+    Two rows are linked if their texts are identical or have at least that similarity; ``links`` is the number of other
+    rows to which this one is linked, and a class is what links connect. ``class_id`` is the smallest id in the class
+    (null if it has none). Copies are counted, not paired; each pair of different texts is verified once. A row
+    without links is a class of its own; so is one with a null text.
     """
-    folder = shared_folder(docs.sparkSession, "near-pairs")
-    units = as_units(docs)
-    pairs = unit_pairs(units, n, threshold, folder)
-    paired = written(pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), f"{folder}/paired")
-    narrow = units.where("doc_id IS NOT NULL").select("unit", "doc_id")
-    ids = narrow.groupBy("unit").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    ids = written(ids.join(paired.withColumn("has", F.lit(True)), "unit", "left").where("has OR size(ids) > 1"), f"{folder}/ids")
-    a = ids.select(F.col("unit").alias("a"), F.col("ids").alias("ids_a"))
-    b = ids.select(F.col("unit").alias("b"), F.col("ids").alias("ids_b"))
-    across = (pairs.join(a, "a").join(b, "b")
-              .withColumn("swap", F.col("ids_a")[0] > F.col("ids_b")[0])
-              .select(F.when(F.col("swap"), F.col("ids_b")[0]).otherwise(F.col("ids_a")[0]).alias("doc_id_a"),
-                      F.when(F.col("swap"), F.col("ids_a")).otherwise(F.col("ids_b")).alias("doc_ids_b"),
-                      F.round(F.col("overlap") / F.col("unions"), 6).alias("jaccard")))
-    alike = ids.where("size(ids) > 1").select(F.col("ids")[0].alias("doc_id_a"), F.expr("slice(ids, 2, size(ids) - 1)").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    return across.unionAll(alike)
+    folder = shared_folder(docs.sparkSession, "near-classes")
+    docs = spread(docs.select("doc_id", "text"))
+    units, keys, _ = as_units(docs, folder, key)
+    pairs = unit_pairs(units, keys, n, threshold, folder)
+    root = components(pairs, f"{folder}/components")
+    some = written(keys.join(root, "unit", "left").where("rows > 1 OR root IS NOT NULL").select("unit", F.coalesce("root", "unit").alias("root"), "rows", "id"), f"{folder}/some")
+    both = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
+    counts = some.select(F.col("unit").alias("b"), "rows")
+    linked = both.join(F.broadcast(counts) if small(counts) else counts, "b").groupBy(F.col("a").alias("unit")).agg(F.sum("rows").alias("linked"))
+    least = some.groupBy("root").agg(F.min("id").alias("class_id"))
+    facts = written(some.join(least, "root").join(linked, "unit", "left")
+                    .select("unit", "class_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("links")), f"{folder}/facts")
+    own = units.select("unit", "doc_id").unionAll(docs.where("text IS NULL").select(F.lit(None).cast("long"), F.col("doc_id").cast("long")))
+    facts = F.broadcast(facts) if small(facts, row_bytes=32) else facts
+    return (own.join(facts, "unit", "left")
+            .select("doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -490,33 +520,39 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in star], pa.int64()), pa.array([s[1] for s in star], pa.int64())], ["a", "b"])
 
 
-def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``docs`` with one text of each group of near duplicates, the one with the smallest id; all columns unchanged.
 
     A group is what pairs connect. Identical texts stay or go together (exact deduplication is its own operator);
     rows whose text is null or has no words stay.
     """
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "near-groups")
-    units = as_units(docs)
-    root = components(unit_pairs(units, n, threshold, folder), f"{folder}/components")
-    ids = matched(units.select("unit", "doc_id"), root, "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("id"))
-    ranked = root.join(ids, "unit").withColumn("best", F.min_by("unit", F.struct(F.col("id").isNull(), "id", "unit")).over(Window.partitionBy("root")))
-    key = fresh(docs.columns, "unit")
-    gone = written(ranked.where("unit <> best").select(F.col("unit").alias(key)), f"{folder}/gone")
-    return matched(docs.withColumn(key, F.xxhash64("text")), gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-#: DuckDB: what near_pairs gives at n = 3 and threshold 0.5.
-PAIRS_SQL = """
-WITH words AS (SELECT text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, list_sort(list(doc_id) FILTER (doc_id IS NOT NULL)) AS ids
+    folder = shared_folder(docs.sparkSession, "near-groups")
+    units, keys, told = as_units(docs, folder, key)
+    root = components(unit_pairs(units, keys, n, threshold, folder), f"{folder}/components")
+    ranked = root.join(keys, "unit").select("unit", "root", F.struct(F.col("id").isNull(), "id", "unit").alias("place"))
+    best = ranked.groupBy("root").agg(F.min_by("unit", "place").alias("best"))
+    gone = written(ranked.join(best, "root").where("unit <> best").select("unit"), f"{folder}/gone")
+    first, apart = (fresh(docs.columns, x) for x in ("unit", "apart"))
+    text = F.col("text")
+    stay = matched(docs.withColumn(first, key(text)), gone.withColumnRenamed("unit", first), first, "left_anti")
+    if told:
+        stay = matched(stay.withColumn(apart, F.xxhash64(F.xxhash64(F.lit("other"), text), F.col(first))), gone.withColumnRenamed("unit", apart), apart, "left_anti")
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: DuckDB: what near_classes gives at n = 3 and threshold 0.5.
+CLASSES_SQL = """
+WITH RECURSIVE words AS (SELECT text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, count(*) AS rows, min(doc_id) AS id
                FROM documents WHERE text IS NOT NULL GROUP BY text),
-units AS (SELECT row_number() OVER (ORDER BY text) AS u, ids, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+units AS (SELECT row_number() OVER (ORDER BY text) AS u, text, rows, id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
             ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS grams FROM words),
 grams AS (SELECT u, unnest(grams) AS g FROM units),
 shared AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.u < b.u GROUP BY ALL),
-pairs AS (SELECT x.ids AS xi, y.ids AS yi, c / (len(x.grams) + len(y.grams) - c) AS j
-          FROM shared JOIN units x ON x.u = a JOIN units y ON y.u = b
-          WHERE c >= 0.5 * (len(x.grams) + len(y.grams) - c) AND len(x.ids) > 0 AND len(y.ids) > 0)
-SELECT least(xi[1], yi[1]) AS doc_id_a, CASE WHEN xi[1] <= yi[1] THEN yi ELSE xi END AS doc_ids_b, round(j, 6) AS jaccard FROM pairs
-UNION ALL SELECT ids[1], ids[2:], 1.0 FROM units WHERE len(ids) > 1"""
+pairs AS (SELECT a, b FROM shared JOIN units x ON x.u = a JOIN units y ON y.u = b WHERE c >= 0.5 * (len(x.grams) + len(y.grams) - c)),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT a AS u, a AS v FROM edges UNION SELECT reach.u, edges.b FROM reach JOIN edges ON edges.a = reach.v),
+class AS (SELECT reach.u, min(id) AS class_id FROM reach JOIN units ON units.u = reach.v GROUP BY reach.u),
+linked AS (SELECT a AS u, sum(rows) AS n FROM edges JOIN units ON units.u = b GROUP BY a)
+SELECT doc_id, CASE WHEN units.u IS NULL THEN doc_id WHEN class.u IS NULL THEN id ELSE class_id END AS class_id,
+  CASE WHEN units.u IS NULL THEN 0 ELSE (rows - 1 + coalesce(n, 0))::BIGINT END AS links
+FROM documents LEFT JOIN units USING (text) LEFT JOIN class USING (u) LEFT JOIN linked USING (u)"""

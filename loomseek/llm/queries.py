@@ -38,7 +38,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(_documents(spark, sf_dir))
+    return ngram_join.near_classes(_documents(spark, sf_dir))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op6_ngram_jaccard": ngram_join.PAIRS_SQL,
+    "op6_ngram_jaccard": ngram_join.CLASSES_SQL,
     "op8_exact_dedup": exact_dedup.COPIES_SQL,
     "op10_line_dedup": line_dedup.LINES_SQL,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import os
+import re
 import tempfile
 import uuid
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -21,27 +21,26 @@ _WORD_BASE = np.uint64(0x100000001B3)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, not yet made, below the folder that all executors share.
+    """A new folder, not yet made, below the folder that all executors share, as a URI with its scheme.
 
-    It is below ``spark.checkpoint.dir`` where the cluster names one. Only where that is unset (tests, one
-    machine) a temporary folder of this machine is used and set as the checkpoint folder.
+    It is below ``spark.checkpoint.dir`` where the cluster names one; a path without a scheme is on the cluster's default
+    file system. Only on one machine (a local master) may that be unset: then a temporary folder is set as the
+    checkpoint folder. Elsewhere that is an error, as executors could not read each other's files.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomseek-")
         spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    elif base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[len("file:"):]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:///", fs.makeQualified(path).toString())
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a URI and the path in it; works in a task as on the driver."""
-    return pafs.FileSystem.from_uri(uri)
+    """The Arrow file system of a URI and the path in it; works in a task as on the driver. Hadoop's names of S3 are Arrow's."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -61,9 +60,14 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def text_key(text: Column) -> list[Column]:
-    """Two 64-bit hashes that stand for a text, computed in the JVM."""
-    return [F.xxhash64(text), F.xxhash64(F.concat(F.lit("\u0001"), text))]
+def placed(df: DataFrame, part: str, *order) -> DataFrame:
+    """Rows of one ``part`` (an int from 0) together and in order, parts dealt out to the tasks in turn."""
+    return df.repartitionById(tasks(df.sparkSession), F.col(part).cast("int")).sortWithinPartitions(part, *order)
+
+
+def ranges(total: int, least: int, each: int) -> int:
+    """How many ranges of hashes a total of entries needs, so that none has much more than ``each``."""
+    return max(1, least, -(-total // each))
 
 
 def fresh(taken: list[str], name: str) -> str:
