@@ -1,9 +1,11 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
 A text's key is its 64-bit hash. The directory maps the key's leading bits to buckets: starting from one bucket, an
-overfull one is split on its next bit, and the directory doubles when a bucket becomes deeper than the directory. The
-index is written to the shared folder, each owner task filling the buckets of a contiguous range of keys. Only keys
-that occur twice or more send their texts on: the owner of a key chains the different texts under it, comparing bytes.
+overfull one is split on its next bit, and the directory doubles when a bucket becomes deeper than the directory. Each owner
+task holds the buckets of a contiguous range of keys: it fills them with (key, number of rows), written to the
+shared folder, and it chains the texts under the keys that occur twice or more, comparing bytes. What comes to an owner was
+combined where it was read, so a text that a third of all rows have arrives once from each task; ids are
+never listed.
 
 Definitions. Copies are texts with the same bytes; empty texts are copies of each other. A null text has no copy. Of
 copies, the row with the smallest id stays (null ids last; of rows alike in both, one). Other columns are never read.
@@ -15,15 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomseek.llm.shared import fresh, matched, shared_folder, tasks, written
+from loomseek.functions.partitions import spread
+from loomseek.llm.shared import fresh, matched, placed, shared_folder, small, tasks, written
+
+#: Bytes of texts that a task combines before it sends them on, and rows of a block of equal rows.
+_HELD_BYTES, _BLOCK_ROWS = 32 << 20, 10_000
 
 
 class Directory:
-    """Extendible-hash directory over the leading bits of keys, built from counts by their first ``depth_limit`` bits."""
+    """Extendible-hash directory over the leading bits of keys, built from counts by their first bits."""
 
     def __init__(self, counts: np.ndarray, capacity: int) -> None:
         limit = int(len(counts)).bit_length() - 1
@@ -59,94 +64,157 @@ class Directory:
         return [int(x) for x in np.minimum(n - 1, (ends - np.array(self.loads)) * n // max(1, int(ends[-1])))]
 
 
-def build_index(keys: DataFrame, folder: str, capacity: int = 1 << 16, depth_limit: int = 16) -> tuple[DataFrame, Directory]:
-    """Index of the column ``key``: one row (owner, bucket, key, n) for each key, written below ``folder``.
+def build_index(keys: DataFrame, folder: str, capacity: int | None = None) -> tuple[DataFrame, DataFrame, Directory]:
+    """The index of the column ``key``, one row (owner, bucket, key, n) for each key, written below ``folder``; the directory as a table; and itself.
 
-    The driver sees 2 ** depth_limit counts at most; the directory that is broadcast has as many slots at most.
+    Buckets hold ``capacity`` different keys (by default a quarter of a task's share, from 4,096 to 4 million), so hot keys
+    don't split them. The directory has as many bits as that needs and two to spare, since hashes are even: some 16 slots
+    a task, which is what the driver sees and sends.
     """
     spark = keys.sparkSession
-    cell = F.shiftrightunsigned("key", 64 - depth_limit)
-    counts = np.zeros(1 << depth_limit, np.int64)
-    for c, n in keys.groupBy(cell.alias("cell")).count().collect():
-        counts[c] = n
+    distinct = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), f"{folder}/keys")
+    n = distinct.count()
+    capacity = capacity or min(1 << 22, max(1 << 12, n // (4 * tasks(spark)) + 1))
+    bits = max(1, (n // capacity).bit_length() + 2)
+    counts = np.zeros(1 << bits, np.int64)
+    for c, k in distinct.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("cell")).count().collect():
+        counts[c] = k
     directory = Directory(counts, capacity)
     owner = directory.owners(tasks(spark))
     slots = spark.createDataFrame([(i, b, owner[b]) for i, b in enumerate(directory.slots)], "slot long, bucket int, owner int")
+    return written(placed(owned(distinct, slots, directory), "owner", "bucket", "key"), f"{folder}/index"), slots, directory
+
+
+def owned(rows: DataFrame, slots: DataFrame, directory: Directory) -> DataFrame:
+    """``rows`` with the bucket of their key and its owner."""
     slot = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
-    entries = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", slot)
-               .join(F.broadcast(slots), "slot").select("owner", "bucket", "key", "n"))
-    entries = entries.repartition(tasks(spark), "owner").sortWithinPartitions("bucket", "key")
-    return written(entries, f"{folder}/index"), directory
-
-
-def _chains(keep_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by key and id: the first row of each text (column "row"), or a report on all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, chain = None, {}  # the chain under the current key; equal hashes of str are resolved by comparing them
-
-        def report() -> pa.RecordBatch:
-            ids = [(i, c[0], len(c), k > 0) for c in chain.values() for k, i in enumerate(c)]
-            cols = list(zip(*ids, strict=True)) if ids else [[], [], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())],
-                ["doc_id", "keeper_id", "copies", "is_copy"])
-
-        for batch in batches:
-            first = []
-            names = batch.schema.names
-            ids = batch.column(names.index("id")).to_pylist() if "id" in names else [0] * len(batch)
-            texts = batch.column(names.index("row")).field("text") if keep_first else batch.column(names.index("text"))
-            for key, text, i in zip(batch.column(names.index("key")).to_pylist(), texts.to_pylist(), ids, strict=True):
-                if key != current:
-                    if not keep_first and chain:
-                        yield report()
-                    current, chain = key, {}
-                members = chain.get(text)
-                first.append(members is None)
-                if members is None:
-                    chain[text] = [i]
-                elif not keep_first:
-                    members.append(i)
-            if keep_first:
-                yield pa.RecordBatch.from_arrays([batch.column(names.index("row")).filter(pa.array(first, pa.bool_()))], ["row"])
-        if not keep_first and chain:
-            yield report()
-
-    return run
-
-
-def find_copies(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keeper_id (smallest id with the same text), copies, is_copy."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "exact-dedup")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("key"))
-    index, _ = build_index(rows.where("text IS NOT NULL").select("key"), folder, capacity)
+    return rows.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
+
+
+_CHAIN = "key long, text string, id long, first long, n long"
+
+
+def _combined(chain: dict[tuple[int, str], list]) -> pa.RecordBatch:
+    cols = list(zip(*((k, t, *s) for (k, t), s in chain.items()), strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["key", "text", "id", "first", "n"])
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, id) to one row for each key and text: smallest id (null last), the number of rows with it, and of all."""
+    chain: dict[tuple[int, str], list] = {}
+    held = 0
+    for batch in batches:
+        for key, text, i in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            at = chain.get((key, text))
+            if at is None:
+                chain[key, text] = [i, 1, 1]
+                held += len(text) + 100
+                if held > _HELD_BYTES:
+                    yield _combined(chain)
+                    chain, held = {}, 0
+                continue
+            at[2] += 1
+            if i == at[0]:
+                at[1] += 1
+            elif i is not None and (at[0] is None or i < at[0]):
+                at[:2] = [i, 1]
+    if chain:
+        yield _combined(chain)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over combined rows sorted by key: the chain of different texts under each key, told apart by their bytes.
+
+    One row for each: key, place in the chain, smallest id, rows with it, all rows; and the text if the chain is longer than one.
+    """
+    def report(key: int, chain: dict[str, list]) -> pa.RecordBatch:
+        rows = [(key, k, *s, t if len(chain) > 1 else None) for k, (t, s) in enumerate(chain.items())]
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.string())],
+                                          ["key", "chain", "id", "first", "n", "text"])
+
+    now, chain, out = None, {}, []
+    for batch in batches:
+        for key, text, i, first, n in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "text", "id", "first", "n")), strict=True):
+            if key != now and chain:
+                out.append(report(now, chain))
+                chain = {}
+            now = key
+            at = chain.get(text)  # str of equal hash are compared in full
+            if at is None:
+                chain[text] = [i, first, n]
+            else:
+                at[2] += n
+                if i == at[0]:
+                    at[1] += first
+                elif i is not None and (at[0] is None or i < at[0]):
+                    at[:2] = [i, first]
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            out = []
+    if chain:
+        yield report(now, chain)
+
+
+def chains(docs: DataFrame, folder: str, capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, bool]:
+    """Of each text that occurs twice or more: (key, chain, id, first, n, text); and whether any key has more than one text.
+
+    Of a key with one text the text is left out: all rows with that key have it, byte by byte. Texts that occur once but share
+    their key are listed too.
+    """
+    rows = docs.where("text IS NOT NULL").select(key(F.col("text")).alias("key"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("id"))
+    index, slots, directory = build_index(rows.select("key"), folder, capacity)
     suspects = written(index.where("n > 1").select("key"), f"{folder}/suspects")
-    chained = (matched(rows.where("text IS NOT NULL"), suspects, "key", "left_semi")
-               .repartition(tasks(spark), "key").sortWithinPartitions(F.col("key"), F.col("id").asc_nulls_last())
-               .mapInArrow(_chains(False), "doc_id long, keeper_id long, copies long, is_copy boolean"))
-    alone = matched(rows.where("text IS NOT NULL").select("key", "id"), suspects, "key", "left_anti").select("id")
-    alone = alone.unionAll(rows.where("text IS NULL").select("id"))
-    return chained.unionAll(alone.select("id", "id", F.lit(1).cast("long"), F.lit(False)))
+    met = matched(rows, suspects, "key", "left_semi").select("key", "text", "id").mapInArrow(_combine, _CHAIN)
+    found = written(placed(owned(met, slots, directory), "owner", "bucket", "key")
+                    .mapInArrow(_chains, "key long, chain int, id long, first long, n long, text string"), f"{folder}/chains")
+    return found, not found.where("chain > 0").isEmpty()
+
 
+def _marked(rows: DataFrame, found: DataFrame, collided: bool, names: tuple[str, ...], key: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with the key, chain, id, first and n of their text (null for a text without copies) under the ``names``."""
+    k, *facts = names
+    table = found.select(F.col("key").alias(k), *[F.col(c).alias(x) for c, x in zip(("chain", "id", "first", "n"), facts, strict=True)], F.col("text").alias("text_"))
+    table = F.broadcast(table) if small(found, row_bytes=48) and not collided else table
+    rows = rows.withColumn(k, key(F.col("text")))
+    if not collided:
+        return rows.join(table.drop("text_"), k, "left")
+    keyed = rows.alias("l").join(table.alias("r"), (F.col(f"l.{k}") == F.col(f"r.{k}")) & (F.col("r.text_").isNull() | (F.col("r.text_") == F.col("l.text"))), "left")
+    return keyed.select("l.*", *[F.col(f"r.{x}") for x in facts])
 
-def drop_copies(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
+
+def find_copies(docs: DataFrame, capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keeper_id (smallest id with the same text), copies, is_copy."""
+    folder = shared_folder(docs.sparkSession, "exact-dedup")
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found, collided = chains(docs, folder, capacity, key)
+    rows = _marked(docs, found, collided, ("key", "chain", "keeper", "first", "copies"), key).drop("text")
+    lead = F.col("doc_id").eqNullSafe(F.col("keeper"))
+    tied = F.coalesce(lead & (F.col("first") > 1), F.lit(False))
+    plain = rows.where(~tied).select("doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keeper")).alias("keeper_id"),
+                                     F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("copies").isNotNull() & ~lead).alias("is_copy"))
+    # rows alike in text and id can't be told apart: as many are given, all but one as copies, in blocks
+    blocks = (found.where("first > 1").select("id", "n", "first", F.explode(F.expr(f"sequence(0L, (first - 1) div {_BLOCK_ROWS})")).alias("block"))
+              .select("id", "n", F.explode(F.expr(f"sequence(block * {_BLOCK_ROWS}, least(first, (block + 1) * {_BLOCK_ROWS}) - 1)")).alias("k")))
+    return plain.unionAll(blocks.select("id", "id", "n", F.col("k") > 0))
+
+
+def drop_copies(docs: DataFrame, capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``docs`` without the rows that are copies of an earlier one; all columns, whatever their names, unchanged."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "exact-dedup")
-    key = fresh(docs.columns, "key")
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    index, _ = build_index(rows.where("text IS NOT NULL").select(F.col(key).alias("key")), folder, capacity)
-    suspects = written(index.where("n > 1").select(F.col("key").alias(key)), f"{folder}/suspects")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    chained = (matched(rows.where("text IS NOT NULL"), suspects, key, "left_semi")
-               .select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"), whole)
-               .repartition(tasks(spark), "key").sortWithinPartitions(F.col("key"), F.col("id").asc_nulls_last()))
-    kept = chained.mapInArrow(_chains(True), T.StructType([T.StructField("row", docs.schema, True)]))
-    columns = [F.col("row")[c].alias(c) for c in docs.columns]
-    alone = matched(rows.where("text IS NOT NULL"), suspects, key, "left_anti").drop(key)
-    return kept.select(*columns).unionAll(alone.select(*docs.columns)).unionAll(docs.where("text IS NULL"))
+    folder = shared_folder(docs.sparkSession, "exact-dedup")
+    found, collided = chains(docs, folder, capacity, key)
+    names, taken = [], [*docs.columns, "text_"]
+    for x in ("key", "chain", "keeper", "first", "copies"):
+        names.append(fresh([*taken, *names], x))
+    k, chain, keeper, first, copies = (F.col(x) for x in names)
+    rows = _marked(docs, found, collided, tuple(names), key)
+    lead = F.col("doc_id").cast("long").eqNullSafe(keeper)
+    kept = rows.where(copies.isNull() | (lead & (first == 1)))
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    if found.where("first > 1").isEmpty():
+        return kept.select(*out)
+    tied = rows.where(copies.isNotNull() & lead & (first > 1)).dropDuplicates([names[0], names[1]])
+    return kept.select(*out).unionAll(tied.select(*out))
 
 
 COPIES_SQL = """

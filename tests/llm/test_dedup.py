@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomseek.llm import exact_dedup, line_dedup, ngram_join
 from loomseek.llm.exact_dedup import Directory
@@ -39,13 +40,36 @@ def test_drop_copies(docs):
         (1, 5, "k"), (2, 0, "k"), (5, -1, "k"), (6, -1, "k"), (8, 200_000, "k"), (10, 199_999, "k"), (11, 6, "k")]
 
 
-def test_chain_compares_bytes(spark):
-    import pyarrow as pa
+def clash(text):
+    """A key that different texts share."""
+    return F.length(text).cast("long") % 3
 
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), pa.array([1, 2, 3]), pa.array(["a", "b", "a"])], ["key", "id", "text"])
-    (out,) = exact_dedup._chains(False)(iter([batch]))
-    assert sorted(out.to_pylist(), key=lambda r: r["doc_id"]) == [
-        {"doc_id": 1, "keeper_id": 1, "copies": 2, "is_copy": False}, {"doc_id": 2, "keeper_id": 2, "copies": 1, "is_copy": False}, {"doc_id": 3, "keeper_id": 1, "copies": 2, "is_copy": True}]
+
+def test_texts_that_share_a_key(docs):
+    rows = [*ROWS, (20, "c b a"), (None, "c b a"), (21, "q")]
+    plain = lambda df: sorted(tuple(r) for r in df.fillna(-1).collect())
+    assert plain(exact_dedup.find_copies(docs(rows), key=clash)) == plain(exact_dedup.find_copies(docs(rows)))
+    assert plain(exact_dedup.drop_copies(docs(rows), key=clash).select("doc_id")) == plain(exact_dedup.drop_copies(docs(rows)).select("doc_id"))
+    near = near_rows(3)
+    assert plain(ngram_join.near_classes(docs(near), key=clash)) == plain(ngram_join.near_classes(docs(near)))
+    assert plain(ngram_join.keep_one(docs(near), key=clash).select("doc_id")) == plain(ngram_join.keep_one(docs(near)).select("doc_id"))
+
+
+def test_hot_text(docs):
+    rows = [(k % 20_000, "hot") for k in range(25_000)] + [(None, "hot")] * 12_000
+    got = exact_dedup.find_copies(docs(rows))
+    assert got.count() == len(rows) and got.where("NOT is_copy").count() == 1 and got.where("copies <> 37000 OR keeper_id <> 0").count() == 0
+    nulls = exact_dedup.find_copies(docs(rows[25_000:]))
+    assert nulls.count() == 12_000 and nulls.where("NOT is_copy").count() == 1
+    (one,) = exact_dedup.drop_copies(docs(rows)).collect()
+    assert one.doc_id == 0
+
+
+def test_dotted_column(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, None, "c")], "doc_id long, text string, `a.b` string")
+    for drop in (exact_dedup.drop_copies, ngram_join.keep_one, line_dedup.drop_repeated_lines):
+        got = drop(df)
+        assert "a.b" in got.columns and {r["a.b"] for r in got.collect()} >= {"a", "c"}
 
 
 def test_perfect_hash():
@@ -132,20 +156,17 @@ def near_rows(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_pairs_and_groups(docs, seed):
+def test_near_classes_and_groups(docs, seed):
     rows = near_rows(seed)
-    got = set()
-    for r in ngram_join.near_pairs(docs(rows)).collect():
-        for j in r.doc_ids_b:
-            got.add((min(r.doc_id_a, j), max(r.doc_id_a, j)))
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_classes(docs(rows)).collect()}
     want = brute_pairs(rows)
     texts = dict((i, t) for i, t in rows if i is not None)
-    # a row lists the smallest id of one text against all ids of the other
-    first = {}
-    for i, t in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
-        first.setdefault(t, i)
-    assert got <= want
-    assert {(a, b) for a, b in want if a == first[texts[a]] and (b == first[texts[b]] or texts[a] == texts[b])} <= got
+    null_text = next(t for i, t in rows if i is None)
+    links = {i: sum(i in p for p in want) for i in texts}
+    for i, t in texts.items():
+        if t is not None and (t == null_text or (grams(t) and grams(null_text) and len(grams(t) & grams(null_text)) >= 0.5 * len(grams(t) | grams(null_text)) - 1e-9)):
+            links[i] += 1
+    assert {i: n for i, (_, n) in got.items() if i is not None} == links and len(got) == len(rows)
     kept = {r.doc_id for r in ngram_join.keep_one(docs(rows)).collect()}
     up = {i: i for i in texts}
 
@@ -157,6 +178,7 @@ def test_near_pairs_and_groups(docs, seed):
     for a, b in want:
         up[max(find(a), find(b))] = min(find(a), find(b))
     groups = {i: find(i) for i in texts}
+    assert {i: c for i, (c, _) in got.items() if i is not None} == groups
     for i, t in texts.items():
         stays = groups[i] == i or t == texts[groups[i]] or t is None or not grams(t)
         assert (i in kept) == stays, i
@@ -188,4 +210,4 @@ def test_empty_tables(docs):
     empty = docs([])
     assert exact_dedup.find_copies(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
     assert line_dedup.drop_repeated_lines(empty).count() == 0
-    assert ngram_join.near_pairs(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
+    assert ngram_join.near_classes(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
