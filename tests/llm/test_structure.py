@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -19,11 +20,11 @@ def test_flight_keeps_totals():
     out = mixing.flight(pi, tokens, 5)
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert abs(out.sum() - pi.sum()) < 1e-6 and abs(out @ tokens - pi @ tokens) < 1e-3
-    landed = mixing.land(pi, tokens, 5)
+    landed = mixing.flight(pi, tokens, 5, True)
     assert set(np.unique(landed)) <= {0.0, 1.0} and abs(landed.sum() - pi.sum()) <= 2
     nearly = np.append(np.full(100, 1 - 1e-16), np.full(100, np.nextafter(1.0, 0)))
-    assert (mixing.land(np.append(nearly, 1e-12), np.ones(201), 1) == np.append(np.ones(200), 0)).all()
-    assert set(np.unique(mixing.land(np.full(7, 0.5), np.full(7, 3.0), 1))) <= {0.0, 1.0}
+    assert (mixing.flight(np.append(nearly, 1e-12), np.ones(201), 1, True) == np.append(np.ones(200), 0)).all()
+    assert set(np.unique(mixing.flight(np.full(7, 0.5), np.full(7, 3.0), 1, True))) <= {0.0, 1.0}
 
 
 def test_flight_keeps_expectation():
@@ -49,6 +50,63 @@ def test_balanced_sample(docs):
     assert again.columns == docs(rows).columns and again.count() == sum(x.selected for x in got)
 
 
+def brute_levels(rows, chance):
+    """Which rows are drawn: the walks of all levels over plain lists."""
+    open_, drawn = [], set()
+    for h, tokens, source, unit in rows:
+        p = chance[source]
+        if 1e-9 < p < 1 - 1e-9:
+            open_.append((h, tokens, source, p, unit))
+        elif p > 0.5:
+            drawn.add(unit)
+    levels = [("within", b) for b in mixing._levels(max(sum(r[2] == s for r in rows) for s in chance), mixing._WALK)] + [("across", 0)]
+    for k, (kind, bits) in enumerate(levels):
+        groups = {}
+        for r in sorted(open_, key=lambda r: (r[0], r[1], r[2])):
+            cell = (r[0] % (1 << 64)) >> (64 - bits) if bits else 0
+            groups.setdefault((r[2] if kind == "within" else "", cell), []).append(r)
+        open_ = []
+        for own in groups.values():
+            got = mixing.flight(np.array([r[3] for r in own]), np.array([float(r[1]) for r in own]), own[0][0] + k, k == len(levels) - 1)
+            for r, x in zip(own, got.tolist()):
+                if x == 1:
+                    drawn.add(r[4])
+                elif x > 0:
+                    open_.append((*r[:3], x, r[4]))
+    return drawn
+
+
+def test_mixing_is_the_same_however_rows_lie(spark, docs):
+    r = random.Random(4)
+    rows = [(k, "w " * r.randint(1, 60), r.choice(["a", "a", "a", "b", "c"])) for k in range(9000)]
+    key, how = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = docs(rows).cache()
+    drawn = {}
+    try:
+        for batch, parts in ((10_000, 4), (97, 4), (500, 11)):
+            spark.conf.set(key, batch)
+            drawn[batch] = {x.doc_id for x in mixing.balanced_sample(whole.repartition(parts, F.rand(3)), only_selected=True).collect()}
+    finally:
+        spark.conf.set(key, how)
+    assert drawn[10_000] == drawn[97] == drawn[500]
+    keyed = whole.select(F.xxhash64(*whole.columns).alias("h"), mixing.token_count(F.col("text")).alias("n"), "source", "doc_id").collect()
+    totals = {}
+    for x in keyed:
+        totals[x.source] = totals.get(x.source, 0) + x.n
+    assert brute_levels([tuple(x) for x in keyed], mixing.inclusion(totals)) == drawn[97]
+
+
+def test_token_count(spark):
+    df = spark.createDataFrame([("a  b\tc\n",), ("",), (None,), (" ",), ("x",)], "text string")
+    assert [r[0] for r in df.select(mixing.token_count(F.col("text"))).collect()] == [3, 0, 0, 0, 1]
+
+
+def test_mixing_many_sources(docs):
+    got = mixing.balanced_sample(docs([(k, "w " * (k % 37 + 1), f"s{k % 3000}") for k in range(9000)])).collect()
+    assert abs(sum(x.selected for x in got) - sum(x.pi for x in got)) <= 2
+    assert abs(sum(x.selected * x.tokens for x in got) - sum(x.pi * x.tokens for x in got)) <= 80
+
+
 def test_mixing_weights(docs):
     rows = [(k, "w " * 99 + "w", "a" if k < 800 else "b") for k in range(1000)]
     got = mixing.balanced_sample(docs(rows), {"a": 1, "b": 1}).collect()
