@@ -12,7 +12,9 @@ in the shared folder by block. So the corpus is counted with two shuffles of pac
 
 Definitions. Words are runs of letters and numbers in lower case; every text begins and ends with a boundary, and the one at its end is
 scored as a word. A null text has null scores, an empty one the score of its end. Rows alike are scored alike, each a part of the
-corpus. N-grams are told apart by 36 bits of hash within a range (which has about a million of them).
+corpus. N-grams are told apart by 48 bits of hash within a range, and the number of ranges follows the corpus (RANGE_WORDS), so that
+of n-grams about one in 10**8 is merged with another, at any size. For the weights, estimates are counted in cells of half an
+octave each way, whose geometric means stand for them.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseek.llm.shared import filesystem, mix, release, shared_folder, slices, tasks, word_hashes, written
+from loomseek.functions.partitions import spread
+from loomseek.llm.shared import filesystem, mix, placed, ranges, release, shared_folder, slices, tasks, word_hashes, written
 
 BLOCK_BYTES = 8 << 20
 _EDGE = np.uint64(0x51A7E0B5D9F3C62B)
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_BITS = np.uint64(36)
-_LOW = np.uint64((1 << 36) - 1)
+#: Words of the corpus for each range of hashes, about: no range gets more n-grams of an order from all blocks than that.
+RANGE_WORDS = 2_000_000
+_BITS = 48
 _NONE = 127
 _ROUNDS = 60
 
@@ -88,6 +92,7 @@ class Block:
 
     def __init__(self, row: dict, parts: int) -> None:
         self.block, self.ids, self.parts = row["block"], row["ids"], parts
+        self.bits = min(64, _BITS + parts.bit_length())
         self.lens = np.array(row["lens"], np.int64)
         vocab = np.frombuffer(row["vocab"], "<u8")
         self.words = vocab[_unpack(row["codes"]).astype(np.int64)]
@@ -96,7 +101,7 @@ class Block:
         self.start = np.arange(len(self.words)) - np.repeat(begin, own)  # position within its text
 
     def grams(self, n: int) -> np.ndarray:
-        """Range and 36 bits of the n-gram that ends at each position; meaningless at the first n - 1 of a text."""
+        """The hash of the n-gram that ends at each position, cut to 48 bits more than tell the ranges apart; meaningless at the first n - 1 of a text."""
         w = self.words
         with np.errstate(over="ignore"):
             if n == 1:
@@ -105,7 +110,7 @@ class Block:
                 h = mix(np.concatenate([[_EDGE], w[:-1]])[: len(w)] * _B + w * _C)
             else:
                 h = mix(np.concatenate([[_EDGE] * 2, w[:-2]])[: len(w)] * _A + np.concatenate([[_EDGE], w[:-1]])[: len(w)] * _B + w * _C)
-        return ((h >> np.uint64(40)) % np.uint64(self.parts)) << _BITS | h & _LOW
+        return h >> np.uint64(64 - self.bits)
 
     def asked(self, n: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams at the chosen positions in order, the index of each position's one, and their counts in the block."""
@@ -113,13 +118,12 @@ class Block:
         return keys, back, count
 
 
-def _requests(block: int, kind: int, keys: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    part = (keys >> _BITS).astype(np.int64)
+def _requests(b: Block, kind: int, keys: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    part = ((keys >> np.uint64(b.bits - 32)) * np.uint64(b.parts) >> np.uint64(32)).astype(np.int64)  # ranges are in the order of keys
     start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for i, j in zip(start, [*start[1:], len(part)]):
-        low = keys[i:j] & _LOW
-        a, b = _pack(np.diff(low, prepend=np.uint64(0))), _pack(count[i:j])
-        yield int(part[i]), block, kind, struct.pack("<I", len(a)) + a + b
+        steps, often = _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(count[i:j])
+        yield int(part[i]), b.block, kind, struct.pack("<I", len(steps)) + steps + often
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -210,8 +214,8 @@ def _keep_answers(folder: str):
 
 def _ask(blocks: DataFrame, parts: int, folder: str, requests: Callable[[Block], pa.RecordBatch]) -> tuple[int, int]:
     """Send the requests of all blocks, keep the answers below ``folder``; number of distinct words and of all (0 if none were asked for)."""
-    answers = (blocks.mapInArrow(_each_block(parts, requests), _ROWS).repartition(parts, "part").sortWithinPartitions("part", "kind")
-               .mapInArrow(_answers, _ROWS).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
+    answers = placed(blocks.mapInArrow(_each_block(parts, requests), _ROWS), "part", "kind").mapInArrow(_answers, _ROWS)
+    answers = (answers.repartition(tasks(blocks.sparkSession), "block").sortWithinPartitions("block", "kind", "part")
                .mapInArrow(_keep_answers(folder), "words long, total long"))
     got = answers.agg(F.sum("words").alias("words"), F.sum("total").alias("total")).first()
     return got.words or 0, got.total or 0
@@ -232,7 +236,7 @@ def _first_requests(b: Block) -> pa.RecordBatch:
     out = []
     for kind in (1, 2):
         keys, _, count = b.asked(kind, np.flatnonzero(b.start > 0))
-        out += _requests(b.block, kind, keys, count)
+        out += _requests(b, kind, keys, count)
     return _rows(out)
 
 
@@ -258,7 +262,7 @@ def _second_requests(folder: str):
     def requests(b: Block) -> pa.RecordBatch:
         _, c2 = _low_counts(b, folder)
         keys, _, count = b.asked(3, _open_trigrams(b, c2))
-        return _rows(list(_requests(b.block, 3, keys, count)))
+        return _rows(list(_requests(b, 3, keys, count)))
 
     return requests
 
@@ -289,25 +293,20 @@ def half_octave(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.minimum(np.rint(-2 * np.log2(np.where(p > 0, p, 1.0))), _NONE - 1), _NONE).astype(np.int64)
 
 
-def _value(q: np.ndarray) -> np.ndarray:
-    return np.where(q == _NONE, 0.0, 2.0 ** (-np.asarray(q, np.float64) / 2))
-
-
-def _counted(*columns: np.ndarray) -> pa.RecordBatch:
-    code = columns[0]
-    for x in columns[1:]:
-        code = code << 7 | x
-    code, n = np.unique(code, return_counts=True)
-    out = [code >> 7 * k & 127 for k in range(len(columns) - 1, -1, -1)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in out), pa.array(n.astype(np.int64))], [*"xyz"[: len(columns)], "n"])
+def _counted(x: np.ndarray, y: np.ndarray, bucket_: np.ndarray) -> pa.RecordBatch:
+    """Cells of two estimates and a bucket: how many positions each has, and the sums of the estimates' logarithms (0 where they are 0)."""
+    code = (half_octave(x) << 7 | half_octave(y)) << 7 | bucket_
+    code, back, n = np.unique(code, return_inverse=True, return_counts=True)
+    logs = [np.bincount(back, np.log(np.where(v > 0, v, 1.0)), len(code)) for v in (x, y)]
+    return pa.RecordBatch.from_arrays([*(pa.array((code >> k & 127).astype(np.int32)) for k in (14, 7, 0)), pa.array(n.astype(np.int64)), *map(pa.array, logs)], ["x", "y", "z", "n", "lx", "ly"])
 
 
 def _low_histogram(folder: str, total: int):
-    """How often the positions of a block have these p1 and p2 (rounded to half octaves) and bucket of the word before."""
+    """How often the positions of a block have these p1 and p2 (by half octaves) and bucket of the word before."""
 
     def run(b: Block) -> pa.RecordBatch:
         p1, p2, _, n1, _ = _estimates(b, folder, total)
-        return _counted(half_octave(p1), half_octave(p2), bucket(n1))
+        return _counted(p1, p2, bucket(n1))
 
     return run
 
@@ -317,7 +316,7 @@ def _high_histogram(folder: str, words: int, total: int, l1: float, l2: np.ndarr
 
     def run(b: Block) -> pa.RecordBatch:
         p1, p2, p3, n1, n2 = _estimates(b, folder, total)
-        return _counted(half_octave(_mixed(p1, p2, n1, words, l1, l2)), half_octave(p3), bucket(n2))
+        return _counted(_mixed(p1, p2, n1, words, l1, l2), p3, bucket(n2))
 
     return run
 
@@ -344,16 +343,17 @@ def fit(blocks: DataFrame, parts: int, folder: str, words: int, total: int) -> t
     """The weights l1, l2 by bucket, l3 by bucket. The driver sees histograms of 128 x 128 x 64 cells at most, whatever the corpus."""
 
     def cells(fn: Callable[[Block], pa.RecordBatch]) -> list[np.ndarray]:
-        rows = blocks.mapInArrow(_each_block(parts, fn), "x int, y int, z int, n long")
-        got = rows.groupBy("x", "y", "z").agg(F.sum("n").alias("n")).orderBy("x", "y", "z").toArrow()
-        return [got[c].to_numpy().astype(np.int64) for c in ("x", "y", "z", "n")]
+        rows = blocks.mapInArrow(_each_block(parts, fn), "x int, y int, z int, n long, lx double, ly double")
+        got = rows.groupBy("x", "y", "z").agg(*[F.sum(c).alias(c) for c in ("n", "lx", "ly")]).orderBy("x", "y", "z").toArrow()
+        x, y, z, n, lx, ly = (got[c].to_numpy() for c in ("x", "y", "z", "n", "lx", "ly"))
+        return [np.where(x == _NONE, 0.0, np.exp(lx / n)), np.where(y == _NONE, 0.0, np.exp(ly / n)), z.astype(np.int64), n.astype(np.int64)]
 
-    q1, q2, b2, n = cells(_low_histogram(folder, total))
-    even = np.full(len(q1), 1 / (words + 1))
-    l1 = float(learn(_value(q1), even, np.ones(len(q1), np.int64), n)[1])
-    l2 = learn(_value(q2), l1 * _value(q1) + (1 - l1) * even, b2, n)
-    low, q3, b3, n = cells(_high_histogram(folder, words, total, l1, l2))
-    return l1, l2, learn(_value(q3), _value(low), b3, n)
+    p1, p2, b2, n = cells(_low_histogram(folder, total))
+    even = np.full(len(p1), 1 / (words + 1))
+    l1 = float(learn(p1, even, np.ones(len(p1), np.int64), n)[1])
+    l2 = learn(p2, l1 * p1 + (1 - l1) * even, b2, n)
+    low, p3, b3, n = cells(_high_histogram(folder, words, total, l1, l2))
+    return l1, l2, learn(p3, low, b3, n)
 
 
 def _scores(folder: str, words: int, total: int, l1: float, l2: np.ndarray, l3: np.ndarray):
@@ -375,8 +375,9 @@ def score(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_scored (words and the end), log_prob (natural logarithm), perplexity."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "lm")
-    parts = tasks(spark)
-    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, _BLOCKS), f"{folder}/blocks")
+    blocks = written(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_blocks, _BLOCKS), f"{folder}/blocks")
+    size = F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + F.greatest(x, F.lit(0)))
+    parts = ranges(blocks.agg(F.sum(size)).first()[0] or 0, tasks(spark), RANGE_WORDS)
     counts = f"{folder}/counts"
     words, total = _ask(blocks, parts, counts, _first_requests)
     release(spark)

@@ -125,7 +125,19 @@ def test_url_labels_and_parts(spark):
 
 
 def brute_scores(texts):
-    """The same model from plain dicts, with its weights learned by the same sums over exact estimates."""
+    """The same model from plain dicts, its weights by expectation-maximisation over every single event, nothing rounded."""
+
+    def em(high, low, context):
+        weights = {}
+        for b in set(context):
+            own = [(h, l) for h, l, c in zip(high, low, context) if c == b]
+            w = 0.5
+            for _ in range(60):
+                w = min(sum(w * h / (w * h + (1 - w) * l) for h, l in own) / len(own), 1 - 1e-6)
+            weights[b] = w if b else 0.0
+        return np.array([weights[b] for b in context])
+
+    octave = lambda n: [int(math.log2(x)) + 1 if x > 0 else 0 for x in n]
     seqs = [["\0", *re.findall(r"[^\W_]+", t.lower()), "\0"] for t in texts]
     c1, c2, c3 = Counter(), Counter(), Counter()
     for s in seqs:
@@ -143,32 +155,29 @@ def brute_scores(texts):
             p3 = (c3[s[i - 2], s[i - 1], s[i]] - 1) / n2 if n2 > 0 else 0.0
             events.append((k, p1, p2, p3, n1, n2))
     k, p1, p2, p3, n1, n2 = (np.array(x) for x in zip(*events))
-    one = np.ones(len(k))
-    even = one / (words + 1)
-    q = lambda p: lm_scoring._value(lm_scoring.half_octave(p))
-    l1 = lm_scoring.learn(q(p1), even, np.ones(len(k), np.int64), one)[1]
-    l2 = lm_scoring.learn(q(p2), l1 * q(p1) + (1 - l1) * even, lm_scoring.bucket(n1), one)
-    w = l2[lm_scoring.bucket(n1)]
-    low = w * p2 + (1 - w) * (l1 * p1 + (1 - l1) * even)
-    l3 = lm_scoring.learn(q(p3), q(low), lm_scoring.bucket(n2), one)
-    w = l3[lm_scoring.bucket(n2)]
-    return np.bincount(k.astype(int), np.log(w * p3 + (1 - w) * low), len(texts)), [len(s) - 1 for s in seqs]
+    even = np.full(len(k), 1 / (words + 1))
+    w1 = em(p1, even, [1] * len(k))
+    low1 = w1 * p1 + (1 - w1) * even
+    w2 = em(p2, low1, octave(n1))
+    low2 = w2 * p2 + (1 - w2) * low1
+    w3 = em(p3, low2, octave(n2))
+    return np.bincount(k.astype(int), np.log(w3 * p3 + (1 - w3) * low2), len(texts)), [len(s) - 1 for s in seqs]
 
 
 def test_lm_scores_match_brute_force(docs):
     r = random.Random(4)
     words = [f"w{int(r.paretovariate(0.8))}" for _ in range(3000)]
     texts = [" ".join(words[i: i + r.randint(0, 60)]) for i in r.sample(range(2900), 60)]
-    texts += [texts[0], texts[0], "", "unseen words only", "w1 " * 5000]
+    texts += [texts[0], texts[0], "", "unseen words only", "w1 " * 5000, " ".join(f"w{k % 700}" for k in range(60_000))]
     got = lm_scoring.score(docs([(k, t) for k, t in enumerate(texts)] + [(999, None)]))
     rows = {x.doc_id: x for x in got.collect()}
     want, n = brute_scores(texts)
     for k in range(len(texts)):
         assert rows[k].n_scored == n[k]
-        assert math.isclose(rows[k].log_prob, want[k], rel_tol=1e-6, abs_tol=1e-6), k
-        assert math.isclose(rows[k].perplexity, math.exp(-want[k] / n[k]), rel_tol=1e-6)
+        assert math.isclose(rows[k].log_prob, want[k], rel_tol=5e-3, abs_tol=0.02), k
+        assert math.isclose(rows[k].perplexity, math.exp(-rows[k].log_prob / n[k]), rel_tol=1e-9)
     assert rows[999].log_prob is None and rows[999].n_scored is None
-    assert rows[0].perplexity < rows[len(texts) - 2].perplexity
+    assert rows[0].perplexity < rows[len(texts) - 3].perplexity
 
 
 def test_lm_empty(docs):
