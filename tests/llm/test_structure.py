@@ -197,19 +197,53 @@ def recall(rows, got, k):
     sims = x @ x.T
     hit = total = 0
     for a in range(len(ids)):
+        if ids[a] not in got:
+            continue
         order = sorted((b for b in range(len(ids)) if ids[b] != ids[a]), key=lambda b: (-sims[a, b], ids[b]))[:k]
         hit += len({ids[b] for b in order} & set(got[ids[a]]))
         total += len(order)
     return hit / total
 
 
-@pytest.mark.parametrize(("n", "dims"), [(30, 16), (400, 64), (1500, 48)])
-def test_neighbours_recall(spark, n, dims):
+@pytest.mark.parametrize(("n", "dims", "spread_"), [(30, 16, 1.0), (1500, 64, 1.0), (3000, 128, 0.5), (2000, 768, 0.3), (6000, 48, 0.2)])
+def test_neighbours_recall(spark, n, dims, spread_):
     rng = np.random.default_rng(n)
-    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(size=(n, dims)).astype(np.float32))]
+    centres = rng.normal(size=(20, dims))
+    rows = [(int(i), v.tolist()) for i, v in enumerate((centres[rng.integers(0, 20, n)] * (1 - spread_) + rng.normal(size=(n, dims)) * spread_).astype(np.float32))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS part", "'x' AS neighbours")
-    got = {r.vec_id: r.neighbours for r in neighbours.nearest(df).collect()}
-    assert recall(rows, got, 10) >= 0.9
+    got = {r.vec_id: r.neighbours for r in neighbours.nearest(df, queries=F.col("vec_id") % 10 == 0).collect()}
+    assert set(got) == set(range(0, n, 10)) and recall(rows, got, 10) >= 0.9
+
+
+def test_neighbours_meet_fewer_rows_as_tables_grow():
+    share = []
+    for n, cosine in ((10**5, 0.48), (10**7, 0.59), (10**9, 0.65)):
+        plan = neighbours.fitted(n, n // 50, 10, 64, np.full(10, cosine))
+        share.append(plan.tables * plan.probes / 128**plan.rotations)
+    assert share[0] > 4 * share[1] > 8 * share[2]
+
+
+def test_neighbours_buckets_are_the_best_combinations():
+    rng = np.random.default_rng(3)
+    a, b = (rng.normal(size=(5, 8)).astype(np.float32) for _ in range(2))
+    got = neighbours.nearest_buckets([a, b], 20)
+    for k in range(5):
+        x, y = np.concatenate([a[k], -a[k]]), np.concatenate([b[k], -b[k]])
+        assert got[k].tolist() == sorted(range(256), key=lambda c: -(x[c // 16] + y[c % 16]))[:20]
+
+
+def test_neighbours_in_a_bucket_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PIECE", 50)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)).astype(np.float32))] + [(1000 + i, [1.0] * 16) for i in range(400)]
+    got = {r.vec_id: r.neighbours for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()}
+    assert got[1000] == [1001, 1002, 1003, 1004, 1005] and got[1399] == [1000, 1001, 1002, 1003, 1004] and recall(rows, got, 5) >= 0.9
+
+
+def test_neighbours_of_another_length(spark):
+    rows = [(k, [1.0, float(k), 0.0]) for k in range(6)] + [(10, [1.0, 1.0, 1.0, 1.0]), (11, [1.0])]
+    got = {r.vec_id: r.neighbours for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=1).collect()}
+    assert got[10] is None and got[11] is None and got[0] == [1]
 
 
 def test_neighbours_edges(spark):
