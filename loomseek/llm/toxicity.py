@@ -112,11 +112,21 @@ def _stems(texts: list[str]) -> Counter:
     return Counter(x for t in texts for x in {w[:_STEM] for w in normal(t).split()})
 
 
+def _chance(own: int, other: int, share: float) -> float:
+    """Bound on the logarithm of the chance that so many of own + other texts are of the own class, whose share in all texts that is."""
+    q = own / (own + other)
+    return -(own + other) * (q * np.log(q / share) + (0.0 if q == 1 else (1 - q) * np.log((1 - q) / (1 - share)))) if q > share else 0.0
+
+
 def _marks(own: list[str], other: list[str], rate: float, lift: float) -> set[str]:
-    """Words and phrases that are in a share ``rate`` of one class's texts (4 at least) and ``lift`` times more often than in the other's."""
+    """Words and phrases that are in a share ``rate`` of one class's texts and ``lift`` times more often than in the other's.
+
+    Of as many terms as there are, less than one would be so much more frequent by chance.
+    """
     found = _frequent(own, max(4, rate * len(own)))
     there = Counter(x for t in other for x in _terms(t) & found.keys())
-    marks = {x for x, n in found.items() if n * len(other) > lift * (there[x] + 1) * len(own)}
+    share, least = len(own) / (len(own) + len(other)), -np.log(max(2, sum(1 for t in own for _ in _terms(t))))
+    marks = {x for x, n in found.items() if n * len(other) > lift * (there[x] + 1) * len(own) and _chance(n, there[x], share) < least}
     stems_own, stems_other = _stems(own), _stems(other)
     # words that merely begin like many words of the other class would save bytes there too
     return {x for x in marks if " " in x or stems_own[x[:_STEM]] * len(other) > lift / 2 * (stems_other[x[:_STEM]] + 1) * len(own)}
@@ -148,18 +158,9 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
 
 
-def _common(samples: list[bytes], size: int) -> bytes:
-    while size >= 256:
-        try:
-            return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-        except zstandard.ZstdError:  # too little text for that size
-            size //= 2
-    return b" ".join(samples)[:256]
-
-
-def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: int = 64, level: int = 9,
+def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.004, window: int = 64, level: int = 9,
         mark_bytes: int = 1536, common_bytes: int = 4096, mark_rate: float = 0.005, mark_lift: float = 12.0) -> ToxicityModel | None:
-    """Train on (text, toxic) pairs. Half of them make the dictionaries, a quarter the ratios, a quarter the threshold.
+    """Train on (text, toxic) pairs. Half of them make the dictionaries; of the others each half is scored with the ratios of the other half, for the threshold.
 
     ``false_rate``: share of held-out ordinary texts that may exceed the threshold. None without 4 rows of each class.
     """
@@ -169,10 +170,10 @@ def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: i
     if len(toxic) < 4 or len(clean) < 4:
         return None
     cut = lambda xs: (xs[0::2], xs[1::4], xs[3::4] or xs[1::4])
-    (t_dict, t_ratio, _), (c_dict, c_ratio, c_held) = cut(toxic), cut(clean)
+    (t_dict, *t_rest), (c_dict, *c_rest) = cut(toxic), cut(clean)
 
     sample = [normal(t).encode("utf-8", "replace") for t in c_dict]
-    common = _common([s[i: i + 100_000] for s in sample for i in range(0, len(s), 100_000)], common_bytes)
+    common = _trained([s[i: i + 100_000] for s in sample for i in range(0, len(s), 100_000)], common_bytes)
     toxic_content = common + _trained(_telling(t_dict, _marks(t_dict, c_dict, mark_rate, mark_lift)), mark_bytes)
     plain_content = common + _trained(_telling(c_dict, _marks(c_dict, t_dict, mark_rate, mark_lift)), mark_bytes)
     a, b = _compressor(toxic_content, level), _compressor(plain_content, level)
@@ -184,9 +185,10 @@ def fit(rows: Iterable[tuple[str, int]], *, false_rate: float = 0.003, window: i
             x += np.bincount(np.clip(g, LOW, HIGH) - LOW, minlength=len(x))
         return x
 
-    ratio = rising_ratio(histogram(t_ratio), histogram(c_ratio))
-    held = scores(c_held, a, b, ratio, window)
+    counts = [(histogram(t), histogram(c)) for t, c in zip(t_rest, c_rest, strict=True)]
+    held = np.concatenate([scores(c_rest[k], a, b, rising_ratio(*counts[1 - k]), window) for k in (0, 1)])
     at = min(len(held) - 1, int(np.ceil((1 - false_rate) * len(held))))
+    ratio = rising_ratio(counts[0][0] + counts[1][0], counts[0][1] + counts[1][1])
     return ToxicityModel(toxic_content, plain_content, float(max(0.0, np.sort(held)[at])), tuple(map(float, ratio)), window, level)
 
 
@@ -243,8 +245,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500,
         part = one.where(F.col("lo") == value).select("doc_id", F.col("lo").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionAll(part)
     rows = (docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-            .select("doc_id", "text", "y").collect())
-    rows.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64), r.text))
+            .select(F.xxhash64("doc_id", F.lit("turn")).alias("turn"), "text", "y").collect())
+    rows.sort(key=lambda r: (r.turn, r.text))
     return [(r.text, r.y) for r in rows]
 
 
