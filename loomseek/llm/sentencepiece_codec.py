@@ -13,17 +13,18 @@ piece if the model has no bytes. Text like "<s>" is ordinary text. Decoding give
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,7 @@ from loomseek.llm.shared import fresh, slices
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_MOST_CACHED = 120_000  # units, and pairs, that a worker remembers: some 30 MB each
+_MOST_CACHED = 150_000  # units, and pairs, in each of two generations that a worker remembers: some 30 MB each
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -63,6 +64,28 @@ def _fields(b: bytes, i: int, end: int) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Recent(dict):
+    """Remembers what was used lately: when the young generation is full it becomes the old one, and what is used again moves up."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def find(self, key):
+        found = self.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Codec:
     """Encoder and decoder of one model of type BPE with identity normalization."""
 
@@ -111,8 +134,7 @@ class Codec:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None) for p in self.reached}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._cache: dict[str, array] = {}
+        self._pairs, self._cache = Recent(_MOST_CACHED), Recent(_MOST_CACHED)
         raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(SPACE, " ").encode()
                for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._raw = pa.array(raw, pa.large_binary())
@@ -149,11 +171,10 @@ class Codec:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the characters of two adjacent pieces gives these two pieces."""
-        found = self._pairs.get((a, b))
+        found = self._pairs.find((a, b))
         if found is None:
-            if len(self._pairs) > _MOST_CACHED:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self.merge(a + b) == [a, b]
+            found = self.merge(a + b) == [a, b]
+            self._pairs.keep((a, b), found)
         return found
 
     def backtrack(self, text: str) -> list[str]:
@@ -210,7 +231,7 @@ class Codec:
 
     def unit(self, text: str) -> list[int] | array:
         """Ids of one unit (spaces already replaced)."""
-        found = self._cache.get(text)
+        found = self._cache.find(text)
         if found is not None:
             return found
         out: list[int] = []
@@ -223,10 +244,8 @@ class Codec:
         else:
             for part in self._segments.findall(text):
                 out += self._known_ids(part) if part[0] in self.known else self._unknown(part)
-        if len(self._cache) > _MOST_CACHED:
-            self._cache.clear()
         if len(text) <= 64:
-            self._cache[text] = array("i", out)
+            self._cache.keep(text, array("i", out))
         return out
 
     def _unknown(self, part: str) -> list[int]:
@@ -307,21 +326,28 @@ _LOADED: dict[str, Codec] = {}
 
 
 def load(path: str = DEFAULT_MODEL) -> Codec:
-    """The codec of a model file, kept for the life of the process."""
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = Codec(f.read())
-    return _LOADED[path]
+    """The codec of a model file of this machine."""
+    with open(path, "rb") as f:
+        return Codec(f.read())
+
 
+def sent(spark: SparkSession, path: str) -> Callable[[], Codec]:
+    """Reads a model file on the driver and sends it to the workers; what is returned gives the codec there, made once for each process."""
+    with open(path, "rb") as f:
+        data = f.read()
+    name, model = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
-def _each_slice(fn, column: pa.Array, kind: pa.DataType) -> pa.Array:
-    parts = [fn(column.slice(i, j - i)) for i, j in slices(column, 4 << 20)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    def get() -> Codec:
+        if name not in _LOADED:
+            _LOADED[name] = Codec(model.value)
+        return _LOADED[name]
 
+    return get
 
-def _encoder(path: str, column: str, ids: str, exact: str | None):
+
+def _encoder(codec_of: Callable[[], Codec], column: str, ids: str, exact: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
+        codec = codec_of()
         for batch in batches:
             text = batch.column(batch.schema.names.index(column))
             for i, j in slices(text, 4 << 20):
@@ -351,14 +377,16 @@ def encode(docs: DataFrame, path: str = DEFAULT_MODEL, ids: str = "token_ids", e
     more = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(f"n_{ids}", T.IntegerType())]
     if exact is not None:
         more.append(T.StructField(exact, T.BooleanType()))
-    return docs.mapInArrow(_encoder(path, "text", ids, exact), T.StructType([*fields, *more]))
+    return docs.mapInArrow(_encoder(sent(docs.sparkSession, path), "text", ids, exact), T.StructType([*fields, *more]))
 
 
 def decode(tokens: DataFrame, path: str = DEFAULT_MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
     """``tokens`` with the text of its ids in a column ``text``, in place of one of that name."""
 
+    codec_of = sent(tokens.sparkSession, path)
+
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        return load(path).decode_array(column)
+        return codec_of().decode_array(column)
 
     return tokens.withColumn(text, texts(F.col(ids)))
