@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek.functions.partitions import spread
 from loomseek.llm import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, neighbours, ngram_join, sentencepiece_codec, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    model = url_filter.fit(url_filter.sample_labelled(pages, url_filter.seed_label(F.col("url"))))
+    labelled, totals = url_filter.sample_labelled(pages, url_filter.seed_label(F.col("url")))
+    model = url_filter.fit(labelled, totals=totals)
     return url_filter.classify(pages, model)
 
 

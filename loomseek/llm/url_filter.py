@@ -1,11 +1,13 @@
 """URL filter: gradient-boosted trees on lexical features of the URL, trained here from labelled URLs.
 
 Features: lengths, depth, ratio of digits, entropy, numbers of parameters, hyphens and labels, and statistics of the host's
-suffix (how often the labelled rows have it, and its smoothed share of bad ones). Trees are grown on binned features with
-second-order gains for the logistic loss. Scoring is one pass over the table, the URLs alone being read.
+public suffix (how often the labelled rows have it, and its smoothed share of bad ones; a row that is trained on is left out of
+its own suffix's statistics). Trees are grown on binned features with second-order gains for the logistic loss. The classes
+are sampled apart; their rows are weighted to the shares that the classes have in the whole table, so a URL's score
+doesn't hang on the table's size. Scoring is one pass over the table, the URLs alone being read.
 
 Definitions. A null URL has a null score and is kept; an empty or malformed one has the features of an empty host. Rows alike are
-scored alike. Without rows of both classes nothing is filtered (score null).
+scored alike. A score that equals the threshold rejects. Without rows of both classes nothing is filtered (score null).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "hos
             "hyphens", "host_hyphens", "labels", "longest_label", "https", "fragment", "suffix_count", "suffix_bad")
 #: Words of seed hosts by which URLs are labelled where a table has no labels of its own.
 SEED_BAD = ("adult", "xxx", "porn", "casino", "bets", "pills", "spam", "ads", "track", "malware", "warez")
-_BINS = 64
+_BINS, _SMOOTH = 64, 20
 
 
 def seed_label(url: Column) -> Column:
@@ -53,17 +55,21 @@ def _digits(s: str) -> float:
 
 
 def suffix(host: str) -> str:
-    """The last two labels of a host."""
-    return ".".join(host.split(".")[-2:])
+    """The last label of a host, or the last two of such as co.uk: a country's code after a label of at most three letters."""
+    labels = host.split(".")
+    return ".".join(labels[-2:] if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else labels[-1:])
 
 
-def features(url: str, suffixes: dict[str, tuple[int, float]], prior: float) -> list[float]:
+def features(url: str, suffixes: dict[str, tuple[float, float]], prior: float, own: tuple[float, int] | None = None) -> list[float]:
+    """``suffixes``: weight of all labelled rows and of bad ones by suffix. ``own``: weight and class of a row that is among them."""
     scheme, host, path, query, fragment = parts(url)
     labels = host.split(".") if host else []
-    count, bad = suffixes.get(suffix(host), (0, prior))
+    count, bad = suffixes.get(suffix(host), (0.0, 0.0))
+    if own is not None:
+        count, bad = count - own[0], bad - own[0] * own[1]
     return [len(url), len(host), len(path), sum(1 for p in path.split("/") if p), _digits(url), _digits(host), _entropy(url), _entropy(host),
             query.count("&") + 1 if query else 0, len(query), url.count("-"), host.count("-"), len(labels), max(map(len, labels), default=0),
-            scheme == "https", bool(fragment), math.log1p(count), bad]
+            scheme == "https", bool(fragment), math.log1p(max(count, 0.0)), (bad + _SMOOTH * prior) / (count + _SMOOTH)]
 
 
 @dataclass(frozen=True)
@@ -72,7 +78,7 @@ class UrlModel:
 
     base: float
     trees: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
-    suffixes: dict[str, tuple[int, float]]
+    suffixes: dict[str, tuple[float, float]]
     prior: float
 
     def score(self, urls: list[str]) -> np.ndarray:
@@ -122,20 +128,21 @@ def _grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]
     return tuple(np.array(a) for a in (feature, cut, left, right, value))
 
 
-def fit(rows: Iterable[tuple[str, int]], *, trees: int = 80, depth: int = 4, rate: float = 0.2, least: float = 2.0, ridge: float = 1.0) -> UrlModel | None:
-    """Train on (url, bad) pairs; None without rows of both classes."""
+def fit(rows: Iterable[tuple[str, int]], *, totals: tuple[int, int] | None = None, trees: int = 80, depth: int = 4, rate: float = 0.2, least: float = 2.0, ridge: float = 1.0) -> UrlModel | None:
+    """Train on (url, bad) pairs; None without rows of both classes. ``totals``: how many rows of class 0 and 1 these stand for."""
     rows = [(u, int(y)) for u, y in rows if u is not None and y is not None]
     y = np.array([b for _, b in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    prior = float(y.mean())
-    seen, bad = Counter(), Counter()
-    for u, b in rows:
-        s = suffix(parts(u)[1])
-        seen[s] += 1
-        bad[s] += b
-    suffixes = {s: (n, (bad[s] + 20 * prior) / (n + 20)) for s, n in seen.items()}
-    x = np.array([features(u, suffixes, prior) for u, _ in rows], np.float64)
+    totals = totals or (int(len(y) - y.sum()), int(y.sum()))
+    weigh = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum())) * len(y) / sum(totals)
+    prior = totals[1] / sum(totals)
+    suffixes: dict[str, tuple[float, float]] = {}
+    for (u, b), w in zip(rows, weigh.tolist(), strict=True):
+        x = suffix(parts(u)[1])
+        n, bad = suffixes.get(x, (0.0, 0.0))
+        suffixes[x] = n + w, bad + w * b
+    x = np.array([features(u, suffixes, prior, (w, b)) for (u, b), w in zip(rows, weigh.tolist(), strict=True)], np.float64)
     cuts = []
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
@@ -146,7 +153,7 @@ def fit(rows: Iterable[tuple[str, int]], *, trees: int = 80, depth: int = 4, rat
     total, grown = np.full(len(y), base), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
-        tree = _grow(bins, p - y, np.maximum(p * (1 - p), 1e-9), cuts, depth, least, ridge)
+        tree = _grow(bins, weigh * (p - y), np.maximum(weigh * p * (1 - p), 1e-9), cuts, depth, least, ridge)
         tree = (*tree[:4], tree[4] * rate)
         node = np.zeros(len(y), np.int64)
         while (inner := tree[0][node] >= 0).any():
@@ -158,14 +165,15 @@ def fit(rows: Iterable[tuple[str, int]], *, trees: int = 80, depth: int = 4, rat
     return UrlModel(base, tuple(grown), suffixes, prior)
 
 
-def sample_labelled(pages: DataFrame, label: Column, most: int = 20_000) -> list[tuple[str, int]]:
-    """At most ``most`` labelled rows of each class, chosen by a hash of the URL, in a fixed order; rows alike count once."""
+def sample_labelled(pages: DataFrame, label: Column, most: int = 20_000) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+    """At most ``most`` labelled rows of each class, chosen by a hash of the URL, in a fixed order; rows alike count once. And how many there are of class 0 and 1."""
     rows = pages.select("url", label.alias("bad")).where("url IS NOT NULL AND bad IN (0, 1)").distinct()
+    counts = {r.bad: r["count"] for r in rows.groupBy("bad").count().collect()}
     out = []
     for value in (1, 0):
         part = rows.where(F.col("bad") == value).orderBy(F.xxhash64("url"), "url").limit(most)
         out += [(r.url, r.bad) for r in part.collect()]
-    return out
+    return out, (counts.get(0, 0), counts.get(1, 0))
 
 
 def classify(pages: DataFrame, model: UrlModel | None, threshold: float = 0.5, score: str = "url_score", keep: str = "keep") -> DataFrame:

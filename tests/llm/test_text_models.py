@@ -82,6 +82,35 @@ def test_toxicity_marks_of_few_texts():
     assert toxicity._marks(toxic, ["calm words here"] * 2000, 0.005, 12.0) >= {"gnarfle", "words gnarfle"}
 
 
+def test_toxicity_matches_windows_compressed_one_by_one(docs):
+    """The score from its definition: each window compressed by itself with both dictionaries, all runs of windows tried."""
+    import zstandard
+
+    r = random.Random(9)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    made = [(" ".join(r.choice(words[:8] if k % 3 == 0 and r.random() < 0.3 else words[8:]) for _ in range(60)), int(k % 3 == 0)) for k in range(300)]
+    model = toxicity.fit(made)
+    coders = [zstandard.ZstdCompressor(
+        compression_params=zstandard.ZstdCompressionParameters.from_level(model.level, source_size=128, dict_size=len(x), min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False),
+        dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in (model.ordinary, model.toxic)]
+
+    def score(text):
+        data, cuts = f" {' '.join(text.lower().split())} ".encode(), [0]
+        spaces = [i for i, c in enumerate(data) if c == 32]
+        for i in spaces[1:]:
+            if i // model.window > cuts[-1] // model.window:
+                cuts.append(i)
+        parts = [data[i: j + 1] for i, j in zip(cuts, [*cuts[1:], len(data)])]
+        gains = [len(coders[0].compress(p)) - len(coders[1].compress(p)) for p in parts if len(p) > 1]
+        ratio = [model.ratio[min(max(g, toxicity.LOW), toxicity.HIGH) - toxicity.LOW] for g in gains]
+        return max(0.0, *(sum(ratio[i:j]) for i in range(len(ratio)) for j in range(i + 1, len(ratio) + 1))) - toxicity.LENGTH_COST * math.log(len(ratio))
+
+    texts = [t for t, _ in made[:40]] + [" ".join(t for t, _ in made[:30])]
+    got = {x.doc_id: (x.tox_score, x.toxic) for x in toxicity.classify(docs(list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        assert math.isclose(got[k][0], score(t), abs_tol=1e-6) and got[k][1] == (score(t) > model.threshold)
+
+
 def test_toxicity_without_training(docs):
     assert toxicity.fit([]) is None
     got = toxicity.classify(docs([(1, "a"), (2, None)]), None).collect()
@@ -120,8 +149,34 @@ def test_url_labels_and_parts(spark):
     df = spark.createDataFrame([("http://m.casino-win.example.com/a",), ("https://casinos.example.com/casino",), (None,)], "url string")
     assert [r[0] for r in df.select(url_filter.seed_label(F.col("url"))).collect()] == [1, 0, None]
     assert url_filter.parts("HTTPS://u@Host.org:80/a/b?x=1&y#f") == ("https", "host.org", "/a/b", "x=1&y", "f")
-    model = url_filter.fit(url_filter.sample_labelled(spark.read.parquet(f"{SF}/pages.parquet"), url_filter.seed_label(F.col("url"))))
-    assert model is not None
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    labelled, totals = url_filter.sample_labelled(pages, url_filter.seed_label(F.col("url")))
+    assert url_filter.fit(labelled, totals=totals) is not None and sum(totals) == len(labelled) == pages.select("url").distinct().count()
+    assert [url_filter.suffix(h) for h in ("a.b.co.uk", "a.com", "x.de", "a.info.de", "", "co.uk")] == ["co.uk", "com", "de", "de", "", "uk"]
+
+
+def test_url_suffix_leaves_the_row_out():
+    """A suffix that one row alone has says nothing about that row, and weights make the sample like the whole."""
+    own = url_filter.features("http://a.zz", {"zz": (1.0, 1.0)}, 0.1, (1.0, 1))
+    assert own == url_filter.features("http://a.zz", {}, 0.1)
+    rows = [(f"http://h{k}.example.org/{'x' * (k % 7)}", int(k % 10 == 0)) for k in range(400)]
+    even = [r for r in rows if r[1]] + [r for r in rows if not r[1]][:40]
+    whole, part = url_filter.fit(rows), url_filter.fit(even, totals=(360, 40))
+    assert whole.prior == part.prior == 0.1 and part.base == whole.base
+
+
+def test_url_scores_match_trees_walked_by_hand():
+    r = random.Random(6)
+    rows = [(f"http://{'bad-' * (k % 3 == 0)}h{r.randint(0, 99)}.org/{r.randint(0, 9**6)}", int(k % 3 == 0)) for k in range(300)]
+    model = url_filter.fit(rows, trees=10)
+    for u, _ in rows[:50]:
+        x, total = url_filter.features(u, model.suffixes, model.prior), model.base
+        for feature, cut, left, right, value in model.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] if x[feature[node]] <= cut[node] else right[node]
+            total += value[node]
+        assert math.isclose(model.score([u])[0], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
 
 
 def brute_scores(texts):
