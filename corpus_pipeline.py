@@ -3,49 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomseek.llm import exact_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
-from loomseek.llm.shared import shared_folder
+from loomseek.llm.shared import fresh, shared_folder
 
 #: No SQL: a trained classifier, a balanced sample and a tokenizer are among the stages.
 ORACLE_SQL: str | None = None
 
 
-#: Rows of whole documents that go to a Python worker at once; keeps executors with little memory within it.
-BATCH_ROWS = "2000"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; null and empty texts stay."""
-    _small_batches(spark)
+    """Documents that the classifier rejects go. Null and empty texts stay; so do all documents where labels are too few to train on. Repeated rows go or stay alike."""
     model = toxicity.fit(toxicity.sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    flag = "toxic_flag_"
-    return toxicity.classify(docs, model, "tox_score_", flag).where(f"NOT {flag}").select(*docs.columns)
+    score = fresh(docs.columns, "tox_score")
+    flag = fresh([*docs.columns, score], "toxic")
+    return toxicity.classify(docs, model, score, flag).where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    """Of documents with the same bytes, the empty ones too, the one with the smallest id stays (null ids last). Null texts stay."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    """Of each group of near duplicates the document with the smallest id stays. Null texts, and those without words, stay."""
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A balanced sample: sources in the ratio of their tokens to the power 0.7."""
-    _small_batches(spark)
+    """A balanced sample: sources in the ratio of their tokens to the power 0.7. Null and empty texts have no tokens and are drawn as documents of their source; null is a source too."""
     return mixing.balanced_sample(docs, only_selected=True)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts."""
-    _small_batches(spark)
+    """The documents with the ids of their texts (token_ids: null for a null text, none for an empty one) and their number (n_token_ids)."""
     return sentencepiece_codec.encode(docs)
 
 

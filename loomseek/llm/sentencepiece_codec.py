@@ -373,11 +373,15 @@ def encode(docs: DataFrame, path: str = DEFAULT_MODEL, ids: str = "token_ids", e
     """
     new = [ids, f"n_{ids}", *([exact] if exact is not None else [])]
     docs = docs.drop(*new)
-    fields = [f for f in docs.schema.fields if f.name != "text" or exact is None]
+    text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
+    # columns go to the workers under plain names, as theirs may have dots
+    plain = {f.name: text if f.name == text else f"c{k}" for k, f in enumerate(docs.schema.fields)}
+    kept = [f for f in docs.schema.fields if f.name != text or exact is None]
     more = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(f"n_{ids}", T.IntegerType())]
     if exact is not None:
         more.append(T.StructField(exact, T.BooleanType()))
-    return docs.mapInArrow(_encoder(sent(docs.sparkSession, path), "text", ids, exact), T.StructType([*fields, *more]))
+    schema = T.StructType([*(T.StructField(plain[f.name], f.dataType, f.nullable) for f in kept), *more])
+    return docs.toDF(*plain.values()).mapInArrow(_encoder(sent(docs.sparkSession, path), text, ids, exact), schema).toDF(*(f.name for f in kept), *new)
 
 
 def decode(tokens: DataFrame, path: str = DEFAULT_MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
