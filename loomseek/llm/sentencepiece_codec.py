@@ -3,7 +3,8 @@
 A model file is read with a small parser of its own. The text is cut where no piece can cross: before a run of spaces
 after other characters, and around characters that no piece has. Such a unit is encoded once for each batch and worker:
 an Aho-Corasick automaton gives the longest piece at each position; a piece is taken if it is compatible with the one
-before it, that is, if merging the two pieces' characters again gives the two; otherwise the next shorter prefix
+before it, that is, if merging the two pieces' characters again gives the two (which is followed backwards along their border: where
+a union across it scores better than the merge that is undone next, it would have come first); otherwise the next shorter prefix
 is tried, and a position where none is left is marked in a bitfield and the piece before it taken back.
 Pieces of equal score (runs of spaces) have no total order, so a unit with such a run is merged directly.
 
@@ -33,7 +34,7 @@ from loomseek.llm.shared import fresh, slices
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_MOST_CACHED = 150_000  # units, and pairs, in each of two generations that a worker remembers: some 30 MB each
+_MOST_CACHED = 100_000  # pairs, and units in each of two generations, that a worker remembers: some 20 MB each
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -127,21 +128,26 @@ class Codec:
         self.known = {c for p in self.ids for c in p}
         chars = "".join(sorted(self.known)).replace("\\", "\\\\").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-")
         self._segments = re.compile(f"[{chars}]+|[^{chars}]+")
-        # pieces that merging reaches, the automaton over them, and for each the longest other one that it begins with
-        self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        # pieces that merging reaches, with the parts of the last merge; the automaton over them; for each the longest other one that it begins with
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p, self.halves) == [p]}
+        self.level = {p: -self.score[p] if len(p) > 1 else -np.inf for p in self.reached}
+        # scores fall from parts to wholes in a model of merges; where they don't, pieces are merged from their characters
+        self.falls = all(max(self.level[a], self.level[b]) < self.level[p] for p, (a, b) in self.halves.items() if p in self.reached and p not in self.tied)
         self.automaton = ahocorasick.Automaton()
         for p in self.reached:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None) for p in self.reached}
-        self._pairs, self._cache = Recent(_MOST_CACHED), Recent(_MOST_CACHED)
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._cache = Recent(_MOST_CACHED)
         raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(SPACE, " ").encode()
                for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._raw = pa.array(raw, pa.large_binary())
         self._raw_len = np.array([len(x) for x in raw], np.int64)
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces that merging gives: always the pair whose union scores best, of equals the leftmost."""
+    def merge(self, text: str, halves: dict[str, tuple[str, str]] | None = None) -> list[str]:
+        """The pieces that merging gives: always the pair whose union scores best, of equals the leftmost. If the text becomes one, ``halves`` gets its two parts."""
         parts: list[str] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -160,6 +166,8 @@ class Codec:
             _, i, j, union = heapq.heappop(heap)
             if not parts[i] or after[i] != j or parts[i] + parts[j] != union:
                 continue
+            if halves is not None and len(union) == len(text):
+                halves[text] = parts[i], parts[j]
             parts[i], parts[j] = union, ""
             after[i] = after[j]
             if after[i] < len(parts):
@@ -171,11 +179,21 @@ class Codec:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the characters of two adjacent pieces gives these two pieces."""
-        found = self._pairs.find((a, b))
-        if found is None:
-            found = self.merge(a + b) == [a, b]
-            self._pairs.keep((a, b), found)
-        return found
+        if not self.falls:
+            return self.merge(a + b) == [a, b]
+        level, score, halves = self.level, self.score, self.halves
+        next_, right = np.inf, False
+        while True:
+            s = score.get(a + b)
+            if s is not None and (-s < next_ or (right and -s == next_)):  # of equals the leftmost comes first
+                return False
+            x, y = level[a], level[b]
+            if x > y:
+                next_, right, a = x, False, halves[a][1]
+            elif len(b) > 1:
+                next_, right, b = y, True, halves[b][0]
+            else:  # two characters
+                return True
 
     def backtrack(self, text: str) -> list[str]:
         """The encoding of a text of known characters without pieces of tied scores."""
@@ -185,26 +203,34 @@ class Codec:
         if longest[0] is not None and len(longest[0]) == len(text):
             return [text]
         out: list[str] = []
-        alive = (1 << (len(text) + 1)) - 1
-        pos, piece = 0, longest[0]
+        failed = 0  # the bitfield of positions that no valid rest begins at
+        pos, piece, last = 0, longest[0], None
+        pairs, shorter, size = self._pairs, self.shorter, len(text)
+        if len(pairs) > _MOST_CACHED:
+            pairs.clear()
         while True:
-            last = out[-1] if out else None
             while piece is not None:
                 end = pos + len(piece)
-                if alive >> end & 1 and (last is None or self.compatible(last, piece)):
-                    break
-                piece = self.shorter[piece]
+                if not failed >> end & 1:
+                    if last is None:
+                        break
+                    fits = pairs.get((last, piece))
+                    if fits is None:
+                        fits = pairs[last, piece] = self.compatible(last, piece)
+                    if fits:
+                        break
+                piece = shorter[piece]
             if piece is None:
-                alive &= ~(1 << pos)
-                out.pop()
-                pos -= len(last)
-                piece = last
+                failed |= 1 << pos
+                piece = out.pop()
+                pos -= len(piece)
+                last = out[-1] if out else None
+                piece = shorter[piece]
                 continue
             out.append(piece)
-            pos = end
-            if pos == len(text):
+            if end == size:
                 return out
-            piece = longest[pos]
+            last, pos, piece = piece, end, longest[end]
 
     def _known_ids(self, text: str) -> list[int]:
         if SPACE * 2 in text:  # tied scores
