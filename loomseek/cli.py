@@ -8,9 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.functions import text as ft
 from loomseek.functions import vectors as fv
-from loomseek.operators import chunking
 from loomseek.options import ChunkOptions, HybridOptions, SearchOptions
 from loomseek.plans import index as ix
 from loomseek.sources import bundle, corpus
@@ -25,12 +23,10 @@ def load_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def build(spark: SparkSession, path: str, model_folder: str, out: str, options: ChunkOptions, bundle_folder: str | None = None, quarantine: bool = False) -> None:
     documents, model = corpus.read_corpus(spark, path), load_model(spark, model_folder)
-    ix.build(documents, model, options).save(out)
+    index = ix.build(documents, model, options).save(out)
     if bundle_folder is not None:
-        chunks = chunking.chunk_documents(documents, options)
-        words = chunks.select("document", "chunk_ord", ft.lexical_terms(ft.normalize(F.col("embed_text"))).alias("terms"))
-        vectors = ix.pooled(words, model, ["document", "chunk_ord"])
-        bundle.write_bundle(bundle_folder, chunks.join(vectors, ["document", "chunk_ord"], "left"), model.withColumnRenamed("term", "token"), model_id=os.path.basename(model_folder.rstrip("/")) or "model",
+        vectors = index.table.withColumn("v", fv.unit(F.col("v")))
+        bundle.write_bundle(bundle_folder, vectors, model.withColumnRenamed("term", "token"), model_id=os.path.basename(model_folder.rstrip("/")) or "model",
                             chunk_size=options.chunk_size, chunk_overlap=options.chunk_overlap, title_prefix=options.title_prefix, quarantine=quarantine)
 
 

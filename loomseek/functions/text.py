@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 #: Blocks of ideographs, each of which is a word of its own.
 _IDEOGRAPHS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 _TOKEN = r"[\p{P}\p{S}]|[^\s\p{Z}\p{P}\p{S}]+"
-#: English words that say nothing specific.
-STOP_WORDS = tuple(
-    "a about after all also am an and any are as at be because been before being between both but by can could did do does doing down during each few for from "
-    "further had has have having he her here hers him his how i if in into is it its me more most my no nor not of off on once only or other our out over own "
-    "same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which "
-    "while who whom why will with would you your".split())
+_WORD = r"[^\s\p{Z}\p{P}\p{S}]*[\p{L}\p{N}][^\s\p{Z}\p{P}\p{S}]*"
+#: English words that say nothing specific, by kind: what the ranking of specific terms passes over.
+STOP_WORDS = tuple((
+    "i me my we us our ours you your yours he him his she her hers it its they them their theirs this that these those "
+    "is are was were be do does did has have can could should will would no not so too than then there and but or if as "
+    "at by for from in into of on to with how what when where which who why a an the").split())
 
 
 def collapse(text: Column) -> Column:
@@ -60,7 +61,42 @@ def pre_tokenize(normal: Column) -> Column:
 
 def lexical_terms(normal: Column) -> Column:
     """The words that have a letter or a number, in order."""
-    return F.filter(pre_tokenize(normal), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    return F.regexp_extract_all(normal, F.lit(_WORD), F.lit(0))
+
+
+def tokens(text: Column) -> Column:
+    """Words and marks of a text as it is; none for null."""
+    return F.coalesce(pre_tokenize(normalize(text)), F.array().cast("array<string>"))
+
+
+def counted_terms(tokens: Column) -> Column:
+    """Of an array of tokens: ``dl``, how many are words, and the different ``terms`` with how often each occurs (``tfs``)."""
+
+    @F.arrow_udf("struct<dl:int,terms:array<string>,tfs:array<int>>")
+    def count(column: pa.Array) -> pa.Array:
+        n = len(column)
+        coded = column.flatten().dictionary_encode()
+        word = np.asarray(pc.match_substring_regex(coded.dictionary, r"[\pL\pN]"))
+        lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, row = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(n), lens)
+        keep = word[codes] if len(codes) else np.zeros(0, bool)
+        codes, row = codes[keep], row[keep]
+        pair, tf = np.unique(row * max(1, len(word)) + codes, return_counts=True)
+        off = pa.array(np.searchsorted(pair // max(1, len(word)), np.arange(n + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(off, coded.dictionary.take(pa.array(pair % max(1, len(word)))))
+        return pa.StructArray.from_arrays([pa.array(np.bincount(row, minlength=n).astype(np.int32)), terms, pa.ListArray.from_arrays(off, pa.array(tf.astype(np.int32)))], ["dl", "terms", "tfs"])
+
+    return count(tokens)
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding, which lower case is not: ss for a sharp s."""
+
+    @F.arrow_udf("string")
+    def fold(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.casefold() for x in column.to_pylist()], pa.string())
+
+    return fold(text)
 
 
 def sentences(collapsed: Column) -> Column:

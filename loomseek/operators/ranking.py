@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomseek.functions.folders import shared_folder, written
 from loomseek.functions import text as ft
 from loomseek.functions import vectors as fv
 from loomseek.options import RRF_K, HybridOptions, SearchOptions
@@ -24,10 +27,15 @@ def rounded(score: Column, digits: int | None) -> Column:
     return score if digits is None else F.round(score, digits)
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """document, chunk_ord, terms: words of title, heading and snippet."""
-    keyword_text = F.concat_ws(" ", "title", "heading", "snippet")
-    return chunks.select("document", "chunk_ord", ft.lexical_terms(ft.normalize(keyword_text)).alias("terms"))
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with the tokens of title, heading and snippet: words and marks, from which all rankings are made."""
+    return chunks.withColumns({f"{c}_tokens": ft.tokens(F.col(c)) for c in ("title", "heading", "snippet")})
+
+
+def chunk_terms(tokens: DataFrame) -> DataFrame:
+    """document, chunk_ord, dl (words of title, heading and snippet), the different terms and how often each occurs (tfs); counted within the row."""
+    counted = ft.counted_terms(F.concat("title_tokens", "heading_tokens", "snippet_tokens"))
+    return tokens.select("document", "chunk_ord", counted.alias("t")).select("document", "chunk_ord", "t.dl", "t.terms", "t.tfs")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -36,9 +44,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """document, chunk_ord, dl, term, tf."""
-    rows = terms.select("document", "chunk_ord", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("document", "chunk_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """document, chunk_ord, dl, term, tf; no shuffle."""
+    return terms.select("document", "chunk_ord", "dl", F.inline(F.arrays_zip("terms", "tfs"))).withColumnsRenamed({"terms": "term", "tfs": "tf"})
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -48,18 +55,17 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def corpus_stats(terms: DataFrame) -> DataFrame:
     """One row: n chunks, avgdl (1 at least; chunks without terms count)."""
-    return terms.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg(F.size("terms")), F.lit(0.0))).alias("avgdl"))
+    return terms.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(0.0))).alias("avgdl"))
 
 
 def bm25_scores(terms: DataFrame, queries: DataFrame, digits: int | None = 9) -> DataFrame:
     """query_id, document, chunk_ord, score of all chunks that share a word with the query.
 
-    Only the words that queries have are counted: the explode is cut down by them before anything is shuffled.
+    Only the words that queries have are looked at: postings are cut down by them before anything is shuffled. ``terms`` are
+    read three times (statistics, frequencies, scores), so they should be a written table.
     """
     asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    rows = terms.select("document", "chunk_ord", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    posts = rows.groupBy("term", "document", "chunk_ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    posts = postings(terms).join(asked.select("term").distinct(), "term", "left_semi")
     weighted = posts.join(document_frequency(posts), "term").crossJoin(corpus_stats(terms))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * ((F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl"))))
@@ -78,7 +84,7 @@ def keyword_rank(terms: DataFrame, queries: DataFrame, digits: int | None = 9) -
 
 
 def ranked(ranking: DataFrame, name: str = "rank") -> DataFrame:
-    """Ranks from 1 by score, then document."""
+    """Ranks from 1 by score, then document: a window for each query, which Spark limits within partitions where only the first ranks are asked for."""
     return ranking.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document")))
 
 
@@ -87,88 +93,157 @@ def top(ranking: DataFrame, limit: int) -> DataFrame:
     return ranked(ranking).where(F.col("rank") <= limit)
 
 
+def _place(column: int):
+    """Over rows sorted by query: the partition's number and each row's place in its query's run there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        now, seen, me = None, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            coded = batch.column(column).dictionary_encode()
+            codes = np.asarray(coded.indices)
+            start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+            place = np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes)))) + 1
+            if len(codes):
+                first = coded.dictionary[int(codes[0])].as_py()
+                if first == now:
+                    place[: start[1] if len(start) > 1 else len(place)] += seen
+                now, seen = coded.dictionary[int(codes[-1])].as_py(), int(place[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(codes), me)), pa.array(place)], [*batch.schema.names, "part_", "place_"])
+
+    return run
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` numbered from 1 within each query_id by ``order``, which must settle all ties.
+
+    Rows are sorted by ranges over all tasks, so that one query's ranking may be of any length: a row's number is
+    its place in its range plus the lengths of the query's ranges before. The sorted rows are written, as the two passes must see the same.
+    """
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    by = [F.col("query_id"), *order]
+    schema = T.StructType([*rows.schema.fields, T.StructField("part_", T.LongType()), T.StructField("place_", T.LongType())])
+    placed = written(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_place(rows.columns.index("query_id")), schema), shared_folder(spark, "ranks"))
+    sizes = placed.groupBy("query_id", "part_").agg(F.max("place_").alias("n_"))  # as many as there are ranges and queries, at most
+    before = sizes.select("query_id", "part_", F.coalesce(F.sum("n_").over(Window.partitionBy("query_id").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return placed.join(before, ["query_id", "part_"]).withColumn(name, F.col("place_") + F.col("before_")).select(*rows.columns, name)
+
+
+def all_ranked(ranking: DataFrame, name: str = "rank") -> DataFrame:
+    """As ``ranked``, for rankings of any length."""
+    return numbered(ranking.select("query_id", "document", "chunk_ord", "score"), [F.desc("score"), F.col("document")], name)
+
+
 def oov_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """query_id, term: query words of two or more characters that are neither in the vocabulary (term) nor stop words."""
-    known = vocabulary.where(~F.col("term").startswith("##")).select(F.lower("term").alias("term"))
-    return query_terms(queries).where((F.length("term") > 1) & ~F.col("term").isin(*ft.STOP_WORDS)).join(known, "term", "left_anti").select("query_id", "term")
+    """query_id, term: query words of two or more characters that, case folded, are neither a whole word of the vocabulary (term) nor a stop word."""
+    known = vocabulary.where(~F.col("term").startswith("##")).select(ft.casefold(F.col("term")).alias("folded"))
+    asked = query_terms(queries).where(F.length("term") > 1).withColumn("folded", ft.casefold(F.col("term")))
+    return asked.where(~F.col("folded").isin(*ft.STOP_WORDS)).join(known, "folded", "left_anti").select("query_id", "term")
 
 
-def specific_rank(chunks: DataFrame, queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Exact matches of words outside the vocabulary: 4 in the title, 2 in the heading, 1 in the snippet."""
+def specific_rank(tokens: DataFrame, queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Exact matches of words outside the vocabulary: 4 in the title, 2 in the heading, 1 in the snippet. ``tokens``: see chunk_tokens."""
     asked = oov_terms(queries, vocabulary)
-    words = lambda c: F.array_distinct(ft.lexical_terms(ft.normalize(F.coalesce(c, F.lit("")))))
-    weigh = lambda c, w: F.transform(words(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    fields = chunks.select("document", "chunk_ord", F.inline(F.concat(weigh("title", 4), weigh("heading", 2), weigh("snippet", 1))))
+    weigh = lambda c, w: F.transform(F.array_distinct(F.col(f"{c}_tokens")), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    fields = tokens.select("document", "chunk_ord", F.inline(F.concat(weigh("title", 4), weigh("heading", 2), weigh("snippet", 1))))
     scores = fields.join(asked, "term").groupBy("query_id", "document", "chunk_ord").agg(F.sum("w").cast("double").alias("score"))
     return rollup(scores).where("score > 0")
 
 
-def mean_pool(words: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v: the mean of the vectors (``v``, by ``term``) of an array of words, as a unit vector; rows without a known word have none.
+def mean_pool(ids: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, v: the mean of the vectors (``v``, by ``token_id``) of an array ``ids``, as a unit vector; rows without ids have none.
 
-    One entry for each distinct word and row is joined with the model, which Spark broadcasts while its size allows; the sums are by component.
+    One entry for each distinct id and row is joined with the model, which Spark broadcasts while its size allows; the sums are by component.
     """
-    entries = words.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    hit = entries.join(model.select("term", "v"), "term")
+    entries = ids.select(*keys, F.explode("ids").alias("token_id")).groupBy(*keys, "token_id").agg(F.count(F.lit(1)).alias("tf"))
+    hit = entries.join(model.select("token_id", "v"), "token_id")
     dims = hit.select(*keys, "tf", F.posexplode("v").alias("dim", "x"))
     sums = dims.groupBy(*keys, "dim").agg(F.sum(F.col("x").cast("double") * F.col("tf")).alias("x"), F.sum("tf").alias("n"))
     rows = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("x") / F.col("n")).alias("x")))).alias("p"))
     return rows.select(*keys, fv.unit(F.col("p.x")).alias("v"))
 
 
-def pooler(model: dict[str, int], matrix: np.ndarray):
-    """Arrow UDF factory for a model that fits in memory: array of words to its pooled unit vector, null without a known word."""
+def pooler(matrix):
+    """Arrow UDF for a model that fits in memory (broadcast, a row of floats for each token id): array of ids to its pooled unit vector, null without ids."""
 
     @F.arrow_udf("array<double>")
     def pool(column: pa.Array) -> pa.Array:
-        coded = column.flatten().dictionary_encode()
-        known = np.array([model.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
-        ids = known[np.asarray(coded.indices)] if len(known) else np.zeros(0, np.int64)
-        lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(lens)), lens)[ids >= 0]
-        ids = ids[ids >= 0]
-        count = np.bincount(row, minlength=len(lens))
-        sums = np.zeros((len(lens), matrix.shape[1]))
+        table = matrix.value
+        ids = np.asarray(column.flatten()).astype(np.int64)
+        count = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.zeros((len(count), table.shape[1]))
         some = np.flatnonzero(count)
-        if len(some):
-            sums[some] = np.add.reduceat(matrix[ids], np.searchsorted(row, some)) / count[some, None]
+        start = (np.cumsum(count) - count)[some]
+        for k in range(0, len(some), 512):  # so many rows at once, as their tokens' vectors are laid side by side
+            i, j = start[k], start[k + 512] if k + 512 < len(some) else len(ids)
+            sums[some[k: k + 512]] = np.add.reduceat(table[ids[i:j]], start[k: k + 512] - i) / count[some[k: k + 512], None]
         norm = np.sqrt((sums**2).sum(1))
         sums[norm > 0] /= norm[norm > 0, None]
-        flat = pa.ListArray.from_arrays(pa.array((np.arange(len(lens) + 1) * matrix.shape[1]).astype(np.int32)), pa.array(sums.ravel()))
-        import pyarrow.compute as pc
-
-        return pc.if_else(pa.array(count > 0), flat, pa.nulls(len(lens), flat.type))
+        flat = pa.ListArray.from_arrays(pa.array((np.arange(len(count) + 1) * table.shape[1]).astype(np.int32)), pa.array(sums.ravel()))
+        return pc.if_else(pa.array(count > 0), flat, pa.nulls(len(count), flat.type))
 
     return pool
 
 
-def cosine_scan(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, digits: int | None = 9) -> DataFrame:
-    """query_id, document, chunk_ord, score of every chunk vector (``v``, int8 or float) for every query: one matrix product for each batch."""
-    norms = np.sqrt((query_matrix**2).sum(1))
+def cosine_scan(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, digits: int | None = 9, min_score: float | None = None, limit: int | None = None, kind: str = "long") -> DataFrame:
+    """query_id, document, chunk_ord, score: for every query the best chunk vector (``v``, int8 or float) of each document, of equal ones the first.
+
+    One matrix product for each batch, reduced there to a row for each document; with ``limit`` to the ``limit`` best documents of each
+    query in the batch, with ``min_score`` to those that reach it. A document whose chunks lie in several batches has several
+    rows (see rollup). Vectors that are null or of another length are an error.
+    """
+    norms, dims = np.sqrt((query_matrix**2).sum(1)), query_matrix.shape[1]
+
+    def best(part: pa.RecordBatch, q: slice) -> tuple[np.ndarray, ...]:
+        """Rows (query, row of the batch, score) of the best chunks of the batch's documents."""
+        v = part.column(2)
+        if v.null_count or (len(v) and (np.asarray(v.value_lengths()) != dims).any()):
+            raise ValueError(f"vectors must have {dims} components")
+        x = np.asarray(v.flatten()).astype(np.float64).reshape(len(part), -1)
+        scale = np.sqrt((x**2).sum(1))[:, None] * norms[None, q]
+        sims = np.divide(x @ query_matrix[q].T, scale, out=np.zeros(scale.shape), where=scale > 0)
+        if digits is not None:
+            sims = np.round(sims, digits)
+        document = np.asarray(part.column(0).dictionary_encode().indices)
+        order = np.lexsort((np.asarray(part.column(1)), document))
+        start = np.flatnonzero(np.append(True, document[order][1:] != document[order][:-1]))
+        sims = sims[order]
+        high = np.maximum.reduceat(sims, start)
+        at = np.where(sims == np.repeat(high, np.diff(np.append(start, len(order))), 0), np.arange(len(order))[:, None], len(order))
+        row = order[np.minimum.reduceat(at, start)]
+        keep = np.ones(high.shape, bool) if min_score is None else high >= min_score
+        if limit is not None and limit < len(high):
+            keep &= high >= -np.partition(-high, limit - 1, 0)[limit - 1] if limit else False
+        d, k = np.nonzero(keep)
+        return k + q.start, row[d, k], high[d, k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if query_ids else ():
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
-                v = part.column(2)
-                x = np.asarray(v.flatten()).astype(np.float64).reshape(len(part), -1)
-                own = np.sqrt((x**2).sum(1))
-                scale = own[:, None] * norms[None, :]
-                sims = np.divide(x @ query_matrix.T, scale, out=np.zeros((len(part), len(norms))), where=scale > 0)
-                at = np.repeat(np.arange(len(part)), len(norms))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids * len(part), pa.int64()), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(sims.ravel())],
-                                                 ["query_id", "document", "chunk_ord", "score"])
-
-    scores = vectors.select("document", "chunk_ord", "v").mapInArrow(run, "query_id long, document string, chunk_ord int, score double")
-    return scores.withColumn("score", rounded(F.col("score"), digits))
+        ids = pa.array(query_ids)
+        for batch in batches if len(query_ids) else ():
+            for i in range(0, len(batch), 2048):
+                part = batch.slice(i, 2048)
+                for j in range(0, len(query_ids), 512):
+                    k, row, score = best(part, slice(j, min(j + 512, len(query_ids))))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(score)], ["query_id", "document", "chunk_ord", "score"])
+
+    return vectors.select("document", "chunk_ord", "v").mapInArrow(run, f"query_id {kind}, document string, chunk_ord int, score double")
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both rankings one after the other, a document only where it comes first: columns and rank."""
-    both = ranked(first).withColumn("priority", F.lit(0)).unionByName(ranked(second).withColumn("priority", F.lit(1)))
+    both = all_ranked(first).withColumn("priority", F.lit(0)).unionByName(all_ranked(second).withColumn("priority", F.lit(1)))
+    once = both.groupBy("query_id", "document").agg(F.min(F.struct("priority", "rank", "chunk_ord", "score")).alias("s")).select("query_id", "document", "s.*")
+    return numbered(once.withColumnRenamed("rank", "own"), [F.col("priority"), F.col("own")]).select("query_id", "document", "chunk_ord", "score", "rank")
+
+
+def merged_top(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of ``merge``: the second ranking's first 2 * limit are enough, as the first can take away ``limit`` of them at most."""
+    both = top(first, limit).withColumn("priority", F.lit(0)).unionByName(top(second, 2 * limit).withColumn("priority", F.lit(1)))
     once = both.groupBy("query_id", "document").agg(F.min(F.struct("priority", "rank", "chunk_ord", "score")).alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("s.priority", "s.rank"))
-    return once.select("query_id", "document", "s.chunk_ord", "s.score", place.alias("rank"))
+    return once.select("query_id", "document", "s.chunk_ord", "s.score", place.alias("rank")).where(F.col("rank") <= limit)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = RRF_K, digits: int | None = 9) -> DataFrame:
@@ -177,7 +252,7 @@ def rrf(rankings: list[tuple[DataFrame, float]], k: int = RRF_K, digits: int | N
         raise ValueError("k must be an integer of at least 1")
     if any(isinstance(w, bool) or not np.isfinite(w) or w < 0 for _, w in rankings):
         raise ValueError("weights must be finite and not negative")
-    parts = [ranked(r).select("query_id", "document", "chunk_ord", F.lit(i).alias("priority"), (F.lit(float(w)) / (F.lit(float(k)) + F.col("rank"))).alias("part"), F.lit(w > 0).alias("counts"))
+    parts = [all_ranked(r).select("query_id", "document", "chunk_ord", F.lit(i).alias("priority"), (F.lit(float(w)) / (F.lit(float(k)) + F.col("rank"))).alias("part"), F.lit(w > 0).alias("counts"))
              for i, (r, w) in enumerate(rankings)]
     every = parts[0]
     for p in parts[1:]:
@@ -187,9 +262,9 @@ def rrf(rankings: list[tuple[DataFrame, float]], k: int = RRF_K, digits: int | N
 
 
 def semantic_search(specific: DataFrame, semantic: DataFrame, options: SearchOptions) -> DataFrame:
+    """``semantic`` needs only each query's first 2 * limit documents."""
     semantic = semantic.where(F.col("score") >= options.min_score)
-    merged = merge(specific, semantic) if options.specific_term_heuristic else ranked(semantic)
-    return merged.where(F.col("rank") <= options.limit)
+    return merged_top(specific, semantic, options.limit) if options.specific_term_heuristic else top(semantic, options.limit)
 
 
 def hybrid_search(specific: DataFrame, semantic: DataFrame, keyword: DataFrame, options: HybridOptions) -> DataFrame:

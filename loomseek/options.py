@@ -43,6 +43,8 @@ class SearchOptions:
     def __post_init__(self) -> None:
         _whole("limit", self.limit, 0)
         _number("min_score", self.min_score)
+        if not isinstance(self.specific_term_heuristic, bool):
+            raise ValueError("specific_term_heuristic must be true or false")
 
 
 @dataclass(frozen=True)
@@ -72,3 +74,17 @@ class ToolArguments:
         _whole("limit", self.limit, 1)
         if self.limit > 20:
             raise ValueError("limit must be at most 20")
+
+
+@dataclass(frozen=True)
+class SiteOptions:
+    """Defaults for the index of a site: the width of vectors, how it is cut, which pages it has, and how it is searched."""
+
+    dims: int = 128
+    chunks: ChunkOptions = ChunkOptions()
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    search: HybridOptions = HybridOptions(min_score=0.2)
+
+    def __post_init__(self) -> None:
+        _whole("dims", self.dims, 1)

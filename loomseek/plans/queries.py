@@ -1,25 +1,24 @@
 """The engine's own queries over the driver's tables (QUERIES) and the DuckDB SQL that gives the same rows (ORACLE).
 
-Documents are searched with the texts of ``benchmark`` as queries. The model is a stand-in: the words that most documents
-have, in that order, each with the vector of ``embeddings`` of the same number.
+Documents are searched with the texts of ``benchmark`` as queries. The model is a stand-in: an unknown piece, letters at the
+beginning and inside of words, two marks, and then the words that most documents have, each with the vector of ``embeddings`` of the same number.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseek.functions import text as ft
 from loomseek.functions import vectors as fv
+from loomseek.functions.folders import shared_folder, written
 from loomseek.functions.html import html_sections
+from loomseek.functions.partitions import spread
 from loomseek.functions.paths import kept
-from loomseek.functions.wordpiece import word_ids
 from loomseek.operators import chunking, ranking as rk
 from loomseek.options import ChunkOptions, HybridOptions, SearchOptions
 from loomseek.plans import index as ix
@@ -41,7 +40,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def _six(name: str) -> Column:
+    """To six digits, in steps that come out alike in any engine, also where a half is to be rounded."""
+    return (F.floor(F.col(name) * 1e6 + 0.5) / 1e6).alias(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +65,28 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("id").alias("document"), ft.lexical_terms(ft.normalize(F.col("text"))).alias("terms"))
 
 
+#: Pieces of the stand-in model before its words.
+PIECES = ("[UNK]", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".", ",")
+
+
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_id, term, v."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v"))
-    n = vectors.count()
-    df = doc_words(spark, sf_dir).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    words = df.orderBy(F.desc("count"), "term").limit(n)
-    numbered = words.select("term", (F.row_number().over(Window.orderBy(F.desc("count"), "term")) - 1).alias("token_id"))
-    return numbered.join(vectors, "token_id")
+    """token_id, term, v; written, as it is read several times."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v"))
+    df = doc_words(spark, sf_dir).select(F.explode(F.array_distinct("terms")).alias("term")).where("length(term) > 1").groupBy("term").count()
+    words = df.orderBy(F.desc("count"), "term").limit(max(0, vectors.count() - len(PIECES)))
+    words = words.select((F.row_number().over(Window.orderBy(F.desc("count"), "term")) + len(PIECES) - 1).alias("token_id"), "term")
+    pieces = spark.createDataFrame(list(enumerate(PIECES)), "token_id int, term string")
+    return written(pieces.unionAll(words).join(vectors, "token_id"), shared_folder(spark, "model"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build(documents(spark, sf_dir), model(spark, sf_dir), check=False)
+    """Built in one scan of the documents and written."""
+    return ix.build(documents(spark, sf_dir), model(spark, sf_dir), check=False).save(shared_folder(spark, "index"))
+
+
+def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, as rankings read it several times."""
+    return written(rk.chunk_terms(rk.chunk_tokens(chunks(spark, sf_dir))), shared_folder(spark, "terms"))
 
 
 _DOCS = """docs AS (SELECT doc_id AS doc_ord, CAST(doc_id AS VARCHAR) AS id, concat_ws(' ', source, CAST(doc_id AS VARCHAR)) AS title,
@@ -92,8 +106,12 @@ chunks0 AS (SELECT d.doc_ord, d.id AS document, d.title, d.href, ord AS chunk_or
 chunks AS (SELECT *, {embed} AS embed_text FROM chunks0)"""
 
 
+def _tokens(text: str) -> str:
+    return rf"regexp_extract_all(strip_accents(lower({text})), '[\p{{P}}\p{{S}}]|[^\s\p{{Z}}\p{{P}}\p{{S}}]+')"
+
+
 def _terms(text: str) -> str:
-    return rf"list_filter(regexp_extract_all(strip_accents(lower({text})), '[\p{{P}}\p{{S}}]|[^\s\p{{Z}}\p{{P}}\p{{S}}]+'), lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))"
+    return rf"list_filter({_tokens(text)}, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))"
 
 
 _WORDS = f", words AS (SELECT document, chunk_ord, {_terms("title || ' ' || snippet")} AS terms FROM chunks)"
@@ -105,25 +123,40 @@ df AS (SELECT term, count(*)::DOUBLE AS df FROM posts GROUP BY term),
 bm AS (SELECT query_id, document, chunk_ord, round(sum(ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * ((tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 9) AS score
   FROM posts JOIN asked USING (term) JOIN df USING (term), stats GROUP BY ALL),
 keyword AS (SELECT query_id, document, arg_max(chunk_ord, (score, -chunk_ord)) AS chunk_ord, max(score) AS score FROM bm GROUP BY ALL HAVING max(score) > 0)"""
+_PIECES = ", ".join(f"'{p}'" for p in PIECES)
 _MODEL = f""", dw AS (SELECT id AS document, {_terms('text')} AS terms FROM docs),
-vocab AS (SELECT row_number() OVER (ORDER BY c DESC, term) - 1 AS token_id, term, c FROM (SELECT term, count(*) AS c FROM (SELECT DISTINCT document, unnest(terms) AS term FROM dw) GROUP BY term)
-  QUALIFY row_number() OVER (ORDER BY c DESC, term) <= (SELECT count(*) FROM embeddings)),
-dims AS (SELECT term, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM vocab JOIN embeddings ON vec_id = token_id)"""
-
-
-def _pool(words: str, keys: str, out: str) -> str:
-    return f""", {out}_sum AS (SELECT {keys}, dim, avg(x) AS x FROM (SELECT {keys}, unnest(terms) AS term FROM {words}) JOIN dims USING (term) GROUP BY ALL),
+vocab AS (SELECT unnest(range({len(PIECES)})) AS token_id, unnest([{_PIECES}]) AS term
+  UNION ALL SELECT row_number() OVER (ORDER BY c DESC, term) + {len(PIECES) - 1}, term FROM (SELECT term, count(*) AS c FROM (SELECT DISTINCT document, unnest(terms) AS term FROM dw) WHERE length(term) > 1 GROUP BY term)
+  QUALIFY row_number() OVER (ORDER BY c DESC, term) <= (SELECT count(*) FROM embeddings) - {len(PIECES)}),
+scaled AS (SELECT token_id, term, embedding AS v, (list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127)::FLOAT AS s FROM vocab JOIN embeddings ON vec_id = token_id),
+dims AS (SELECT token_id, unnest(range(len(v))) AS dim, unnest(v)::DOUBLE AS x FROM scaled),
+qdims AS (SELECT token_id, unnest(range(len(v))) AS dim, unnest(list_transform(v, lambda x: round_even(x::DOUBLE / s::DOUBLE, 0) * s::DOUBLE)) AS x FROM scaled)"""
+
+
+def _pieces(*texts: str) -> str:
+    """WordPiece as a walk from longest piece to longest piece: the ids of all words of these (tokens, table) that are cut to the end."""
+    words = " UNION ".join(f"SELECT unnest({t}) AS word FROM {f}" for t, f in (x.split("|") for x in texts))
+    return f""", tw AS (SELECT word, length(word) AS n FROM (SELECT DISTINCT word FROM ({words})) WHERE length(word) <= 100),
+hit AS (SELECT word, pos, arg_max(token_id, len) AS token_id, max(len) AS len FROM (SELECT word, pos, unnest(range(1, n - pos + 1)) AS len FROM (SELECT word, n, unnest(range(n)) AS pos FROM tw))
+  JOIN vocab ON term = CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, (pos + 1)::INT, len::INT) WHERE token_id > 0 GROUP BY ALL),
+cut AS (SELECT word, 0::BIGINT AS pos, []::BIGINT[] AS ids FROM tw UNION ALL SELECT word, cut.pos + len, list_append(ids, token_id) FROM cut JOIN hit USING (word) WHERE hit.pos = cut.pos),
+wp AS (SELECT word, ids FROM cut JOIN tw USING (word) WHERE pos = n)"""
+
+
+def _pool(words: str, keys: str, out: str, dims: str = "dims") -> str:
+    return f""", {out}_sum AS (SELECT {keys}, dim, avg(x) AS x FROM (SELECT {keys}, unnest(ids) AS token_id FROM (SELECT {keys}, unnest(tokens) AS word FROM {words}) JOIN wp USING (word)) JOIN {dims} USING (token_id) GROUP BY ALL),
 {out} AS (SELECT {keys}, list(x / norm ORDER BY dim) AS v FROM {out}_sum JOIN (SELECT {keys}, sqrt(sum(x * x)) AS norm FROM {out}_sum GROUP BY ALL) USING ({keys}) WHERE norm > 0 GROUP BY {keys})"""
 
 
-_SEMANTIC = (_MODEL + f", ew AS (SELECT document, chunk_ord, {_terms('embed_text')} AS terms FROM chunks), qw AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark)"
-             + _pool("ew", "document, chunk_ord", "cv") + _pool("qw", "query_id", "qv") + """,
-cq AS (SELECT document, chunk_ord, list_transform(v, lambda x: round_even(x * 127, 0)::DOUBLE) AS v FROM cv),
+_EMBEDDED = (_MODEL + f", ew AS (SELECT document, chunk_ord, {_tokens('embed_text')} AS tokens FROM chunks), qw AS (SELECT item_id AS query_id, {_tokens('text')} AS tokens FROM benchmark)"
+             + _pieces("tokens|ew", "tokens|qw") + _pool("ew", "document, chunk_ord", "cv") + _pool("qw", "query_id", "qv", "qdims") + """,
+cq AS (SELECT document, chunk_ord, list_transform(v, lambda x: round_even(x * 127, 0)::DOUBLE) AS v FROM cv)""")
+_SEMANTIC = _EMBEDDED + """,
 semantic AS (SELECT query_id, document, arg_max(chunk_ord, (score, -chunk_ord)) AS chunk_ord, max(score) AS score
-  FROM (SELECT query_id, document, chunk_ord, round(list_cosine_similarity(cq.v, qv.v), 9) AS score FROM cq, qv) GROUP BY ALL)""")
+  FROM (SELECT query_id, document, chunk_ord, round(list_cosine_similarity(cq.v, qv.v), 9) AS score FROM cq, qv) GROUP BY ALL)"""
 _STOP = ", ".join(f"('{w}')" for w in ft.STOP_WORDS)
-_SPECIFIC = (_ASKED if False else "") + f""",
-oov AS (SELECT query_id, term FROM asked WHERE length(term) > 1 AND term NOT IN (SELECT lower(term) FROM vocab) AND term NOT IN (SELECT * FROM (VALUES {_STOP}))),
+_SPECIFIC = f""",
+oov AS (SELECT query_id, term FROM asked WHERE length(term) > 1 AND term NOT IN (SELECT lower(term) FROM vocab WHERE term NOT LIKE '##%') AND term NOT IN (SELECT * FROM (VALUES {_STOP}))),
 fields AS (SELECT DISTINCT document, chunk_ord, unnest({_terms('title')}) AS term, 4 AS w FROM chunks UNION ALL SELECT DISTINCT document, chunk_ord, unnest({_terms('snippet')}), 1 FROM chunks),
 specific AS (SELECT query_id, document, arg_max(chunk_ord, (score, -chunk_ord)) AS chunk_ord, max(score) AS score FROM (SELECT query_id, document, chunk_ord, sum(w)::DOUBLE AS score FROM fields JOIN oov USING (term) GROUP BY ALL) GROUP BY ALL)"""
 
@@ -180,18 +213,17 @@ def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_chunk_ctes() + _WORDS + " SELECT document, chunk_ord, term, count(*) AS tf FROM (SELECT document, chunk_ord, unnest(terms) AS term FROM words) GROUP BY ALL")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.postings(rk.chunk_terms(chunks(spark, sf_dir))).select("document", "chunk_ord", "term", "tf")
+    return rk.postings(rk.chunk_terms(rk.chunk_tokens(chunks(spark, sf_dir)))).select("document", "chunk_ord", "term", "tf")
 
 
 @query(_chunk_ctes() + _WORDS + " SELECT term, count(*) AS df FROM (SELECT DISTINCT document, chunk_ord, unnest(terms) AS term FROM words) GROUP BY term")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = rk.chunk_terms(chunks(spark, sf_dir)).select(F.explode(F.array_distinct("terms")).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return rk.document_frequency(rk.postings(rk.chunk_terms(rk.chunk_tokens(chunks(spark, sf_dir)))))
 
 
 @query(_chunk_ctes() + _WORDS + " SELECT count(*) AS n, round(greatest(1, avg(len(terms))), 9) AS avgdl FROM words")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.corpus_stats(rk.chunk_terms(chunks(spark, sf_dir))).select("n", F.round("avgdl", 9).alias("avgdl"))
+    return rk.corpus_stats(rk.chunk_terms(rk.chunk_tokens(chunks(spark, sf_dir)))).select("n", F.round("avgdl", 9).alias("avgdl"))
 
 
 @query("WITH " + _DOCS + _MODEL + " SELECT token_id, term FROM vocab JOIN embeddings ON vec_id = token_id")
@@ -207,24 +239,23 @@ def vocab_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_chunk_ctes() + _BM25 + f" SELECT query_id, rank, document, chunk_ord, score FROM {_ranked('keyword')} WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = rk.chunk_terms(chunks(spark, sf_dir))
-    return rk.top(rk.keyword_rank(terms, questions(spark, sf_dir)), 10).select("query_id", "rank", "document", "chunk_ord", "score")
+    return rk.top(rk.keyword_rank(chunk_terms(spark, sf_dir), questions(spark, sf_dir)), 10).select("query_id", "rank", "document", "chunk_ord", "score")
 
 
-@query(_chunk_ctes() + _BM25 + " SELECT query_id, document, chunk_ord, round(score, 6) AS score FROM keyword")
+@query(_chunk_ctes() + _BM25 + " SELECT query_id, document, chunk_ord, floor(score * 1e6 + 0.5) / 1e6 AS score FROM keyword")
 def bm25_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranking = rk.keyword_rank(rk.chunk_terms(chunks(spark, sf_dir)), questions(spark, sf_dir))
-    return ranking.withColumn("score", F.round("score", 6)).select("query_id", "document", "chunk_ord", "score")
+    ranking = rk.keyword_rank(chunk_terms(spark, sf_dir), questions(spark, sf_dir))
+    return ranking.withColumn("score", _six("score")).select("query_id", "document", "chunk_ord", "score")
 
 
-@query("WITH " + _DOCS + _MODEL + _ASKED + f" SELECT query_id, term FROM asked WHERE length(term) > 1 AND term NOT IN (SELECT lower(term) FROM vocab) AND term NOT IN (SELECT * FROM (VALUES {_STOP}))")
+@query("WITH " + _DOCS + _MODEL + _ASKED + f" SELECT query_id, term FROM asked WHERE length(term) > 1 AND term NOT IN (SELECT lower(term) FROM vocab WHERE term NOT LIKE '##%') AND term NOT IN (SELECT * FROM (VALUES {_STOP}))")
 def oov_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.oov_terms(questions(spark, sf_dir), model(spark, sf_dir))
 
 
 @query(_chunk_ctes() + _ASKED + _MODEL + _SPECIFIC + f" SELECT query_id, rank, document, chunk_ord, score FROM {_ranked('specific')} WHERE rank <= 10")
 def specific_term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranking = rk.specific_rank(chunks(spark, sf_dir), questions(spark, sf_dir), model(spark, sf_dir))
+    ranking = rk.specific_rank(rk.chunk_tokens(chunks(spark, sf_dir)), questions(spark, sf_dir), model(spark, sf_dir))
     return rk.top(ranking, 10).select("query_id", "rank", "document", "chunk_ord", "score")
 
 
@@ -269,14 +300,14 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.cosine_scan(vectors, labels, centres)
 
 
-@query(_CENTRES + " SELECT query_id, document, round(score, 6) AS score FROM scan")
+@query(_CENTRES + " SELECT query_id, document, floor(score * 1e6 + 0.5) / 1e6 AS score FROM scan")
 def cosine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, sf_dir).select("query_id", "document", F.round("score", 6).alias("score"))
+    return _scan(spark, sf_dir).select("query_id", "document", _six("score"))
 
 
-@query(_CENTRES + " SELECT query_id, document, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document) AS rank FROM scan) WHERE rank <= 10")
+@query(_CENTRES + " SELECT query_id, document, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document) AS rank FROM scan) WHERE rank <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.top(_scan(spark, sf_dir), 10).select("query_id", "document", "rank", F.round("score", 6).alias("score"))
+    return rk.top(_scan(spark, sf_dir), 10).select("query_id", "document", "rank", _six("score"))
 
 
 @query(_CENTRES + " SELECT query_id, own AS label, arg_min(document, (-score, document)) AS document, round(max(score), 6) AS score FROM scan GROUP BY ALL")
@@ -285,10 +316,11 @@ def best_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).groupBy("query_id", F.col("chunk_ord").alias("label")).agg(best.alias("document"), F.round(F.max("score"), 6).alias("score"))
 
 
-@query("WITH " + _DOCS + _MODEL + _pool("dw", "document", "dv") + " SELECT document, list_transform(v, lambda x: round_even(x * 127, 0)::TINYINT) AS q FROM dv")
+@query("WITH RECURSIVE " + _DOCS + _MODEL + f", tok AS (SELECT id AS document, {_tokens('text')} AS tokens FROM docs)" + _pieces("tokens|tok") + _pool("tok", "document", "dv")
+       + " SELECT document, list_transform(v, lambda x: round_even(x * 127, 0)::TINYINT) AS q FROM dv")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.pooled(doc_words(spark, sf_dir), model(spark, sf_dir), ["document"])
-    return rows.select("document", fv.to_int8(F.col("v")).alias("q"))
+    rows = documents(spark, sf_dir).select(F.col("id").alias("document"), ft.tokens(F.col("text")).alias("tokens"))
+    return ix.embedded(rows, model(spark, sf_dir)).where("v IS NOT NULL").select("document", fv.to_int8(F.col("v")).alias("q"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[ix.Index, DataFrame, DataFrame]:
@@ -300,35 +332,45 @@ _ALL = _chunk_ctes() + _BM25 + _SEMANTIC + _SPECIFIC
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "rank", "document", "chunk_ord", F.round("score", 6).alias("score"))
+    return df.select("query_id", "rank", "document", "chunk_ord", _six("score"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """With the fields that are displayed; documents here have no sections, so heading and anchor are null."""
+    return df.select("query_id", "rank", "document", "title", "href", "heading", "anchor", "snippet", "chunk_ord", _six("score"))
+
+
+def _display(sql: str) -> str:
+    return f" SELECT query_id, rank, document, title, href, NULL::VARCHAR AS heading, NULL::VARCHAR AS anchor, snippet, chunk_ord, score FROM ({sql}) JOIN chunks USING (document, chunk_ord)"
+
+
 
 
 def _merged(limit: int | None, least: str) -> str:
     both = f"(SELECT *, 0 AS pr FROM {_ranked('specific')} UNION ALL SELECT *, 1 AS pr FROM {_ranked('semantic', least)})"
     once = f"(SELECT query_id, document, arg_min(chunk_ord, (pr, rank)) AS chunk_ord, arg_min(score, (pr, rank)) AS score, min((pr, rank)) AS o FROM {both} GROUP BY ALL)"
     cut = "" if limit is None else f" WHERE rank <= {limit}"
-    return f" SELECT query_id, rank, document, chunk_ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM {once}){cut}"
+    return f" SELECT query_id, rank, document, chunk_ord, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM {once}){cut}"
 
 
-@query(_ALL + _merged(10, "score >= 0"))
+@query(_ALL + _display(_merged(10, "score >= 0")))
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, asked, _ = _lists(spark, sf_dir)
-    return _rows(ix.search(own, asked, "semantic"))
+    return _shown(ix.search(index(spark, sf_dir), questions(spark, sf_dir), "semantic"))
 
 
 @query(_ALL + _merged(None, "score >= 0.2"))
 def merge_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, asked, semantic = _lists(spark, sf_dir)
-    return _rows(rk.merge(rk.specific_rank(own.chunks, asked, own.model), semantic.where("score >= 0.2")))
+    return _rows(rk.merge(rk.specific_rank(own.table, asked, own.model), semantic.where("score >= 0.2")))
 
 
-@query(_chunk_ctes() + _SEMANTIC + " SELECT query_id, document, chunk_ord, round(score, 6) AS score FROM semantic WHERE score >= 0.6")
+@query(_chunk_ctes() + _SEMANTIC + " SELECT query_id, document, chunk_ord, floor(score * 1e6 + 0.5) / 1e6 AS score FROM semantic WHERE score >= 0.6")
 def min_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir)[2].where("score >= 0.6").select("query_id", "document", "chunk_ord", F.round("score", 6).alias("score"))
+    return _lists(spark, sf_dir)[2].where("score >= 0.6").select("query_id", "document", "chunk_ord", _six("score"))
 
 
 def _fused(lists: list[tuple[str, str, float]]) -> str:
-    return f" SELECT query_id, rank, document, chunk_ord, round(score, 6) AS score FROM {_ranked(_rrf(lists))} WHERE rank <= 10"
+    return f" SELECT query_id, rank, document, chunk_ord, floor(score * 1e6 + 0.5) / 1e6 AS score FROM {_ranked(_rrf(lists))} WHERE rank <= 10"
 
 
 @query(_ALL + _fused([("semantic", "score >= 0", 1), ("keyword", "true", 1)]))
@@ -343,17 +385,15 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(rk.top(rk.rrf([(semantic.where("score >= 0"), 0.0), (rk.keyword_rank(own.terms, asked), 2.0)]), 10))
 
 
-@query(_ALL + _fused([("specific", "true", 1), ("semantic", "score >= 0", 1), ("keyword", "true", 1)]))
+@query(_ALL + _display(_fused([("specific", "true", 1), ("semantic", "score >= 0", 1), ("keyword", "true", 1)])))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, asked, _ = _lists(spark, sf_dir)
-    return _rows(ix.search(own, asked, "hybrid", HybridOptions()))
+    return _shown(ix.search(index(spark, sf_dir), questions(spark, sf_dir), "hybrid", HybridOptions()))
 
 
 @query("SELECT CAST(item_id AS BIGINT) AS query_id, CAST(0 AS INT) AS rank, '' AS document FROM benchmark WHERE false")
 def limit_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = rk.chunk_terms(chunks(spark, sf_dir))
     options = SearchOptions(limit=0)
-    return rk.top(rk.keyword_rank(terms, questions(spark, sf_dir)), options.limit).select("query_id", "rank", "document")
+    return rk.top(rk.keyword_rank(chunk_terms(spark, sf_dir), questions(spark, sf_dir)), options.limit).select("query_id", "rank", "document")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, count(*) AS copies FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id HAVING count(*) > 1")
@@ -386,23 +426,28 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(corpus.page_documents(table(spark, sf_dir, "pages"))).select("document", "chunk_ord", "heading", "snippet")
 
 
-@query()
+@query("WITH RECURSIVE " + _DOCS + _MODEL + f", tok AS (SELECT id AS document, {_tokens('text')} AS tokens FROM docs)" + _pieces("tokens|tok") + """,
+spread AS (SELECT document, ord, ids FROM (SELECT document, unnest(range(len(tokens))) AS ord, unnest(tokens) AS word FROM tok) JOIN wp USING (word))
+SELECT document, coalesce(sum(len(ids)), 0)::BIGINT AS n, array_to_string(flatten(coalesce(list(ids ORDER BY ord) FILTER (ids IS NOT NULL), [])), ' ') AS ids FROM docs LEFT JOIN spread ON id = document
+GROUP BY ALL""".replace("SELECT document, coalesce", "SELECT docs.id AS document, coalesce").replace("GROUP BY ALL", "GROUP BY docs.id"))
 def wordpiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [r.term for r in model(spark, sf_dir).select("term", "token_id").orderBy("token_id").collect()]
-    letters = sorted({c for w in words for c in w})
-    ids = {p: i for i, p in enumerate(dict.fromkeys(["[UNK]", *words, *("##" + c for c in letters), *letters]))}
-    shared = spark.sparkContext.broadcast(ids)
-    return questions(spark, sf_dir).select("query_id", word_ids(ft.pre_tokenize(ft.normalize(F.col("query"))), shared).alias("ids"))
+    """The ids of all documents' pieces, in order."""
+    rows = documents(spark, sf_dir).select(F.col("id").alias("document"), ft.tokens(F.col("text")).alias("tokens"))
+    coded = ix.with_ids(rows, model(spark, sf_dir))
+    return coded.select("document", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query()
+@query(_chunk_ctes() + _EMBEDDED + """ SELECT row_number() OVER (ORDER BY doc_ord, chunk_ord) - 1 AS chunk_ix, document, title, href, snippet, NULL::VARCHAR AS heading, NULL::VARCHAR AS anchor,
+list_transform(cq.v, lambda x: x::TINYINT) AS v FROM chunks JOIN cq USING (document, chunk_ord)""")
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks written to a bundle and read again. A bundle is a folder of single files, written by the driver beside its other scratch files."""
+    """Chunks that have a vector written to a bundle and read again. A bundle is a folder of single files of the driver."""
     own = index(spark, sf_dir)
-    vectors = own.vectors.select("document", "chunk_ord", fv.unit(F.col("v")).alias("v"))
-    folder = tempfile.mkdtemp(prefix="bundle-")
-    try:
-        bundle.write_bundle(folder, own.chunks.join(vectors, ["document", "chunk_ord"], "left"), own.model.withColumnRenamed("term", "token"), model_id="stand-in", quarantine=True)
+    with tempfile.TemporaryDirectory(prefix="bundle-") as folder:
+        vectors = own.table.where("v IS NOT NULL").withColumn("v", fv.unit(F.col("v")))
+        bundle.write_bundle(folder, vectors, ix.dequantized(own.model).withColumnRenamed("term", "token"), model_id="stand-in")
         return bundle.read_bundle(folder).chunk_table(spark)
-    finally:
-        shutil.rmtree(os.path.join(folder), ignore_errors=True)
+
+
+@query(_chunk_ctes() + " SELECT row_number() OVER (ORDER BY doc_ord, chunk_ord) - 1 AS chunk_ix, document, chunk_ord FROM chunks")
+def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.ordinals(chunks(spark, sf_dir)).select("chunk_ix", "document", "chunk_ord")

@@ -13,6 +13,7 @@ import os
 import re
 import struct
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 VERSION, DOC_SCALE = "1.0", 127
 FILES = ("chunks", "docs", "tokens", "scales", "vocab")
-_MANIFEST = {"websem_version", "model_id", "dims", "vocab_size", "n_chunks", "chunk_size", "chunk_overlap", "title_prefix", "chunker_version", "doc_scale", "files"}
-_STALE = re.compile(r"^(?:chunks|docs|tokens|scales|vocab)\.[0-9a-f]{12}\.(?:bin|json)$")
+#: The manifest's key for the version, where the caller names no other.
+VERSION_KEY = "format_version"
+_MANIFEST = {"model_id", "dims", "vocab_size", "n_chunks", "chunk_size", "chunk_overlap", "title_prefix", "chunker_version", "doc_scale", "files"}
+_STALE = re.compile(rf"({'|'.join(FILES)})[.]([0-9a-f]{{12}})[.](json|bin)")
 _REQUIRED, _OPTIONAL = ("document", "title", "href", "snippet"), ("heading", "anchor")
 _CHUNK = "chunk_ix long, document string, title string, href string, snippet string, heading string, anchor string, v array<tinyint>"
 
@@ -40,11 +43,12 @@ def safe_name(name: object) -> bool:
     return isinstance(name, str) and bool(name) and not name.startswith("/") and "\\" not in name and ".." not in name.split("/")
 
 
-def check_manifest(m: object) -> dict:
+def check_manifest(m: object, version_key: str = VERSION_KEY) -> dict:
     """The manifest if it keeps all rules."""
+    keys = _MANIFEST | {version_key}
     _need(isinstance(m, dict), "the manifest must be an object")
-    _need(set(m) == _MANIFEST, f"manifest keys differ: {sorted(set(m) ^ _MANIFEST)}")
-    _need(m["websem_version"] == VERSION, f"unsupported version {m['websem_version']!r}")
+    _need(set(m) == keys, f"manifest keys differ: {sorted(set(m) ^ keys)}")
+    _need(m[version_key] == VERSION, f"unsupported version {m[version_key]!r}")
     whole = lambda v, least: isinstance(v, int) and not isinstance(v, bool) and v >= least
     for key, least in (("dims", 1), ("vocab_size", 1), ("chunk_size", 1), ("n_chunks", 0), ("chunk_overlap", 0)):
         _need(whole(m[key], least), f"{key} must be an integer of at least {least}")
@@ -77,9 +81,9 @@ class Bundle:
         return spark.createDataFrame(rows, "token_id int, token string, v array<tinyint>, scale float")
 
 
-def from_bytes(manifest: bytes | dict, files: dict[str, bytes]) -> Bundle:
+def from_bytes(manifest: bytes | dict, files: dict[str, bytes], version_key: str = VERSION_KEY) -> Bundle:
     """A bundle from the manifest and the bytes of the files it names."""
-    m = check_manifest(json.loads(manifest.decode("utf-8")) if isinstance(manifest, bytes) else manifest)
+    m = check_manifest(json.loads(manifest.decode("utf-8")) if isinstance(manifest, bytes) else manifest, version_key)
     data = {k: files[m["files"][k]] for k in FILES}
     _need(all(isinstance(b, bytes) for b in data.values()), "files must be bytes")
     for key, want in (("docs", m["n_chunks"] * m["dims"]), ("tokens", m["vocab_size"] * m["dims"]), ("scales", 4 * m["vocab_size"])):
@@ -96,20 +100,27 @@ def from_bytes(manifest: bytes | dict, files: dict[str, bytes]) -> Bundle:
     return Bundle(m, chunks, shape(data["docs"]), shape(data["tokens"]), scales, vocab)
 
 
-def fetch_bundle(fetch: Callable[[str], bytes], manifest: str = "manifest.json") -> Bundle:
-    """A bundle by any function from a name to bytes."""
+def fetch_bundle(fetch: Callable[[str], bytes], manifest: str = "manifest.json", version_key: str = VERSION_KEY) -> Bundle:
+    """A bundle by any function from a name to bytes: the manifest first, then its files at once. Whatever ``fetch`` raises is raised."""
     raw = fetch(manifest)
     _need(isinstance(raw, bytes), "fetched values must be bytes")
-    m = check_manifest(json.loads(raw.decode("utf-8")))
-    return from_bytes(m, {n: fetch(n) for n in m["files"].values()})
+    m = check_manifest(json.loads(raw.decode("utf-8")), version_key)
+    names = sorted(set(m["files"].values()))
+    with ThreadPoolExecutor(len(names)) as pool:
+        return from_bytes(m, dict(zip(names, pool.map(fetch, names), strict=True)), version_key)
 
 
-def read_bundle(folder: str) -> Bundle:
-    def fetch(name: str) -> bytes:
-        with open(os.path.join(folder, name), "rb") as f:
+def read_bundle(folder: str, version_key: str = VERSION_KEY) -> Bundle:
+    """A bundle of a folder, or of a manifest's own path (``.json``)."""
+    name = "manifest.json"
+    if folder.lower().endswith(".json"):
+        folder, name = os.path.split(folder)
+
+    def fetch(file: str) -> bytes:
+        with open(os.path.join(folder, file), "rb") as f:
             return f.read()
 
-    return fetch_bundle(fetch)
+    return fetch_bundle(fetch, name, version_key)
 
 
 def _hashed(folder: str, stem: str, ext: str, data: bytes) -> str:
@@ -136,13 +147,14 @@ def _commit(folder: str, name: str, value: dict) -> None:
 
 
 def write_bundle(folder: str, chunks: DataFrame, model: DataFrame, *, model_id: str, chunk_size: int = 600, chunk_overlap: int = 120, title_prefix: bool = True,
-                 chunker_version: str = "1", quarantine: bool = False) -> dict:
+                 chunker_version: str = "1", quarantine: bool = False, version_key: str = VERSION_KEY) -> dict:
     """Write chunks (display columns, doc_ord, chunk_ord, ``v`` as unit vectors) and model (token_id, token, ``v`` as floats); the manifest.
 
     A chunk whose vector is null, not finite or not of length 1 is an error, or is left out with ``quarantine``.
     """
     from loomseek.functions import vectors as fv
 
+    _need(isinstance(model_id, str) and bool(model_id), "model_id must not be empty")
     os.makedirs(folder, exist_ok=True)
     tokens = model.withColumn("scale", fv.row_scale(F.col("v"))).select("token_id", "token", fv.quantize(F.col("v"), F.col("scale")).alias("v"), "scale", F.size("v").alias("dims")).orderBy("token_id").collect()
     _need(bool(tokens) and tokens[0].dims > 0, "a model needs a token and a dimension")
@@ -162,11 +174,11 @@ def write_bundle(folder: str, chunks: DataFrame, model: DataFrame, *, model_id:
         "tokens": _hashed(folder, "tokens", "bin", b"".join(np.array(t.v, np.int8).tobytes() for t in tokens)),
         "scales": _hashed(folder, "scales", "bin", np.array([t.scale for t in tokens], "<f4").tobytes()), "vocab": _hashed(folder, "vocab", "json", _json([t.token for t in tokens])),
     }
-    manifest = {"websem_version": VERSION, "model_id": model_id, "dims": dims, "vocab_size": len(tokens), "n_chunks": len(records), "chunk_size": chunk_size, "chunk_overlap": chunk_overlap,
+    manifest = {version_key: VERSION, "model_id": model_id, "dims": dims, "vocab_size": len(tokens), "n_chunks": len(records), "chunk_size": chunk_size, "chunk_overlap": chunk_overlap,
                 "title_prefix": title_prefix, "chunker_version": chunker_version, "doc_scale": DOC_SCALE, "files": files}
-    _commit(folder, "manifest.json", check_manifest(manifest))
+    _commit(folder, "manifest.json", check_manifest(manifest, version_key))
     for name in os.listdir(folder):
-        if _STALE.match(name) and name not in files.values():
+        if _STALE.fullmatch(name) and name not in files.values():
             os.remove(os.path.join(folder, name))
     return manifest
 
@@ -193,6 +205,10 @@ def read_model(spark: SparkSession, folder: str) -> DataFrame:
     _need(isinstance(info, dict) and {"model_id", "dims", "vocab", "tokens", "scales"} <= set(info) and all(safe_name(info[k]) for k in ("vocab", "tokens", "scales")), "model.json is wrong")
     vocab, scales = json.loads(load(info["vocab"])), np.frombuffer(load(info["scales"]), "<f4")
     tokens = np.frombuffer(load(info["tokens"]), np.int8)
+    whole = isinstance(info["dims"], int) and not isinstance(info["dims"], bool) and info["dims"] > 0
+    _need(whole and isinstance(info["model_id"], str) and bool(info["model_id"]), "model.json is wrong")
+    _need(isinstance(vocab, list) and bool(vocab) and all(isinstance(t, str) for t in vocab) and len(set(vocab)) == len(vocab), "the vocabulary is wrong")
+    _need(bool(np.isfinite(scales).all() and (scales > 0).all()), "scales must be finite and above 0")
     _need(len(tokens) == len(vocab) * info["dims"] and len(scales) == len(vocab), "lengths of the model's files differ")
     rows = [(i, t, v.tolist(), float(s)) for i, (t, v, s) in enumerate(zip(vocab, tokens.reshape(len(vocab), -1), scales, strict=True))]
     return spark.createDataFrame(rows, "token_id int, token string, v array<tinyint>, scale float")

@@ -11,39 +11,35 @@ from loomseek.functions.paths import kept
 
 _SECTION = T.StructType([T.StructField("text", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("anchor", T.StringType())])
 DOCUMENT = T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "title", "href", "text")), T.StructField("sections", T.ArrayType(_SECTION))])
-_KEYS, _SECTION_KEYS = {"id", "title", "href", "text", "sections"}, {"text", "heading", "anchor"}
+#: What the types of a document and of a section must be; a variant's keys are in alphabetical order.
+_DOCUMENT = r"OBJECT<href: STRING, id: STRING, (sections: (VOID|ARRAY<.*>), )?text: STRING, title: STRING>"
+_PART = r"OBJECT<(anchor: STRING, )?(heading: STRING, )?text: STRING>"
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Documents of ``.jsonl``/``.ndjson`` (one object a line) or ``.json`` (an array or one object), with doc_ord in file order.
 
-    ValueError if an object lacks a key, has another one, or a value of the wrong type.
+    ValueError if an object lacks a key, has another one, or a value of the wrong type. With ``strict`` lines are in
+    ``.jsonl`` alone, and any other file must be an array.
     """
-    lines = path.lower().endswith((".jsonl", ".ndjson"))
+    lines = path.lower().endswith((".jsonl",) if strict else (".jsonl", ".ndjson"))
     if lines:
         raw = spark.read.text(path).where("trim(value) <> ''").select("value", F.monotonically_increasing_id().alias("doc_ord"))
     else:
         whole = spark.read.text(path, wholetext=True)
-        as_list = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+        is_list = F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("[")
+        if strict and not whole.where(~is_list).isEmpty():
+            raise ValueError("the corpus must be an array of documents")
+        as_list = F.when(is_list, F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
         raw = whole.select(F.posexplode_outer(F.from_json(as_list, "array<string>")).alias("doc_ord", "value")).withColumn("doc_ord", F.col("doc_ord").cast("long"))
-    keys = F.json_object_keys("value")
-    strings = [F.get_json_object("value", f"$.{k}") for k in ("id", "title", "href", "text")]
-    parsed = raw.select("doc_ord", "value", keys.alias("keys"), F.from_json("value", "map<string,string>").alias("m"), F.from_json("value", DOCUMENT).alias("d"),
-                        F.from_json(F.get_json_object("value", "$.sections"), "array<map<string,string>>").alias("s"))
-    typed = F.lit(True)
-    for k in ("id", "title", "href", "text"):
-        typed = typed & F.col("value").rlike(rf'"{k}"\s*:\s*"')
-    extra = F.size(F.array_except("keys", F.array(*[F.lit(k) for k in sorted(_KEYS)]))) > 0
-    allowed = F.array(*[F.lit(k) for k in sorted(_SECTION_KEYS)])
-    bad_section = F.exists("s", lambda m: (F.size(F.array_except(F.map_keys(m), allowed)) > 0) | m["text"].isNull())
-    missing = F.lit(False)
-    for c in strings:
-        missing = missing | c.isNull()
-    bad = parsed.where(F.coalesce(F.col("keys").isNull() | extra | missing | ~typed | F.coalesce(bad_section, F.lit(False)), F.lit(True)))
-    first = bad.select("value").head(1)
+    typed = raw.withColumn("j", F.try_parse_json("value"))
+    sections = F.try_variant_get("j", "$.sections", "array<variant>")
+    parts = F.forall(sections, lambda x: F.schema_of_variant(x).rlike(f"^{_PART}$"))
+    good = F.schema_of_variant("j").rlike(f"^{_DOCUMENT}$") & F.coalesce(parts, sections.isNull())
+    first = typed.where(~F.coalesce(good, F.lit(False))).select("value").head(1)
     if first:
         raise ValueError(f"not a document: {(first[0].value or 'no JSON')[:200]}")
-    return parsed.select("doc_ord", "d.*")
+    return raw.select("doc_ord", F.from_json("value", DOCUMENT).alias("d")).select("doc_ord", "d.*")
 
 
 def page_documents(pages: DataFrame, path: str = "url", html: str = "html", include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:

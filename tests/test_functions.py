@@ -1,5 +1,6 @@
 """Text, vector, path, HTML and word-piece functions."""
 
+import html as html_lib
 import random
 import re
 import unicodedata
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomseek.functions import text as ft
 from loomseek.functions import vectors as fv
-from loomseek.functions.html import page_sections
+from loomseek.functions.html import HIDDEN_TAGS, VOID, PageRules, page_sections
 from loomseek.functions.paths import path_matches
 from loomseek.functions.wordpiece import WordPiece, word_ids
 from loomseek.operators.chunking import spans
@@ -67,7 +68,8 @@ def test_spans_formula():
             if e == n:
                 break
             s = max(s + 1, max((j for j in range(e + 1) if p[e] - p[j] >= overlap), default=0))
-        assert spans(lens, size, overlap) == want
+        row, first, end = spans(np.array(lens * 2), np.array([0, n, n, 2 * n]), size, overlap)
+        assert [(int(a), int(b)) for r_, a, b in zip(row, first, end) if r_ == 0] == [(int(a), int(b)) for r_, a, b in zip(row, first, end) if r_ == 2] == want and 1 not in row
 
 
 def test_vectors(spark):
@@ -78,8 +80,6 @@ def test_vectors(spark):
     assert one(spark, fv.to_int8, [0.5, -0.5, 2.0], "array<double>") == [64, -64, 127]
     assert one(spark, lambda x: fv.to_int8(x, half_up=True), [0.5, -0.5], "array<double>") == [64, -63]
     assert one(spark, fv.unit, [0.0, 0.0], "array<double>") == [0.0, 0.0]
-    assert one(spark, lambda x: fv.cosine(x, F.array(F.lit(0.0), F.lit(0.0))), [1.0, 2.0], "array<double>") == 0.0
-    assert fv.int8_matrix(b"\x7f\x00\x00\x7f", 2).tolist() == [[127, 0], [0, 127]] and fv.float32_array(np.array([0.5], "<f4").tobytes())[0] == 0.5
 
 
 @pytest.mark.parametrize(("path", "pattern", "expected"), [
@@ -95,6 +95,45 @@ def test_html_sections():
     assert page["sections"] == [{"text": "Intro bo ld & more", "heading": None, "anchor": None}, {"text": "One.", "heading": "First", "anchor": "a"}, {"text": "end", "heading": "Last", "anchor": None}]
     assert "Empty" in page["text"] and "hidden" not in page["text"] and "#" not in page["text"]
     assert page_sections("a <svg><p>b</svg> c")["text"] == "a" and page_sections("")["sections"] == []
+    own = PageRules(classes=frozenset(["secret"]), attributes=frozenset(["data-x"]))
+    assert page_sections('<p class="a secret">x</p><p data-x>y</p><p class="no-index">z</p>', own)["text"] == "z"
+    assert page_sections('<p class="no-index">z</p>w')["text"] == "w" and page_sections('<h1 id="">T</h1>x')["sections"] == [{"text": "x", "heading": "T", "anchor": None}]
+
+
+def literal_sections(html):
+    """Sections by cutting the page with a regular expression: only for pages without comments, scripts or broken tags."""
+    hidden, heading, open_ = [], None, None
+    out, text = [["", None, ""]], ""
+    for tag, data in re.findall(r"(<[^>]*>)|([^<]+)", html):
+        name = re.match(r"</?\s*([a-z0-9]*)", tag)[1] if tag else ""
+        if data:
+            if not hidden:
+                text += " " + data
+                out[-1][2 if open_ is None else 0] += " " + data
+        elif tag.startswith("</"):
+            if hidden:
+                hidden = hidden[:-1] if hidden[-1] == name else hidden
+            elif name == open_:
+                open_ = None
+        elif tag.endswith("/>"):
+            continue
+        elif hidden or name in HIDDEN_TAGS:
+            hidden += [] if name in VOID else [name]
+        elif re.fullmatch("h[1-6]", name):
+            open_ = name
+            anchor = re.search(r'\sid="([^"]*)"', tag)
+            out.append(["", (anchor[1] or None) if anchor else None, ""])
+    flat = lambda x: " ".join(html_lib.unescape(x).split())
+    return flat(text), [(flat(t), flat(h) or None, a) for h, a, t in out if flat(t)]
+
+
+def test_html_against_a_literal_cut():
+    r = random.Random(3)
+    bits = ["<p>", "</p>", "<h1>", "</h1>", '<h2 id="x">', "</h2>", '<h3 id="">', "</h3>", "<code>", "</code>", "<svg>", "</svg>", "<br>", "<br/>", "one ", " two", "&amp;", "é 中", "<b>", "</b>", "\n"]
+    for _ in range(2000):
+        html = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        got = page_sections(html)
+        assert (got["text"], [(x["text"], x["heading"], x["anchor"]) for x in got["sections"]]) == literal_sections(html), html
 
 
 def test_word_pieces(spark):
@@ -108,6 +147,34 @@ def test_word_pieces(spark):
         WordPiece(longest_word=0)
 
 
+def test_word_pieces_against_a_loop(spark):
+    r = random.Random(5)
+    ids = {t: i for i, t in enumerate(["[UNK]", "a", "ab", "abc", "##a", "##bc", "##b", "##cab", "中", "."])}
+    shared = spark.sparkContext.broadcast(ids)
+    rows = [[("".join(r.choice("abc") for _ in range(r.randint(1, 9)))) for _ in range(r.randint(0, 5))] for _ in range(300)] + [None, [], ["中", ".", "[UNK]"]]
+
+    def loop(word):
+        out, at = [], 0
+        while at < len(word):
+            n = max((k for k in range(1, len(word) - at + 1) if ("##" if at else "") + word[at: at + k] in ids), default=0)
+            if not n:
+                return []
+            out.append(ids[("##" if at else "") + word[at: at + n]])
+            at += n
+        return [x for x in out if x]
+
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, w array<string>").select("i", word_ids(F.col("w"), shared)).collect()
+    assert [g[1] for g in sorted(got)] == [None if w is None else [i for x in w for i in loop(x)] for w in rows]
+
+
+def test_tokens_and_counts(spark):
+    assert one(spark, ft.tokens, None) == [] and one(spark, ft.tokens, "A b, B!") == ["a", "b", ",", "b", "!"]
+    rows = [["b", "a", "b", ".", "é1"], [], None, ["."]]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t array<string>").select("i", ft.counted_terms(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [(g.c.dl, dict(zip(g.c.terms, g.c.tfs))) for g in got] == [(4, {"b": 2, "a": 1, "é1": 1}), (0, {}), (0, {}), (0, {})]
+    assert one(spark, ft.casefold, "Straße") == "strasse" and one(spark, ft.casefold, None) is None
+
+
 def test_links_and_templates(spark):
     row = spark.createDataFrame([("/a", "b"), ("/a#x", "b"), ("/a", None)], "h string, a string").select(ft.with_anchor(F.col("h"), F.col("a"))).collect()
     assert [r[0] for r in row] == ["/a#b", "/a#x", "/a"]

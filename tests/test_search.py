@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomseek.operators import chunking
 from loomseek.operators import ranking as rk
-from loomseek.options import ChunkOptions, HybridOptions, SearchOptions, ToolArguments
+from loomseek.client import SearchClient, call_tool, copy_sources, source_text
+from loomseek.options import ChunkOptions, HybridOptions, SearchOptions, SiteOptions, ToolArguments
 from loomseek.plans import index as ix
 from loomseek.plans import queries as engine
 from loomseek.sources import bundle, corpus
@@ -66,10 +67,91 @@ def test_keyword_and_hybrid(spark, index):
         ask(spark, index, "x", "other")
 
 
-def test_join_pooling_equals_workers(spark, index):
-    words = spark.createDataFrame([(1, ["alpha", "beta", "beta", "x"]), (2, ["x"])], "k int, terms array<string>")
-    a, b = ix.pooled(words, index.model, ["k"]).collect(), rk.mean_pool(words, index.model, ["k"]).collect()
-    assert len(a) == len(b) == 1 and np.allclose(a[0].v, b[0].v) and np.allclose(a[0].v, np.array([1, 2]) / np.sqrt(5))
+def test_join_pooling_equals_workers(spark, monkeypatch):
+    words = spark.createDataFrame([(1, ["alpha", "beta", "beta", "x"]), (2, ["x"]), (3, [])], "k int, tokens array<string>")
+    model = spark.createDataFrame([(0, "alpha", [1.0, 0.0]), (1, "beta", [0.0, 1.0])], MODEL)
+    a = sorted(ix.embedded(words, model).collect())
+    monkeypatch.setattr(ix, "MODEL_BYTES", 0)
+    b = sorted(ix.embedded(words, model).collect())
+    assert [r.v is None for r in a] == [r.v is None for r in b] == [False, True, True]
+    assert np.allclose(a[0].v, b[0].v) and np.allclose(a[0].v, np.array([1, 2]) / np.sqrt(5))
+    assert [r.v for r in ix.embedded(words, model.limit(0)).collect()] == [None] * 3
+
+
+@pytest.fixture(scope="module")
+def pieces(spark):
+    """A model of word pieces and marks."""
+    docs = spark.createDataFrame([("a", "Played", "/a", "Playing.", None), ("b", "Other", "/b", "other, words", None), ("c", "Strasse", "/c", "eine straße", None)], DOC)
+    model = spark.createDataFrame([(0, "[UNK]", [9.0, 9.0, 9.0]), (1, "play", [1.0, 0.0, 0.0]), (2, "##ing", [0.0, 1.0, 0.0]), (3, "other", [0.0, 0.0, 1.0]), (4, ".", [0.0, 0.5, 0.0]), (5, "strasse", [0.3, 0.3, 0.0])], MODEL)
+    return ix.build(docs, model, ChunkOptions(title_prefix=False))
+
+
+def test_word_pieces_are_embedded(spark, pieces):
+    vectors = {r.document: r.v for r in pieces.table.collect()}
+    mean = np.array([1.0, 1.5, 0.0])  # play, ##ing and the mark
+    assert vectors["a"] == np.rint(mean / np.linalg.norm(mean) * 127).astype(int).tolist() and vectors["b"] == [0, 0, 127] and vectors["c"] is None
+    got = ask(spark, pieces, "playing", options=SearchOptions(min_score=0.1, specific_term_heuristic=False))
+    want = (np.array(vectors["a"]) @ [1, 1, 0]) / np.linalg.norm(vectors["a"]) / np.sqrt(2)
+    assert [r.document for r in got] == ["a"] and got[0].score == pytest.approx(want, abs=1e-6)
+    assert got[0].title == "Played" and got[0].snippet == "Playing."
+
+
+def test_vocabulary_is_case_folded(spark, pieces):
+    """A sharp s folds to the two letters that the vocabulary has, so the word isn't specific."""
+    asked = spark.createDataFrame([(1, "straße words the ours players")], "query_id long, query string")
+    assert {r.term for r in rk.oov_terms(asked, pieces.model).collect()} == {"words", "players"}
+
+
+def test_encoder_of_the_caller(spark):
+    docs = spark.createDataFrame([("a", "T", "/a", "one", None), ("b", "T", "/b", "two", None)], DOC)
+    model = spark.createDataFrame([(0, "one", [1.0, 0.0])], MODEL)
+
+    def encode(texts):
+        return np.array([[1.0, 0.0] if "one" in t else [0.0, -1.0] for t in texts])
+
+    assert {r.document: r.v for r in ix.build(docs, model, encoder=encode).table.collect()} == {"a": [127, 0], "b": [0, -127]}
+    for wrong in (lambda t: np.ones((len(t), 3)), lambda t: np.full((len(t), 2), np.nan), lambda t: np.ones((len(t), 2))):
+        with pytest.raises(Exception, match="encoder"):
+            ix.build(docs, model, encoder=wrong).table.collect()
+
+
+def test_ranges_number_like_windows(spark):
+    rows = [(q, f"d{i:04d}", 0, float((i * 7919) % 100)) for q in (1, 2, 3) for i in range(0 if q == 2 else 700)] + [(2, "x", 0, 1.0)]
+    df = spark.createDataFrame(rows, "query_id long, document string, chunk_ord int, score double")
+    assert sorted(rk.all_ranked(df).collect()) == sorted(rk.ranked(df).collect())
+
+
+def test_merge_of_long_rankings(spark):
+    a, b = ranking(spark, [f"a{i}" for i in range(30)] + ["x"]), ranking(spark, ["x", *(f"b{i}" for i in range(40)), "a3"])
+    merged = [r.document for r in rk.merge(a, b).orderBy("rank").collect()]
+    assert merged == [f"a{i}" for i in range(30)] + ["x"] + [f"b{i}" for i in range(40)]
+    for limit in (0, 1, 5, 31, 33, 200):
+        assert [r.document for r in rk.merged_top(a, b, limit).orderBy("rank").collect()] == merged[:limit]
+
+
+def test_scan_keeps_the_best_of_each_batch(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"d{i // 3}", i % 3, [int(x) for x in rng.integers(-9, 9, 4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "document string, chunk_ord int, v array<tinyint>").repartition(3)
+    queries = rng.normal(size=(5, 4))
+    whole = rk.rollup(rk.cosine_scan(df, ["p", "q", "r", "s", "t"], queries, kind="string"))
+    exact = {}
+    for d, c, v in rows:
+        for k, q in zip("pqrst", queries):
+            x = round(float(np.dot(v, q) / (np.linalg.norm(v) * np.linalg.norm(q))), 9) if any(v) else 0.0
+            exact[k, d] = min(exact.get((k, d), (9.0, 0)), (-x, c))
+    assert {(r.query_id, r.document): (r.chunk_ord, pytest.approx(r.score, abs=2e-9)) for r in whole.collect()} == {k: (c, -x) for k, (x, c) in exact.items()}
+    few = rk.top(rk.rollup(rk.cosine_scan(df, ["p", "q", "r", "s", "t"], queries, min_score=0.5, limit=4, kind="string")), 4).select("query_id", "document", "chunk_ord").collect()
+    assert sorted(few) == sorted(rk.top(whole.where("score >= 0.5"), 4).select("query_id", "document", "chunk_ord").collect())
+    with pytest.raises(Exception, match="components"):
+        rk.cosine_scan(df, ["p"], rng.normal(size=(1, 3)), kind="string").collect()
+
+
+def test_many_queries_go_in_blocks(spark, index, monkeypatch):
+    asked = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["alpha", "beta", "alpha beta", "x"] * 5)], "query_id string, query string")
+    once = sorted(ix.semantic_rank(index, asked).collect())
+    monkeypatch.setattr(ix, "QUERY_BYTES", 64)
+    assert sorted(ix.semantic_rank(index, asked).collect()) == once and len(once) == 30
 
 
 def ranking(spark, documents):
@@ -90,7 +172,7 @@ def test_rrf(spark):
     assert [r.document for r in merged] == ["c", "a", "b"]
 
 
-@pytest.mark.parametrize("make", [lambda: ChunkOptions(0), lambda: ChunkOptions(10, 10), lambda: ChunkOptions(10, -1), lambda: SearchOptions(limit=-1), lambda: SearchOptions(limit=True),
+@pytest.mark.parametrize("make", [lambda: ChunkOptions(0), lambda: ChunkOptions(10, 10), lambda: ChunkOptions(10, -1), lambda: SearchOptions(limit=-1), lambda: SearchOptions(limit=True), lambda: SearchOptions(specific_term_heuristic=1), lambda: SiteOptions(dims=0),
                                   lambda: SearchOptions(min_score=float("inf")), lambda: HybridOptions(rrf_k=0), lambda: HybridOptions(keyword_weight=-1), lambda: ToolArguments(" "), lambda: ToolArguments("q", 21)])
 def test_wrong_options(make):
     with pytest.raises(ValueError):
@@ -108,14 +190,17 @@ def test_index_round_trip(spark, index, tmp_path):
 def with_vectors(index):
     from loomseek.functions import vectors as fv
 
-    chunks = index.chunks.withColumn("doc_ord", F.ascii("document").cast("long"))
-    return chunks.join(index.vectors.withColumn("v", fv.unit(F.col("v"))), ["document", "chunk_ord"], "left")
+    return index.table.withColumn("doc_ord", F.ascii("document").cast("long")).withColumn("v", fv.unit(F.col("v")))
 
 
 def test_bundle(spark, index, tmp_path):
-    folder, model = str(tmp_path / "b"), index.model.withColumnRenamed("term", "token")
+    folder, model = str(tmp_path / "b"), ix.dequantized(index.model).withColumnRenamed("term", "token")
     m = bundle.write_bundle(folder, with_vectors(index), model, model_id="m")
     again = bundle.write_bundle(folder, with_vectors(index), model, model_id="m")
+    other = bundle.write_bundle(str(tmp_path / "o"), with_vectors(index), model, model_id="m", version_key="their_version")
+    assert other["their_version"] == "1.0" and bundle.read_bundle(str(tmp_path / "o" / "manifest.json"), "their_version").vocab == ["alpha", "beta"]
+    with pytest.raises(bundle.BundleError):
+        bundle.read_bundle(str(tmp_path / "o"))
     assert m == again and m["n_chunks"] == 3 and len(os.listdir(folder)) == 6
     b = bundle.read_bundle(folder)
     assert [c["document"] for c in b.chunks] == ["a", "a", "b"] and b.chunks[1]["anchor"] == "more" and "anchor" not in b.chunks[0]
@@ -129,10 +214,10 @@ def test_bundle(spark, index, tmp_path):
 
 def test_bundle_rules():
     files = {"c": b"[]", "d": b"", "t": b"\x7f", "s": np.array([1], "<f4").tobytes(), "v": b'["x"]'}
-    good = {"websem_version": "1.0", "model_id": "m", "dims": 1, "vocab_size": 1, "n_chunks": 0, "chunk_size": 1, "chunk_overlap": 0, "title_prefix": True, "chunker_version": "1", "doc_scale": 127,
+    good = {"format_version": "1.0", "model_id": "m", "dims": 1, "vocab_size": 1, "n_chunks": 0, "chunk_size": 1, "chunk_overlap": 0, "title_prefix": True, "chunker_version": "1", "doc_scale": 127,
             "files": dict(zip(bundle.FILES, "cdtsv", strict=True))}
     assert bundle.from_bytes(json.dumps(good).encode(), files).vocab == ["x"]
-    for change in ({"websem_version": "2.0"}, {"dims": True}, {"doc_scale": 1}, {"model_id": ""}, {"title_prefix": 1}, {"extra": 1}, {"n_chunks": 1}, {"files": {**good["files"], "docs": "../d"}}):
+    for change in ({"format_version": "2.0"}, {"dims": True}, {"doc_scale": 1}, {"model_id": ""}, {"title_prefix": 1}, {"extra": 1}, {"n_chunks": 1}, {"files": {**good["files"], "docs": "../d"}}):
         with pytest.raises(bundle.BundleError):
             bundle.from_bytes({**good, **change}, files)
     for change in ({"t": b""}, {"s": np.array([0], "<f4").tobytes()}, {"v": b"[1]"}, {"c": b"[{}]"}, {"d": "text"}):
@@ -170,10 +255,17 @@ def test_corpus(spark, tmp_path):
         got = corpus.read_corpus(spark, str(tmp_path / name)).orderBy("doc_ord").collect()
         assert len(got) == n and got[-1].id == "b"
     assert corpus.read_corpus(spark, str(tmp_path / "c.json")).orderBy("doc_ord").head().sections[0].heading == "H"
-    for k, bad in enumerate(({"id": "a"}, {**good[1], "more": 1}, {**good[1], "title": 3}, {**good[1], "sections": [{"heading": "h"}]}, [1])):
+    for k, bad in enumerate(({"id": "a"}, {**good[1], "more": 1}, {**good[1], "title": 3}, {**good[1], "sections": [{"heading": "h"}]}, [1], {**good[1], "text": 3, "sections": [{"text": "a"}]}, {**good[1], "sections": [{"text": "a", "heading": 3}]},
+                             {**good[1], "sections": "zz"}, {**good[1], "sections": [{"text": "a"}, {"text": "b", "heading": None}]}, {**good[1], "sections": ["x"]}, {**good[1], "sections": [{"text": "a", "z": "b"}]}, {**good[1], "id": None})):
         (tmp_path / f"bad{k}.jsonl").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             corpus.read_corpus(spark, str(tmp_path / f"bad{k}.jsonl"))
+    for k, fine in enumerate(({**good[1], "sections": None}, {**good[1], "sections": []}, {**good[1], "sections": [{"text": "a", "anchor": "b"}, {"text": "c"}]})):
+        (tmp_path / f"fine{k}.ndjson").write_text(json.dumps(fine))
+        assert corpus.read_corpus(spark, str(tmp_path / f"fine{k}.ndjson")).count() == 1
+        with pytest.raises(ValueError):
+            corpus.read_corpus(spark, str(tmp_path / f"fine{k}.ndjson"), strict=True)
+    assert corpus.read_corpus(spark, str(tmp_path / "c.json"), strict=True).count() == 2
     (tmp_path / "x.md").write_text("# T\n")
     assert corpus.read_markdown(spark, str(tmp_path), "x.md") == "# T\n"
     for path in ("../x.md", "/x.md", "x.txt", "a\\x.md"):
@@ -181,6 +273,22 @@ def test_corpus(spark, tmp_path):
             corpus.read_markdown(spark, str(tmp_path), path)
 
 
+def test_client_of_a_bundle(spark, index, tmp_path):
+    folder = str(tmp_path / "b")
+    bundle.write_bundle(folder, with_vectors(index), ix.dequantized(index.model).withColumnRenamed("term", "token"), model_id="m")
+    own, native = SearchClient.open(spark, folder=folder), SearchClient(index)
+    for ask_ in (lambda c: c.semantic("beta"), lambda c: c.lexical("alpha the"), lambda c: c.hybrid("beta guide", HybridOptions(2)), lambda c: call_tool(c, {"query": " beta ", "limit": 1}, "hybrid"), lambda c: call_tool(c, {"query": "alpha"}, "keyword")):
+        assert [(r.document, r.snippet, r.score) for r in ask_(own)] == [(r.document, r.snippet, r.score) for r in ask_(native)] != []
+    for wrong in ({}, {"query": " "}, {"query": "a", "limit": 21}, {"query": "a", "more": 1}):
+        with pytest.raises(ValueError):
+            call_tool(own, wrong)
+    for wrong in ({}, {"path": "x", "folder": "y"}):
+        with pytest.raises(ValueError):
+            SearchClient.open(spark, **wrong)
+    copy_sources(spark.createDataFrame([("a.md", "# A")], "path string, text string"), str(tmp_path / "s"))
+    assert source_text(spark, str(tmp_path / "s"), " a.md") == "# A" and source_text(spark, str(tmp_path / "s"), "b.md") is None
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
