@@ -176,9 +176,14 @@ def pooler(matrix):
         sums = np.zeros((len(count), table.shape[1]))
         some = np.flatnonzero(count)
         start = (np.cumsum(count) - count)[some]
-        for k in range(0, len(some), 512):  # so many rows at once, as their tokens' vectors are laid side by side
-            i, j = start[k], start[k + 512] if k + 512 < len(some) else len(ids)
-            sums[some[k: k + 512]] = np.add.reduceat(table[ids[i:j]], start[k: k + 512] - i) / count[some[k: k + 512], None]
+        for k in range(0, len(some), 256):  # so many rows at once, as their tokens' vectors are laid side by side
+            own, own_start = some[k: k + 256], start[k: k + 256]
+            i, j = own_start[0], start[k + 256] if k + 256 < len(some) else len(ids)
+            if len(own) * len(table) <= 8 * (j - i):  # long rows: how often each has each token, times the vectors
+                often = np.bincount(np.repeat(np.arange(len(own)), count[own]) * len(table) + ids[i:j], minlength=len(own) * len(table))
+                sums[own] = often.reshape(len(own), -1) @ table / count[own, None]
+            else:
+                sums[own] = np.add.reduceat(table[ids[i:j]], own_start - i) / count[own, None]
         norm = np.sqrt((sums**2).sum(1))
         sums[norm > 0] /= norm[norm > 0, None]
         flat = pa.ListArray.from_arrays(pa.array((np.arange(len(count) + 1) * table.shape[1]).astype(np.int32)), pa.array(sums.ravel()))
