@@ -7,8 +7,9 @@ turns are then rendered. Only roles go to Python, and equal sequences of roles a
 
 Definitions. Turns are in the order of their number (null last), then role, then text; rows alike in all three count once. Roles are
 compared in lower case without outer spaces, some synonyms are known, and any other role (null too) is unknown and cheap to replace.
-A null text is empty. Rows with a null conv_id are one conversation. Of repairs of equal cost, the one first in the order of
-OPERATIONS at the earliest turn stays. Marks of the format within a text are broken by a space, so no text can pose as a turn.
+A null text is empty. Rows with a null conv_id are one conversation. Of the ways of equal cost to one role after a turn, an emitted
+turn goes before a merged one, and then the role before it decides, in the order of ROLES; of ends of equal cost the role first in
+the alphabet. A conversation is gathered in one row, so its turns must fit in a worker. Marks of the format within a text are broken by a space, so no text can pose as a turn.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MERGE, INSERT, RELABEL, UNKNOWN = 1, 2, 3, 1
-OPERATIONS = ("emit", "merge")
 START, END = "<|im_start|>", "<|im_end|>"
 SYNONYMS = {"human": "user", "customer": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 ROLES = ("system", "user", "assistant")
@@ -64,11 +64,11 @@ def repair(roles: tuple[str | None, ...]) -> tuple[int, Turns]:
             if state not in new or cost < new[state]:  # noqa: B023
                 new[state], step[state] = cost, how  # noqa: B023
 
-        for state, cost in best.items():
-            for to in ROLES:
+        for state in ("", *ROLES):
+            for to in ROLES if state in best else ():
                 if (state, to) in DETOURS:
                     path = DETOURS[state, to]
-                    offer(to, cost + relabel_cost(role, to) + INSERT * len(path), (state, path, False))
+                    offer(to, best[state] + relabel_cost(role, to) + INSERT * len(path), (state, path, False))
         for state, cost in best.items():
             if state:
                 offer(state, cost + relabel_cost(role, state) + MERGE, (state, (), True))
@@ -128,3 +128,37 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     planned = grouped.withColumn("plan", _planner()(F.col("turns.role")))
     return planned.select("conv_id", F.size("turns").alias("turns_in"), F.size("plan.turns").alias("turns_out"), F.col("plan.cost").alias("repair_cost"),
                           render(F.col("plan.turns"), F.col("turns.text")).alias("text"))
+
+
+def _sql() -> str:
+    """The same dynamic programming as a recursive query: each step takes all conversations one turn further and keeps the cheapest way to each role."""
+    mark = lambda role, body: f"'{START}' || {role} || chr(10) || {body} || '{END}' || chr(10)"
+    empty = lambda path: "''" + "".join(" || " + mark(f"'{r}'", "''") for r in path)
+    states = ("", *ROLES)
+    moves = [f"('{s}', '{to}', {INSERT * len(path)}, 0, {states.index(s)}, {len(path) + 1}, {empty(path)})" for s in states for to in ROLES for path in [DETOURS.get((s, to))] if path is not None]
+    moves += [f"('{s}', '{s}', {MERGE}, 1, {states.index(s)}, 0, '')" for s in ROLES]
+    ends = {s: () if s in FINAL else (*DETOURS[s, "assistant"], "assistant") for s in states}
+    last = ", ".join(f"('{s}', {INSERT * len(p)}, {len(p)}, {empty(p)})" for s, p in ends.items())
+    synonyms = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS.items())
+    roles = ", ".join(f"'{r}'" for r in ROLES)
+    safe_ = f"replace(replace(coalesce(text, ''), '{START}', '<| im_start |>'), '{END}', '<| im_end |>')"
+    return f"""
+WITH RECURSIVE one AS (SELECT DISTINCT conv_id, turn, role, {safe_} AS text FROM conversations),
+convs AS (SELECT conv_id, row_number() OVER () AS u FROM (SELECT DISTINCT conv_id FROM one)),
+named AS (SELECT u, turn, role AS given, text, CASE lower(trim(role)) {synonyms} ELSE lower(trim(role)) END AS role FROM one JOIN convs ON one.conv_id IS NOT DISTINCT FROM convs.conv_id),
+turns AS (SELECT u, row_number() OVER (PARTITION BY u ORDER BY turn NULLS LAST, given NULLS FIRST, text) AS i, CASE WHEN role IN ({roles}) THEN role END AS role, text FROM named),
+moves(state, to_, price, kind, ord, more, path) AS (VALUES {", ".join(moves)}),
+ends(state, price, more, path) AS (VALUES {last}),
+dp AS (SELECT u, 0::BIGINT AS i, '' AS state, 0 AS cost, 0 AS n, '' AS done, '' AS body FROM convs
+  UNION ALL SELECT u, i, to_, cost, n, done, body FROM (
+    SELECT dp.u, t.i, to_, dp.cost + price + CASE WHEN t.role = to_ THEN 0 WHEN t.role IS NULL THEN {UNKNOWN} ELSE {RELABEL} END AS cost, dp.n + more AS n,
+      CASE WHEN kind = 1 THEN done WHEN dp.state = '' THEN path ELSE done || {mark("dp.state", "body")} || path END AS done,
+      CASE WHEN kind = 1 THEN body || chr(10) || t.text ELSE t.text END AS body,
+      row_number() OVER (PARTITION BY dp.u, to_ ORDER BY dp.cost + price + CASE WHEN t.role = to_ THEN 0 WHEN t.role IS NULL THEN {UNKNOWN} ELSE {RELABEL} END, kind, ord) AS r
+    FROM dp JOIN turns t ON t.u = dp.u AND t.i = dp.i + 1 JOIN moves ON moves.state = dp.state) WHERE r = 1)
+SELECT conv_id, i::INT AS turns_in, (n + more)::INT AS turns_out, (cost + price)::INT AS repair_cost, done || {mark("state", "body")} || path AS text
+FROM dp JOIN ends USING (state) JOIN convs USING (u) WHERE i = (SELECT count(*) FROM turns WHERE turns.u = dp.u)
+QUALIFY row_number() OVER (PARTITION BY u ORDER BY cost + price, state) = 1"""
+
+
+CHAT_SQL = _sql()

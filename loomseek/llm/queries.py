@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_chat_format": chat_format.CHAT_SQL,
     "op6_ngram_jaccard": ngram_join.CLASSES_SQL,
     "op8_exact_dedup": exact_dedup.COPIES_SQL,
     "op10_line_dedup": line_dedup.LINES_SQL,

@@ -1,11 +1,9 @@
-"""What the training-data operators share: the shared folder, and hashing of words, n-grams and lines in NumPy."""
+"""What the training-data operators share: placing packed rows, and hashing of words, n-grams and lines in NumPy."""
 
 from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,41 +12,19 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek.functions.folders import shared_folder, written  # noqa: F401
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at once; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 _WORD_BASE = np.uint64(0x100000001B3)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, not yet made, below the folder that all executors share, as a URI with its scheme.
-
-    It is below ``spark.checkpoint.dir`` where the cluster names one; a path without a scheme is on the cluster's default
-    file system. Only on one machine (a local master) may that be unset: then a temporary folder is set as the
-    checkpoint folder. Elsewhere that is an error, as executors could not read each other's files.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomseek-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return re.sub("^file:/+", "file:///", fs.makeQualified(path).toString())
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI and the path in it; works in a task as on the driver. Hadoop's names of S3 are Arrow's."""
     return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of finished steps' shuffle files: Spark deletes them when the driver's garbage, which has their last handles, is collected."""
     gc.collect()
