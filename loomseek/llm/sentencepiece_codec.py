@@ -1,7 +1,8 @@
 """SentencePiece BPE models: exact encoding by backtracking over longest matches, and decoding.
 
 A model file is read with a small parser of its own. The text is cut where no piece can cross: before a run of spaces
-after other characters, and around characters that no piece has. Such a unit is encoded once for each batch and worker:
+after other characters, and around characters that no piece has. Each different unit of a slice of texts is encoded once,
+all of them side by side in arrays (``encode_units``; ``backtrack`` is the same for one unit, for what doesn't fit there):
 an Aho-Corasick automaton gives the longest piece at each position; a piece is taken if it is compatible with the one
 before it, that is, if merging the two pieces' characters again gives the two (which is followed backwards along their border: where
 a union across it scores better than the merge that is undone next, it would have come first); otherwise the next shorter prefix
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from array import array
@@ -35,6 +37,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _MOST_CACHED = 100_000  # pairs, and units in each of two generations, that a worker remembers: some 20 MB each
+_BLOCK = 1 << 20  # characters of units that are encoded side by side
+_MEMO_BITS = 20
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -135,12 +139,17 @@ class Codec:
         # scores fall from parts to wholes in a model of merges; where they don't, pieces are merged from their characters
         self.falls = all(max(self.level[a], self.level[b]) < self.level[p] for p, (a, b) in self.halves.items() if p in self.reached and p not in self.tied)
         self.automaton = ahocorasick.Automaton()
-        for p in self.reached:
+        # a node looks for a character in the order that its children came in: common ones, which have the lower ids, come first
+        self._ordered = sorted(self.reached, key=lambda p: (len(p) > 1, self.ids[p]))
+        for p in self._ordered:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None) for p in self.reached}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._cache = Recent(_MOST_CACHED)
+        self.side_by_side = self.falls and self.splits and self.prefix and self.known <= self.ids.keys() and min(self.byte_ids) >= 0
+        if self.side_by_side:
+            self._tables()
         raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(SPACE, " ").encode()
                for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._raw = pa.array(raw, pa.large_binary())
@@ -195,6 +204,136 @@ class Codec:
             else:  # two characters
                 return True
 
+    def _tables(self) -> None:
+        """Arrays over piece ids for ``encode_units``."""
+        n = len(self.pieces)
+        self._len = np.array([len(p) for p in self.pieces], np.int32)
+        self._next_shorter = np.full(n, -1, np.int32)
+        self._level = np.full(n, np.inf)
+        self._left, self._right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self._coded = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in self._ordered:
+            k = self.ids[p]
+            self._coded.add_word(p, k)
+            self._level[k] = self.level[p]
+            if self.shorter[p] is not None:
+                self._next_shorter[k] = self.ids[self.shorter[p]]
+            if len(p) > 1:
+                self._left[k], self._right[k] = (self.ids[h] for h in self.halves[p])
+        self._coded.make_automaton()
+        unions = sorted((self.ids[p[:i]] * n + self.ids[p[i:]], -s) for p, s in self.score.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids)
+        self._union = np.array([k for k, _ in unions] or [-1], np.int64)
+        self._union_level = np.array([x for _, x in unions] or [np.inf])
+        self._known_char = np.zeros(0x110000, bool)
+        self._known_char[[ord(c) for c in self.known]] = True
+        self._gap = next(c for c in "\n\0\1\2" if c not in self.known)
+        self._memo_key, self._memo = np.full(1 << _MEMO_BITS, -1, np.int64), np.zeros(1 << _MEMO_BITS, bool)
+
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` for arrays of ids; what was found lately is remembered under a hash of the pair."""
+        key = a * len(self.pieces) + b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+        out = self._memo[slot]
+        new = np.flatnonzero(self._memo_key[slot] != key)
+        if len(new):
+            fits = np.ones(len(new), bool)
+            at, a, b = np.arange(len(new)), a[new], b[new]
+            limit, right = np.full(len(new), np.inf), np.zeros(len(new), bool)
+            while len(at):
+                union = a * len(self.pieces) + b
+                i = np.minimum(np.searchsorted(self._union, union), len(self._union) - 1)
+                first = self._union_level[i]
+                clash = (self._union[i] == union) & ((first < limit) | (right & (first == limit)))  # of equals the leftmost comes first
+                fits[at[clash]] = False
+                x, y = self._level[a], self._level[b]
+                left = x > y
+                on = np.flatnonzero(~clash & (left | (self._len[b] > 1)))
+                at, a, b, left, limit = at[on], a[on], b[on], left[on], np.maximum(x, y)[on]
+                right = ~left
+                a, b = np.where(left, self._right[a], a), np.where(left, b, self._left[b])
+            out[new] = fits
+            self._memo_key[slot[new]], self._memo[slot[new]] = key[new], fits
+        return out
+
+    def _encode_block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, ids of each word, whether it was done here) for words with the sign of the space before them."""
+        text = self._gap.join(words) + self._gap
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        known = self._known_char[chars]
+        gap = chars == ord(self._gap)
+        ends = np.cumsum(np.array([len(w) + 1 for w in words], np.int64))
+        size = np.diff(ends, prepend=0)
+        strange = np.concatenate([[0], np.cumsum(~(known | gap))])
+        done = (strange[ends] == strange[ends - size]) & (size <= 400)
+        known &= np.repeat(done, size)
+        n = len(chars)
+        found = np.fromiter(itertools.chain.from_iterable(self._coded.iter(text)), np.int64).reshape(-1, 2)
+        longest = np.full(n, -1, np.int32)
+        longest[found[:, 0] - self._len[found[:, 1]] + 1] = found[:, 1]  # longer ends come later for one start
+        del found
+        edge = np.flatnonzero(np.diff(known, prepend=False, append=False))
+        pos, stop = edge[::2], edge[1::2]  # runs of known characters
+        chosen, came = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        failed, path = np.zeros(n + 1, bool), np.zeros(n, bool)  # failed: the bitfield of positions that no valid rest begins at
+        piece, last = longest[pos], np.full(len(pos), -1, np.int32)
+        while len(pos):
+            end = pos + self._len[piece]
+            ok = (piece >= 0) & ~failed[end]
+            ask = np.flatnonzero(ok & (last >= 0))
+            ok[ask] = self._compatible(last[ask].astype(np.int64), piece[ask].astype(np.int64))
+            none = np.flatnonzero(piece < 0)
+            if len(none):  # the piece before is taken back
+                failed[pos[none]] = True
+                back = came[pos[none]]
+                if (back < 0).any():
+                    raise ValueError("a text has no encoding")
+                path[back] = False
+                before = came[back]
+                pos[none], piece[none] = back, chosen[back]
+                last[none] = np.where(before < 0, -1, chosen[before])
+            take = np.flatnonzero(ok)
+            at, to = pos[take], end[take]
+            chosen[at], path[at] = piece[take], True
+            piece[~ok] = self._next_shorter[piece[~ok]]
+            over = to == stop[take]
+            on, to_on = take[~over], to[~over]
+            came[to_on], last[on] = at[~over], piece[on]
+            pos[on], piece[on] = to_on, longest[to_on]
+            if over.any():
+                left = np.ones(len(pos), bool)
+                left[take[over]] = False
+                pos, stop, piece, last = pos[left], stop[left], piece[left], last[left]
+        inside = gap & np.repeat(done, size)
+        inside[ends - 1] = False
+        chosen[inside], path[inside] = self.byte_ids[ord(self._gap)], True
+        upto = np.concatenate([[0], np.cumsum(path)])
+        return chosen[path], upto[ends] - upto[ends - size], done
+
+    def encode_units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, begin and number of those of each unit); units with unknown characters or of 400 characters and more are encoded one by one."""
+        begin, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        tables: list[np.ndarray] = []
+        total = i = 0
+        rest = range(len(words))
+        if self.side_by_side:
+            alone: list[np.ndarray] = []
+            ends = np.cumsum(np.array([len(w) for w in words], np.int64))
+            while i < len(words):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _BLOCK, "right")))
+                table, n, done = self._encode_block(words[i:j])
+                count[i:j], begin[i:j] = n, total + np.cumsum(n) - n
+                alone.append(np.flatnonzero(~done) + i)
+                tables.append(table)
+                total += len(table)
+                i = j
+            rest = np.concatenate(alone).tolist() if alone else []
+        for k in rest:
+            own = np.array(self.unit(words[k]), np.int32)
+            begin[k], count[k] = total, len(own)
+            tables.append(own)
+            total += len(own)
+        return np.concatenate([*tables, np.zeros(0, np.int32)]), begin, count
+
     def backtrack(self, text: str) -> list[str]:
         """The encoding of a text of known characters without pieces of tied scores."""
         longest: list[str | None] = [None] * len(text)
@@ -303,14 +442,13 @@ class Codec:
         need = np.zeros(len(coded.dictionary), bool)
         codes = np.asarray(coded.indices)
         need[codes[~np.repeat(slow, np.diff(off))]] = True
-        ids = [self.unit(SPACE + w) if n else [] for w, n in zip(coded.dictionary.to_pylist(), need.tolist(), strict=True)]
-        count = np.array([len(x) for x in ids], np.int64)
-        table = np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))
-        start = np.concatenate([[0], np.cumsum(count)])
+        table, begin, number = self.encode_units([SPACE + w for w in coded.dictionary.filter(pa.array(need)).to_pylist()])
+        start, count = np.zeros(len(need), np.int64), np.zeros(len(need), np.int64)
+        start[need], count[need] = begin, number
         each = count[codes]
         each[np.repeat(slow, np.diff(off))] = 0
         ends = np.concatenate([[0], np.cumsum(each)])
-        take = np.repeat(start[:-1][codes] - ends[:-1], each) + np.arange(ends[-1])
+        take = np.repeat(start[codes] - ends[:-1], each) + np.arange(ends[-1])
         out = table[take]
         per_row = ends[off]
         if slow.any():

@@ -278,6 +278,23 @@ def test_codec_equals_sentencepiece():
     assert codec.decode_array(pa.array([None, [], [3, 200]], pa.list_(pa.int32()))).to_pylist()[:2] == [None, ""]
 
 
+@needs_model
+def test_units_side_by_side_equal_one_by_one(monkeypatch):
+    """Blocks of few characters, pairs remembered under few hashes, line breaks, unknown characters and long units."""
+    monkeypatch.setattr(sentencepiece_codec, "_BLOCK", 40)
+    monkeypatch.setattr(sentencepiece_codec, "_MEMO_BITS", 3)
+    codec = sentencepiece_codec.load()
+    assert codec.side_by_side
+    rnd = random.Random(8)
+    pieces = [p.strip("▁") for p in codec.pieces[300:] if p.strip("▁")]
+    words = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 6))) for _ in range(400)]
+    words += ["\n", "\n\nab\n", "a\x00b", "\U0001f600", "x\U0001f600y", "ab" * 150, "ab" * 300, "a" * 399, "q"]
+    units = ["▁" + w for w in words]
+    table, begin, count = codec.encode_units(units)
+    assert [table[b: b + n].tolist() for b, n in zip(begin, count)] == [list(codec.unit(u)) for u in units]
+    assert len(codec.encode_units([])[0]) == 0
+
+
 @needs_model
 def test_codec_on_tables(docs):
     rows = [(1, None), (2, ""), (3, "Hello  world\nagain"), (3, "Hello  world\nagain"), (4, "x" * 100_000)]
