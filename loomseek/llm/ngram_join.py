@@ -12,6 +12,11 @@ Plan: (1) a frequency sketch of fixed size, summed by chunk; (2) prefixes, packe
 range of hashes and shuffled once by range; (3) pairs within ranges, their shared counts packed and summed by pair;
 (4) candidates verified on whole sets, their texts fetched by key once for each block of candidates.
 
+Texts that share a passage or are near copies of one text give runs of entries with the same n-gram, and pairs as the
+square of the run. A run of more than MOST_RUN is not expanded: its texts become one group (groups that share a text
+are merged), and all pairs within a group are verified by products of 0-1 matrices, tile by tile. A tile sends on how many
+partners each text has, and stars that connect what it linked, so what leaves a tile grows with its texts, not with its pairs.
+
 Definitions. Words are runs of letters and numbers in lower case; a text of fewer than n words has one n-gram, all its words; a null
 text, or one without words, has no partner but its copies. Identical texts are one unit and always alike. A unit's key is a
 64-bit hash; texts that share it are told apart by a second one, so units are told apart by 128 bits.
@@ -43,6 +48,10 @@ _MOST_PAIRS = 4_000_000
 #: Characters of the texts of a block of pairs to verify, about.
 _BLOCK_CHARS = 16_000_000
 _VERIFY_COST = 0.05
+#: Entries with the same n-gram, of sizes that can be partners, that are expanded into pairs; longer runs make a group.
+MOST_RUN = 200
+#: Characters of the texts of one side of a tile, about; a text counts as _TEXT_CHARS more, so a side has at most 2,000 texts.
+_TILE_CHARS, _TEXT_CHARS = 8_000_000, 4000
 
 
 def _sets(text: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,13 +195,27 @@ def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
     return (*out, low.view("<u8").ravel())
 
 
-def _pairs(threshold: float, bits: int, parts: int):
+def _grouped(doc: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(docs, the least one connected to each) of adjacent runs of docs with these lengths; a run connects its docs."""
+    own, d = np.unique(doc, return_inverse=True)
+    label, start = np.arange(len(own)), np.cumsum(length) - length
+    while True:
+        least = label.copy()
+        np.minimum.at(least, d, np.repeat(np.minimum.reduceat(label[d], start), length))
+        least = least[least]
+        if (least == label).all():
+            return own, own[label]
+        label = least
+
+
+def _pairs(threshold: float, bits: int, parts: int, most_run: int):
     """Within each range of hashes: pairs of units, how many prefix n-grams they share there, how many they need.
 
     A pair may be sent on more than once, with parts of what it shares, so that a worker holds a bounded number of them.
+    Of runs longer than ``most_run`` the units are sent in place of the pairs (``grouped``): unit, least unit, size.
     """
 
-    def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flush(current: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         unpacked = [_unpack(b) for b in blobs]
         unit = np.concatenate([u[0] for u in unpacked])
         size = np.concatenate([u[1] for u in unpacked]).astype(np.int64)
@@ -208,10 +231,15 @@ def _pairs(threshold: float, bits: int, parts: int):
         order = np.lexsort((size[doc], key))
         key, doc = key[order], doc[order]
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+        new[1:] = (key[1:] != key[:-1]) | (size[doc[1:]] * threshold > size[doc[:-1]] + 1e-9)  # no pair reaches across a gap in size
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(key)))
-        shared_start, shared_length = start[length > 1], length[length > 1]
+        long = length > most_run
+        if long.any():
+            own, least = _grouped(doc[np.repeat(long, length)], length[long])
+            data = np.stack([unit[own], unit[least], size[own]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([data], pa.binary()), pa.array([True])], ["part", "data", "grouped"])
+        shared_start, shared_length = start[(length > 1) & ~long], length[(length > 1) & ~long]
         step = 1
         found: list[np.ndarray] = []
         code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -253,12 +281,12 @@ def _pairs(threshold: float, bits: int, parts: int):
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if part != current and blobs:
-                    yield from flush(blobs)
+                    yield from flush(current, blobs)
                     blobs = []
                 current = part
                 blobs.append(data)
         if blobs:
-            yield from flush(blobs)
+            yield from flush(current, blobs)
 
     return run
 
@@ -274,7 +302,7 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, b
     some = np.flatnonzero(np.diff(edge))
     blob = [_squeeze(*(x[edge[p]: edge[p + 1]] for x in (a, b, n, need))) for p in some]
     if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blob, pa.binary())], ["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blob, pa.binary()), pa.array([False] * len(some))], ["part", "data", "grouped"])
 
 
 def _squeeze(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> bytes:
@@ -297,7 +325,7 @@ def _unsqueeze(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the shared counts of each pair and keeps those with enough."""
+    """Sums the shared counts of each pair and keeps those with enough. Units of groups pass: unit, another of its group, size."""
 
     def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols = zip(*(_unsqueeze(x) for x in blobs), strict=True)
@@ -308,11 +336,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(new)
         keep = start[np.add.reduceat(n, start) >= np.minimum.reduceat(need, start)] if len(start) else start
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.nulls(len(keep), pa.int64())], ["a", "b", "size"])
 
     current, blobs = None, []
     for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part, data, grouped in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if grouped:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(data, "<i8").reshape(3, -1)], ["a", "b", "size"])
+                continue
             if part != current and blobs:
                 yield from flush(blobs)
                 blobs = []
@@ -372,8 +403,150 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def candidate_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
-    """Pairs (a, b) of unit keys (all of which are in ``keys``), a < b, that share enough prefix n-grams; no pair that reaches the threshold is missing.
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``a`` shares with each one of ``b``.
+
+    Values in many sets of both are counted by products of matrices, the others pair by pair.
+    """
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+
+    def sorted_by_value(sets: list[np.ndarray], v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        ok = both[at] == v
+        at, row = at[ok], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order], np.bincount(at, minlength=len(both))
+
+    (at_a, row_a, count_a), (at_b, row_b, count_b) = sorted_by_value(a, va), sorted_by_value(b, vb)
+    dense = count_a * count_b > len(a) * len(b) / 300  # a pair costs as much as some 300 steps of a product
+    column, wide = np.cumsum(dense) - 1, max(64, 4_000_000 // (len(a) + len(b)))
+    for low in range(0, int(dense.sum()), wide):
+        sides = []
+        for at, row, sets in ((at_a, row_a, a), (at_b, row_b, b)):
+            own = dense[at] & (column[at] >= low) & (column[at] < low + wide)
+            x = np.zeros((len(sets), min(wide, int(dense.sum()) - low)), np.float32)
+            x[row[own], column[at[own]] - low] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    first_a, first_b, rare = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b, np.flatnonzero(~dense)
+    ends = np.cumsum(count_a[rare] * count_b[rare])
+    i = 0
+    while i < len(rare):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 2_000_000, "right")))
+        v = rare[i:j]
+        each = count_a[v] * count_b[v]
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        v = np.repeat(v, each)
+        np.add.at(out, (row_a[first_a[v] + k // count_b[v]], row_b[first_b[v] + k % count_b[v]]), np.float32(1))
+        i = j
+    return out
+
+
+def _stars(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row that stands for what ``link`` connects, for each row and for each column; -1 where nothing does."""
+    row, column = np.full(link.shape[0], -1), np.full(link.shape[1], -1)
+    for r in np.flatnonzero(link.any(1)):
+        front = np.array([r]) if row[r] < 0 else np.zeros(0, np.int64)
+        row[front] = r
+        while len(front):
+            met = np.flatnonzero(link[front].any(0) & (column < 0))
+            column[met] = r
+            front = np.flatnonzero(link[:, met].any(1) & (row < 0))
+            row[front] = r
+    return row, column
+
+
+def _packed_sets(n: int):
+    """Rows (unit, root, piece, rows, text) with the set in place of the text: a tile needs no hashing, which takes most of the time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.names.index("text"))
+            for i, j in slices(text):
+                own = [(i + k, s.astype("<u8").tobytes()) for k, s in _sets(text.slice(i, j - i), n)]
+                at = pa.array([k for k, _ in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).take(at) for c in ("unit", "root", "piece", "rows")), pa.array([s for _, s in own], pa.binary())],
+                                                 ["unit", "root", "piece", "rows", "grams"])
+
+    return run
+
+
+def _tiles(threshold: float):
+    """Over rows sorted by tile: the rows of a unit's partners in the tile (a, linked), and units that links connect (a, b)."""
+
+    def settle(sides: list[list[tuple[int, int, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        one = not sides[1]
+        x, y = sides[0], sides[0] if one else sides[1]
+        unit_x, unit_y = (np.array([r[0] for r in z], np.int64) for z in (x, y))
+        rows_x, rows_y = (np.array([r[1] for r in z], np.int64) for z in (x, y))
+        size_x, size_y = (np.array([len(r[2]) for r in z]) for z in (x, y))
+        both = _shared([r[2] for r in x], [r[2] for r in y])
+        link = np.zeros(both.shape, bool)
+        for i in range(0, len(x), 256):
+            c = both[i: i + 256].astype(np.float64)
+            link[i: i + 256] = c >= threshold * (size_x[i: i + 256, None] + size_y - c) - 1e-9
+        if one:
+            np.fill_diagonal(link, False)
+        linked = [(unit_x, link @ rows_y)] + ([] if one else [(unit_y, rows_x @ link)])
+        if one:
+            np.fill_diagonal(link, True)
+        for unit, count in linked:
+            a = unit[count > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(count[count > 0])], ["a", "b", "linked"])
+        for unit, star in zip((unit_x, unit_y), _stars(link), strict=True):
+            a, b = unit_x[star[star >= 0]], unit[star >= 0]
+            a, b = a[a != b], b[a != b]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides = None, [[], []]
+        for batch in batches:
+            names = batch.schema.names
+            keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in ("root", "x", "y")), strict=True))
+            for key, side, unit, rows, grams in zip(keys, *(batch.column(names.index(c)).to_pylist() for c in ("side", "unit", "rows", "grams")), strict=True):
+                if key != tile:
+                    if tile:
+                        yield from settle(sides)
+                    tile, sides = key, [[], []]
+                sides[side].append((unit, rows, np.frombuffer(grams, "<u8")))
+        if tile:
+            yield from settle(sides)
+
+    return run
+
+
+def group_links(units: DataFrame, groups: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
+    """All links within ``groups`` (unit, root, size, chars, rows): the rows of a unit's partners (a, linked; several rows for
+    one unit), and units that links connect (a, b).
+
+    The units of a group, in the order of their sizes, are cut into pieces, and each pair of pieces with sizes that can be
+    partners is a tile.
+    """
+    spark = units.sparkSession
+    weight = F.col("chars") + F.lit(_TEXT_CHARS)
+    before = F.sum(weight).over(Window.partitionBy("root").orderBy("size", "unit")) - weight
+    pieces = written(groups.select("unit", "root", "size", "rows", F.floor(before / _TILE_CHARS).cast("int").alias("piece")), f"{folder}/pieces")
+    x = written(pieces.groupBy("root", "piece").agg(F.min("size").alias("least"), F.max("size").alias("most")), f"{folder}/piece-sizes")
+    y = x.select("root", F.col("piece").alias("y"), F.col("least").alias("least_y"))
+    tiles = x.withColumnRenamed("piece", "x").join(y, "root").where(f"x = y OR x < y AND least_y * {threshold!r}D <= most + 1e-9D").select("root", "x", "y")
+    one, two = F.struct(F.col("x").alias("piece"), F.lit(0).alias("side")), F.struct(F.col("y").alias("piece"), F.lit(1).alias("side"))
+    sides = tiles.select("root", "x", "y", F.explode(F.when(F.expr("x = y"), F.array(one)).otherwise(F.array(one, two))).alias("of")).select("root", "x", "y", "of.piece", "of.side")
+    sides = written(sides, f"{folder}/sides")
+    texts = matched(units.select("unit", "text"), pieces, "unit", "left_semi").dropDuplicates(["unit"])
+    sets = texts.join(pieces, "unit").select("unit", "root", "piece", "rows", "text").mapInArrow(_packed_sets(n), "unit long, root long, piece int, rows long, grams binary")
+    sets = written(sets, f"{folder}/group-sets")
+    rows = sets.join(F.broadcast(sides) if small(sides, row_bytes=32) else sides, ["root", "piece"]).select("root", "x", "y", "side", "unit", "rows", "grams")
+    done = rows.repartition(tasks(spark), "root", "x", "y").sortWithinPartitions("root", "x", "y", "side").mapInArrow(_tiles(threshold), "a long, b long, linked long")
+    return written(done, f"{folder}/group-links")
+
+
+def candidate_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str, most_run: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of unit keys (all of which are in ``keys``), a < b, that share enough prefix n-grams; and groups of
+    units (unit, root, size, chars, rows), or None if there are none. No pair that reaches the threshold is in neither; none is in both.
 
     Shared counts are summed under the leading bits of the keys, a few more than tell the units apart; where two units
     have the same, their counts add up, which can only make more candidates.
@@ -383,19 +556,30 @@ def candidate_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float,
     classes = spark.sparkContext.broadcast(table)
     parts = ranges(grams, tasks(spark), RANGE_GRAMS)
     bits = min(62, max(8, keys.count().bit_length() + 3))
-    data = placed(units.select("text", "unit").mapInArrow(_prefixes(classes, n, threshold, parts), "part int, data binary"), "part").mapInArrow(_pairs(threshold, bits, parts), "part int, data binary")
-    found = written(placed(data, "part").mapInArrow(_candidates, "a long, b long"), f"{folder}/shared")
+    data = (placed(units.select("text", "unit").mapInArrow(_prefixes(classes, n, threshold, parts), "part int, data binary"), "part")
+            .mapInArrow(_pairs(threshold, bits, parts, most_run), "part int, data binary, grouped boolean"))
+    every = written(placed(data, "part").mapInArrow(_candidates, "a long, b long, size long"), f"{folder}/shared")
+    found, grouped = every.where("size IS NULL").select("a", "b"), every.where("size IS NOT NULL")
     place = F.shiftrightunsigned("unit", 64 - bits)
     full = (found.join(keys.select(place.alias("a"), F.col("unit").alias("ua")), "a").join(keys.select(place.alias("b"), F.col("unit").alias("ub")), "b")
             .where("a <> b OR ua < ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")))
-    return written(full, f"{folder}/candidates")
-
-
-def unit_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
-    """Verified pairs of unit keys: a, b, overlap, unions (sizes of intersection and union). ``units`` and ``keys``: see as_units."""
+    groups = None
+    if not grouped.isEmpty():
+        root = components(grouped, f"{folder}/grouped")
+        one = grouped.groupBy(F.col("a").alias("unit")).agg(F.max("size").alias("size")).join(root, "unit")
+        groups = written(matched(keys, one, "unit", "left_semi").join(one, "unit").select("unit", "root", "size", "chars", "rows"), f"{folder}/groups")
+        of = lambda c: F.broadcast(x) if small(x := groups.select(F.col("unit").alias(c), F.col("root").alias(f"root_{c}"))) else x
+        full = full.join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+    return written(full, f"{folder}/candidates"), groups
+
+
+def unit_links(units: DataFrame, keys: DataFrame, n: int, threshold: float, folder: str, most_run: int) -> tuple[DataFrame, DataFrame | None]:
+    """Verified pairs of unit keys outside groups: a, b, overlap, unions (sizes of intersection and union); and what group_links
+    gives for the groups, or None. ``units`` and ``keys``: see as_units."""
     spark = units.sparkSession
-    found = candidate_pairs(units, keys, n, threshold, folder)
+    found, groups = candidate_pairs(units, keys, n, threshold, folder, most_run)
     release(spark)
+    within = None if groups is None else group_links(units, groups, n, threshold, folder)
     # Blocks: a unit's hub is its least partner (or itself), a pair belongs to the lesser hub of its two; near copies of one
     # text so come to one block, which gets each text once. Large hubs are split into pairs of chunks of bounded size.
     both = found.unionAll(found.select("b", "a"))
@@ -416,7 +600,13 @@ def unit_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float, fold
             .unionAll(blocks.select("hub", "ca", "cb", "a", "b", F.lit(None).cast("string"))))
     pairs = (rows.repartition(tasks(spark), "hub", "ca", "cb").sortWithinPartitions("hub", "ca", "cb", F.col("b").asc_nulls_first())
              .mapInArrow(_verify(n, threshold), "a long, b long, overlap long, unions long"))
-    return written(pairs, f"{folder}/pairs")
+    return written(pairs, f"{folder}/pairs"), within
+
+
+def connected(pairs: DataFrame, within: DataFrame | None) -> DataFrame:
+    """Edges (a, b) that connect what the links of unit_links connect."""
+    edges = pairs.select("a", "b")
+    return edges if within is None else edges.unionAll(within.where("b IS NOT NULL").select("a", "b"))
 
 
 def as_units(docs: DataFrame, folder: str, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, bool]:
@@ -445,7 +635,7 @@ def as_units(docs: DataFrame, folder: str, key: Callable[[Column], Column] = F.x
     return rows, keys.drop("clash"), apart
 
 
-def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64, most_run: int = MOST_RUN) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, links.
 
     Two rows are linked if their texts are identical or have at least that similarity; ``links`` is the number of other
@@ -456,12 +646,14 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Calla
     folder = shared_folder(docs.sparkSession, "near-classes")
     docs = spread(docs.select("doc_id", "text"))
     units, keys, _ = as_units(docs, folder, key)
-    pairs = unit_pairs(units, keys, n, threshold, folder)
-    root = components(pairs, f"{folder}/components")
+    pairs, within = unit_links(units, keys, n, threshold, folder, most_run)
+    root = components(connected(pairs, within), f"{folder}/components")
     some = written(keys.join(root, "unit", "left").where("rows > 1 OR root IS NOT NULL").select("unit", F.coalesce("root", "unit").alias("root"), "rows", "id"), f"{folder}/some")
     both = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
     counts = some.select(F.col("unit").alias("b"), "rows")
-    linked = both.join(F.broadcast(counts) if small(counts) else counts, "b").groupBy(F.col("a").alias("unit")).agg(F.sum("rows").alias("linked"))
+    linked = both.join(F.broadcast(counts) if small(counts) else counts, "b").select("a", F.col("rows").alias("linked"))
+    linked = linked if within is None else linked.unionAll(within.where("linked IS NOT NULL").select("a", "linked"))
+    linked = linked.groupBy(F.col("a").alias("unit")).agg(F.sum("linked").alias("linked"))
     least = some.groupBy("root").agg(F.min("id").alias("class_id"))
     facts = written(some.join(least, "root").join(linked, "unit", "left")
                     .select("unit", "class_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("links")), f"{folder}/facts")
@@ -520,7 +712,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in star], pa.int64()), pa.array([s[1] for s in star], pa.int64())], ["a", "b"])
 
 
-def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[[Column], Column] = F.xxhash64, most_run: int = MOST_RUN) -> DataFrame:
     """``docs`` with one text of each group of near duplicates, the one with the smallest id; all columns unchanged.
 
     A group is what pairs connect. Identical texts stay or go together (exact deduplication is its own operator);
@@ -528,7 +720,7 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: Callable[
     """
     folder = shared_folder(docs.sparkSession, "near-groups")
     units, keys, told = as_units(docs, folder, key)
-    root = components(unit_pairs(units, keys, n, threshold, folder), f"{folder}/components")
+    root = components(connected(*unit_links(units, keys, n, threshold, folder, most_run)), f"{folder}/components")
     ranked = root.join(keys, "unit").select("unit", "root", F.struct(F.col("id").isNull(), "id", "unit").alias("place"))
     best = ranked.groupBy("root").agg(F.min_by("unit", "place").alias("best"))
     gone = written(ranked.join(best, "root").where("unit <> best").select("unit"), f"{folder}/gone")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,37 @@ def test_near_classes_and_groups(docs, seed):
         assert (i in kept) == stays, i
 
 
+def _runs_of(texts, most_run):
+    """What leaves the ranges for these texts: packed pairs, and units of groups."""
+    sets = [s for _, s in ngram_join._sets(pa.array(texts), 3)]
+    rows = [(k, len(s), 1, s) for k, s in enumerate(sets)]
+    out = [b for b in ngram_join._pairs(0.5, 40, 1, most_run)(iter([ngram_join._pack(rows, 1)]))]
+    pairs = sum(len(ngram_join._unsqueeze(x)[0]) for b in out for x, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if not g)
+    return pairs, sum(len(x) // 24 for b in out for x, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if g)
+
+
+def test_long_runs_send_texts_and_not_pairs():
+    family = [f"{' '.join(f'w{k}' for k in range(20))} own{j} more{j}" for j in range(300)]
+    assert _runs_of(family, 100) == (0, 300)
+    assert _runs_of(family, 300) == (300 * 299 // 2, 0)
+    # runs end where sizes can't be partners
+    sizes = [f"{' '.join(f'w{k}' for k in range(10))} {' '.join(f'{j}x{k}' for k in range(j % 2 * 60))}" for j in range(100)]
+    assert _runs_of([*sizes[::2][:1], *sizes[1::2]], 50)[1] == 0
+
+
+def test_shared_counts_and_stars():
+    r = np.random.default_rng(1)
+    a, b = ([np.unique(r.integers(0, high, 50).astype(np.uint64)) for high in (60, 60, 60, 5000, 10**9)] for _ in range(2))
+    a, b = a * 30, b * 20
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert (ngram_join._shared(a, b) == want).all()
+    assert (ngram_join._shared(a[:1], [np.array([10**18], np.uint64)]) == 0).all()
+    link = np.zeros((4, 3), bool)
+    link[0, 1] = link[2, 1] = link[2, 2] = link[3, 0] = True
+    row, column = ngram_join._stars(link)
+    assert row.tolist() == [0, -1, 0, 3] and column.tolist() == [3, 0, 0]
+
+
 def test_choose_prefix_never_loses():
     r = random.Random(5)
     for _ in range(3000):
