@@ -194,6 +194,45 @@ def test_near_classes_and_groups(docs, seed):
         assert (i in kept) == stays, i
 
 
+def family_rows(seed):
+    """Near copies of three texts, some with a passage in common, and texts that are mostly that passage; with exact copies."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    passage = [r.choice(words) for _ in range(30)]
+    rows = []
+    for k, base in enumerate([[r.choice(words) for _ in range(size)] for size in (60, 90, 25)]):
+        for _ in range(70):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 3, 8, 14))):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append(" ".join(w + passage * (k == 2)))
+    rows += [" ".join(passage + [r.choice(words) for _ in range(r.randint(2, 70))]) for _ in range(70)]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("most_run", [2, 20])
+def test_groups_lose_no_link(docs, monkeypatch, most_run):
+    """Runs in groups and tiles of several pieces give what brute force gives."""
+    monkeypatch.setattr(ngram_join, "_TILE_CHARS", 150_000)
+    rows = family_rows(most_run)
+    want = brute_pairs(rows)
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_classes(docs(rows), most_run=most_run).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: sum(i in p for p in want) for i, _ in rows}
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in want:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: c for i, (c, _) in got.items()} == {i: find(i) for i, _ in rows}
+    kept = {r.doc_id for r in ngram_join.keep_one(docs(rows), most_run=most_run).collect()}
+    assert kept == {i for i, t in rows if t == rows[find(i)][1]}
+
+
 def _runs_of(texts, most_run):
     """What leaves the ranges for these texts: packed pairs, and units of groups."""
     sets = [s for _, s in ngram_join._sets(pa.array(texts), 3)]
