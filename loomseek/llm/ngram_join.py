@@ -8,7 +8,7 @@ these two sizes need, less the longer of the two rests outside the prefixes (wha
 that ends first lies in both). The choice minimises the estimated cost, entries plus candidates to verify, from a sketch
 of n-gram frequencies over the whole corpus.
 
-Plan: (1) a frequency sketch of fixed size, summed by chunk; (2) prefixes, packed into one binary row for each task and
+Plan: (1) a frequency sketch that grows with the corpus up to a fixed size, summed by chunk; (2) prefixes, packed into one binary row for each task and
 range of hashes and shuffled once by range; (3) pairs within ranges, their shared counts packed and summed by pair;
 (4) candidates verified on whole sets, their texts fetched by key once for each block of candidates.
 
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from loomseek.functions.partitions import spread
 from loomseek.llm.shared import fresh, matched, mix, ngram_hashes, placed, ranges, release, shared_folder, slices, small, tasks, word_hashes, written
 
-#: The sketch has 2 ** SKETCH_BITS counters, sent as CHUNKS rows by each task and broadcast as a byte each (4 MB).
-SKETCH_BITS, CHUNKS = 22, 16
+#: The sketch has 2 ** bits counters, sent in rows of 2 ** CHUNK_BITS by each task and broadcast as a byte each. The bits follow the
+#: corpus between these two (4 to 32 MB), so that a counter has some CELL_CHARS characters of text: what falls in one by chance hides frequent n-grams.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 22, 25, 18
+CELL_CHARS = 64
 MOST_MATCHES = 8
 _KEY_BITS = 40
 #: N-grams in a range of hashes, at most about; a range is what a worker holds at once.
@@ -62,47 +64,72 @@ def _sets(text: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + int(k), np.unique(h[off[k]: off[k + 1]])
 
 
-def _sketch(n: int):
+def sketch_bits(chars: int) -> int:
+    """Bits of a sketch of texts of so many characters."""
+    return min(MOST_BITS, max(LEAST_BITS, (chars // CELL_CHARS).bit_length()))
+
+
+def _sketch(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), False
+        counts, any_ = np.zeros(1 << bits, "<u2"), False
         for batch in batches:
             hashes = [s for _, s in _sets(batch.column(0), n)]
             for i in range(0, len(hashes), 512):
-                cell = (np.concatenate(hashes[i: i + 512]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                cell = (np.concatenate(hashes[i: i + 512]) >> np.uint64(64 - bits)).astype(np.int64)
                 at, c = np.unique(cell, return_counts=True)
-                counts[at] += c.astype(np.uint32)
+                counts[at] = np.minimum(counts[at] + c, 65535)
                 any_ = True
         if any_:
-            packed = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
-            # one text counts once in a cell, so a task of fewer than 65536 texts never meets the limit of its cells
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in packed], pa.binary())], ["chunk", "counts"])
+            packed = [_pack_counts(x) for x in counts.reshape(-1, 1 << CHUNK_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
     return run
 
 
-def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(zstandard.decompress(b.as_buffer()), "<u2").astype(np.int64)
-            total[chunk] = total[chunk] + x if chunk in total else x
-    for chunk, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([x.astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counters, most of them 0, as compressed byte planes of the steps from one that isn't to the next, and of their values."""
+    at = np.flatnonzero(counts)
+    cols = np.stack([np.diff(at, prepend=0), counts[at]]).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(cols.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)).tobytes(), 1)
+
 
+def _unpack_counts(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, their counts) of what _pack_counts gives."""
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(2, 4, -1)
+    step, count = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(2, -1).astype(np.int64)
+    return np.cumsum(step), count
 
-def frequency_classes(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """For each cell of the sketch, the rounded-up binary logarithm of its count above the average of rare cells; and the sum of all counts.
 
-    Counts cover all texts. The result has the same size for any corpus.
+def _classes(cells: int):
+    """Sums each chunk of so many counters: (chunk, classes of its cells, sum). Cells are dealt out by hash, so rare ones have the same average in any chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, count = _unpack_counts(b)
+                if chunk not in total:
+                    total[chunk] = np.zeros(cells, np.int64)
+                total[chunk][at] += count
+        for chunk, counts in total.items():
+            floor = int(np.median(counts))
+            cls = np.ceil(np.log2(np.maximum(1, counts - floor - int(2 * np.sqrt(floor)) + 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zstandard.compress(cls.tobytes(), 1)], pa.binary()), pa.array([int(counts.sum())])], ["chunk", "classes", "total"])
+
+    return run
+
+
+def frequency_classes(texts: DataFrame, n: int, bits: int = LEAST_BITS) -> tuple[np.ndarray, int]:
+    """For each of the 2 ** bits cells of the sketch, the rounded-up binary logarithm of its count above the average of rare cells; and the sum of all counts.
+
+    Counts cover all texts.
     """
-    rows = (texts.select("text").mapInArrow(_sketch(n), "chunk int, counts binary").repartition(CHUNKS, "chunk")
-            .mapInArrow(_sum_sketch, "chunk int, counts binary").collect())
-    counts = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int64)
+    rows = (texts.select("text").mapInArrow(_sketch(n, bits), "chunk int, counts binary").repartition(1 << (bits - CHUNK_BITS), "chunk")
+            .mapInArrow(_classes(1 << CHUNK_BITS), "chunk int, classes binary, total long").collect())
+    table = np.zeros((1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in rows:
-        counts[r.chunk] = np.frombuffer(r.counts, "<u4")
-    counts = counts.ravel()
-    floor = int(np.median(counts))
-    return np.ceil(np.log2(np.maximum(1, counts - floor - int(2 * np.sqrt(floor)) + 1))).astype(np.uint8), int(counts.sum())
+        table[r.chunk] = np.frombuffer(zstandard.decompress(r.classes), np.uint8)
+    return table.ravel(), sum(r.total for r in rows)
 
 
 def overlap_needed(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -139,12 +166,13 @@ def _prefixes(classes, n: int, threshold: float, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
+        away = np.uint64(65 - len(table).bit_length())
         buffer: list[tuple[int, int, int, np.ndarray]] = []
         held = 0
         for batch in batches:
             units = batch.column(1).to_numpy()
             for row, s in _sets(batch.column(0), n):
-                cls = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                cls = table[(s >> away).astype(np.int64)]
                 order = np.argsort(cls, kind="stable")
                 matches, length = choose_prefix(cls[order], threshold)
                 buffer.append((int(units[row]), len(s), matches, s[order[:length]]))
@@ -552,7 +580,8 @@ def candidate_pairs(units: DataFrame, keys: DataFrame, n: int, threshold: float,
     have the same, their counts add up, which can only make more candidates.
     """
     spark = units.sparkSession
-    table, grams = frequency_classes(units, n)
+    table, grams = frequency_classes(units, n, sketch_bits(keys.agg(F.sum(F.col("chars") * F.col("rows"))).first()[0] or 0))
+    release(spark)
     classes = spark.sparkContext.broadcast(table)
     parts = ranges(grams, tasks(spark), RANGE_GRAMS)
     bits = min(62, max(8, keys.count().bit_length() + 3))

@@ -264,6 +264,32 @@ def test_shared_counts_and_stars():
     assert row.tolist() == [0, -1, 0, 3] and column.tolist() == [3, 0, 0]
 
 
+def test_sketch_grows_with_the_corpus(docs, monkeypatch):
+    """What falls into a cell by chance doesn't hide n-grams of 25 texts, however many texts there are."""
+    for name, value in (("LEAST_BITS", 12), ("MOST_BITS", 20), ("CHUNK_BITS", 12)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(20000)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [" ".join(r.choices(words, k=200)) + (f" {shared}" if i < 25 else "") for i in range(2000)]
+    units = docs(list(enumerate(texts))).select("text")
+    hot = np.unique(next(s for _, s in ngram_join._sets(pa.array([shared]), 3)))
+    rare = np.unique(np.concatenate([s for _, s in ngram_join._sets(pa.array(texts[25:]), 3)]))
+    bits = ngram_join.sketch_bits(sum(map(len, texts)))
+    table, total = ngram_join.frequency_classes(units, 3, bits)
+    assert total == sum(len(s) for _, s in ngram_join._sets(pa.array(texts), 3)) and len(table) == 1 << bits
+    cls = lambda s: table[(s >> np.uint64(64 - bits)).astype(np.int64)]
+    assert (cls(hot) >= 4).all() and (cls(rare) >= 4).mean() < 0.01
+
+
+def test_packed_counts():
+    for counts in (np.zeros(64, "<u2"), np.arange(64).astype("<u2"), np.where(np.arange(1 << 18) % 70001 == 5, 65535, 0).astype("<u2")):
+        out = np.zeros(len(counts), np.int64)
+        at, count = ngram_join._unpack_counts(ngram_join._pack_counts(counts))
+        out[at] += count
+        assert (out == counts).all()
+
+
 def test_choose_prefix_never_loses():
     r = random.Random(5)
     for _ in range(3000):
