@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import gc
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseek.functions.folders import shared_folder, written  # noqa: F401
+from loomseek.functions.arrays import SLICE_BYTES, buffers, slices  # noqa: F401
+from loomseek.functions.folders import filesystem, shared_folder, written  # noqa: F401
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text that are hashed at once; bounds the memory of a Python worker.
-SLICE_BYTES = 1 << 20
 _WORD_BASE = np.uint64(0x100000001B3)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a URI and the path in it; works in a task as on the driver. Hadoop's names of S3 are Arrow's."""
-    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-
-
 def release(spark: SparkSession) -> None:
     """Let go of finished steps' shuffle files: Spark deletes them when the driver's garbage, which has their last handles, is collected."""
     gc.collect()
@@ -62,31 +54,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array without nulls and the offsets of its values, the first 0."""
-    if pa.types.is_large_string(col.type):
-        kind, width = np.int64, 8
-    else:
-        kind, width = np.int32, 4
-    _, offs, data = col.buffers()
-    if offs is None or not len(col):
-        return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
-    off = np.frombuffer(offs, kind, len(col) + 1, col.offset * width).astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[off[0]: off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-    return raw, off - off[0]
-
-
-def slices(col: pa.Array, most: int = SLICE_BYTES):
-    """Ranges (i, j) of rows with about ``most`` bytes of text each, one row at least."""
-    size = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, i = np.cumsum(size), 0
-    while i < len(col):
-        before = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield i, j
-        i = j
-
-
 def plain_words(col: pa.Array) -> pa.Array:
     """Lower case, with every run of characters that are no letter or number made one space."""
     return pc.replace_substring_regex(pc.utf8_lower(col.fill_null("")), r"[^\pL\pN]+", " ")

@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomseek.functions import text as ft
+from loomseek.functions.arrays import slices
 from loomseek.functions import vectors as fv
 from loomseek.functions.html import HIDDEN_TAGS, VOID, PageRules, page_sections
 from loomseek.functions.paths import path_matches
@@ -180,3 +182,38 @@ def test_links_and_templates(spark):
     assert [r[0] for r in row] == ["/a#b", "/a#x", "/a"]
     assert one(spark, lambda x: ft.fill(x, query=F.lit("q"), count=F.lit(2)), "{count} for {query}") == "2 for q"
     assert re.fullmatch("[0-9a-f]{12}", one(spark, ft.content_hash, "x"))
+
+
+def test_split_tokens_equals_tokens(spark):
+    """The tokens of a worker's own pass are those of the functions on columns, for any text, in any company."""
+    r = random.Random(4)
+    alphabet = [*"aB é Ü ß Ω İ 中 한 😀 ́ ​ \x01 \n \t - $ ' 3 ½ ﬁ Σ ς ñ ¿ “ 豈 々 ー", "‍", "�", "\x0b", "\x1f", "\x85", " ", "ͅ", "ཾ", "\U0002f801", "\U00020001"]
+    texts = ["".join(r.choice(alphabet[:30] if i % 3 else "ab é.Ü") for _ in range(r.randint(0, 40))) for i in range(600)] + ["".join(r.choice(alphabet) for _ in range(30)) for _ in range(300)] + [None, ""]
+    want = [r[1] for r in sorted(spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", ft.tokens(F.col("x"))).collect())]
+    for cut in (1, 7, len(texts)):
+        got = []
+        for i in range(0, len(texts), cut):
+            found, off = ft.split_tokens(pa.array(texts[i: i + cut], pa.string()))
+            got += [found[a:b].to_pylist() for a, b in zip(off[:-1], off[1:], strict=True)]
+        assert got == want
+
+
+def test_texts_are_counted_in_slices(spark):
+    """A batch of any size leaves a worker in pieces of bounded size."""
+    texts = pa.array(["word " * 50_000] * 12)
+    assert [j - i for i, j in slices(texts)] == [4] * 3
+    rows = [(0, "Ab ab, c"), (1, None), (2, ""), (3, "ab")]
+    df = spark.createDataFrame(rows, "i int, x string")
+    assert [(r.t.dl, dict(zip(r.t.terms, r.t.tfs, strict=True))) for r in sorted(df.select("i", ft.text_terms(F.col("x")).alias("t")).collect())] == [(3, {"ab": 2, "c": 1}), (0, {}), (0, {}), (1, {"ab": 1})]
+    assert {(r.term, r.n) for r in ft.rows_with(df, F.col("x")).collect()} == {("ab", 2), ("c", 1)}
+
+
+def test_pages_are_parsed_in_slices(monkeypatch):
+    """No list of parsed pages is longer than a slice of the batch, whatever Spark puts into one."""
+    from loomseek.functions import html as fh
+
+    seen = []
+    monkeypatch.setattr(fh.pa, "array", lambda rows, kind: (seen.append(len(rows)), pa.lib.array(rows, kind))[1])
+    pages = pa.lib.array(["<h1>T</h1>" + "x " * 150_000] * 9 + [None])
+    got = list(fh.parsed(iter([pages]), PageRules()))
+    assert max(seen) == 4 and sum(map(len, got)) == 10 and got[-1][-1].as_py() is None and got[0][0].as_py()["sections"][0]["heading"] == "T"
