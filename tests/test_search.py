@@ -306,3 +306,34 @@ def test_query_equals_sql(spark, name):
     rows = con.execute(engine.ORACLE[name])
     at = [[d[0] for d in rows.description].index(c) for c in columns]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in rows.fetchall())
+
+
+def scattered(spark, docs, chunks, copies=1):
+    """Chunks of documents in any order over three tasks, with more rows than go into one batch where asked."""
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i}", c, [f"w{k}" for k in set(rng.integers(0, 9, 4).tolist())]) for i in range(docs) for c in range(chunks)] * copies
+    return spark.createDataFrame([(d, c, 5 * len(t), t, [int(k % 3 + 1) for k in range(len(t))]) for d, c, t in rows], "document string, chunk_ord int, dl int, terms array<string>, tfs array<int>")
+
+
+def test_bm25_of_cut_documents(spark):
+    """Documents whose chunks lie together are ranked in their tasks, those that are cut by a shuffle; both as by the formula over all pairs."""
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{(i * 2) % 9} none") for i in range(7)] + [("x", "nothing")], "query_id string, query string")
+    together = scattered(spark, 60, 3)
+    rows = together.collect()
+    n, avgdl = len(rows), sum(r.dl for r in rows) / len(rows)
+    df, want = {}, {}
+    for r in rows:
+        for t in r.terms:
+            df[t] = df.get(t, 0) + 1
+    for q in range(7):
+        for r in rows:
+            s = round(sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * r.dl / avgdl))) for t, f in zip(r.terms, r.tfs) if t in {f"w{q}", f"w{(q * 2) % 9}"}), 9)
+            if s > 0:
+                want[f"q{q}", r.document] = min(want.get((f"q{q}", r.document), (9, 0)), (-s, r.chunk_ord))
+    for table in (together.coalesce(1), together.repartition(3), together.repartitionByRange(3, "document", "chunk_ord").sortWithinPartitions("document")):
+        got = rk.keyword_rank(table, asked).collect()
+        assert len(got) == len(want) and {(r.query_id, r.document): (pytest.approx(-r.score, abs=2e-9), r.chunk_ord) for r in got} == want
+        first = rk.top(rk.keyword(table, asked).top(4), 4).collect()
+        assert {(r.query_id, r.rank): r.document for r in first} == {(q, i): d for q in {k[0] for k in want} for i, (_, d) in enumerate(sorted((s[0], d) for (p, d), s in want.items() if p == q)[:4], 1)}
+    plan = rk.keyword(together.coalesce(1), asked).partial()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # nothing is shuffled for documents that lie together
