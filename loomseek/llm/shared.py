@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,18 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseek.functions.arrays import SLICE_BYTES, buffers, slices  # noqa: F401
-from loomseek.functions.folders import filesystem, shared_folder, written  # noqa: F401
+from loomseek.functions.folders import filesystem, release, shared_folder, written  # noqa: F401
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0x100000001B3)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: Spark deletes them when the driver's garbage, which has their last handles, is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle of the size that the session is tuned for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -1,25 +1,31 @@
 """The binary bundle: a manifest and five content-hashed files; and models to read and write.
 
-Bundles are for exchange: they are single files in the order of the chunks, so the driver writes and reads them, and
-their size is that of one search index. The native index is the Parquet tables of :mod:`loomseek.plans.index`.
+Bundles are for exchange: they are single files in the order of the chunks, so the driver writes and reads them; the
+workers make their bytes, and the driver holds a piece of them at a time (write_bundle, stored_chunks). The native index is the Parquet tables of :mod:`loomseek.plans.index`.
 """
 
 from __future__ import annotations
 
+import filecmp
 import hashlib
 import json
 import math
 import os
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek.functions.folders import filesystem, release, shared_folder
+
 VERSION, DOC_SCALE = "1.0", 127
 FILES = ("chunks", "docs", "tokens", "scales", "vocab")
 #: The manifest's key for the version, where the caller names no other.
@@ -81,6 +87,10 @@ class Bundle:
         return spark.createDataFrame(rows, "token_id int, token string, v array<tinyint>, scale float")
 
 
+def _check_record(c: object) -> None:
+    _need(isinstance(c, dict) and set(_REQUIRED) <= set(c) <= {*_REQUIRED, *_OPTIONAL} and all(isinstance(v, str) for v in c.values()), "a chunk record is wrong")
+
+
 def from_bytes(manifest: bytes | dict, files: dict[str, bytes], version_key: str = VERSION_KEY) -> Bundle:
     """A bundle from the manifest and the bytes of the files it names."""
     m = check_manifest(json.loads(manifest.decode("utf-8")) if isinstance(manifest, bytes) else manifest, version_key)
@@ -93,7 +103,7 @@ def from_bytes(manifest: bytes | dict, files: dict[str, bytes], version_key: str
     chunks, vocab = json.loads(data["chunks"].decode("utf-8")), json.loads(data["vocab"].decode("utf-8"))
     _need(isinstance(chunks, list) and len(chunks) == m["n_chunks"], "the number of chunks differs")
     for c in chunks:
-        _need(isinstance(c, dict) and set(_REQUIRED) <= set(c) <= {*_REQUIRED, *_OPTIONAL} and all(isinstance(v, str) for v in c.values()), "a chunk record is wrong")
+        _check_record(c)
     _need(isinstance(vocab, list) and all(isinstance(t, str) for t in vocab) and len(vocab) == m["vocab_size"], "the vocabulary is wrong")
     _need(len(set(vocab)) == len(vocab), "a token occurs twice")
     shape = lambda b: np.frombuffer(b, np.int8).reshape(-1, m["dims"])
@@ -123,18 +133,120 @@ def read_bundle(folder: str, version_key: str = VERSION_KEY) -> Bundle:
     return fetch_bundle(fetch, name, version_key)
 
 
-def _hashed(folder: str, stem: str, ext: str, data: bytes) -> str:
-    name = f"{stem}.{hashlib.sha256(data).hexdigest()[:12]}.{ext}"
-    path = os.path.join(folder, name)
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            _need(f.read() == data, f"{name} exists with other content")
-    else:
-        with open(path, "wb") as f:
-            f.write(data)
+#: Bytes of a file, and rows of a table, that the driver holds at once.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 8192
+
+
+def _records(path: str) -> Iterator[dict]:
+    """The chunk records of a file, an array of JSON, of which a piece at a time is read."""
+    decoder, text, at = json.JSONDecoder(), "", 0
+    with open(path, encoding="utf-8") as f:
+        more = f.read(PIECE_BYTES)
+        text, state = more, "["
+        while True:
+            while at < len(text) and text[at] in " \t\n\r":
+                at += 1
+            if at < len(text) and state in "[,":  # what comes before a record, or ends the array
+                if text[at] == "]":
+                    break
+                _need(text[at] == state, "the chunks are no array")
+                at, state = at + 1, "{" if state == "," else "first"
+            elif at < len(text) and state == "first" and text[at] == "]":
+                break
+            elif at < len(text):
+                try:
+                    record, at = decoder.raw_decode(text, at)
+                except ValueError:
+                    more = f.read(PIECE_BYTES)
+                    _need(bool(more), "the chunks are no array")
+                    text, at = text[at:] + more, 0
+                    continue
+                _check_record(record)
+                yield record
+                state = ","
+            else:
+                more = f.read(PIECE_BYTES)
+                _need(bool(more), "the chunks are no array")
+                text, at = more, 0
+        _need(not (text[at + 1:] + f.read(PIECE_BYTES)).strip(), "the chunks are no array")
+
+
+def stored_chunks(spark: SparkSession, folder: str, version_key: str = VERSION_KEY) -> DataFrame:
+    """As ``read_bundle(folder).chunk_table(spark)`` for a bundle of any size: passed on to the shared folder piece by piece."""
+    with open(os.path.join(folder, "manifest.json"), "rb") as f:
+        m = check_manifest(json.loads(f.read().decode("utf-8")), version_key)
+    docs, dims, n = os.path.join(folder, m["files"]["docs"]), m["dims"], m["n_chunks"]
+    _need(os.path.getsize(docs) == n * dims, f"docs has {os.path.getsize(docs)} bytes, not {n * dims}")
+    uri, texts = shared_folder(spark, "bundle"), (*_REQUIRED, *_OPTIONAL)
+    fs, path = filesystem(uri)
+    fs.create_dir(path)
+    kind = pa.schema([("chunk_ix", pa.int64()), *((c, pa.string()) for c in texts), ("v", pa.list_(pa.int8()))])
+    done, part = 0, []
+
+    def piece() -> pa.Table:
+        raw = np.frombuffer(vectors.read(len(part) * dims), np.int8)
+        v = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) * dims).astype(np.int32)), pa.array(raw))
+        return pa.Table.from_arrays([pa.array(np.arange(done, done + len(part))), *(pa.array([r.get(c) for r in part], pa.string()) for c in texts), v], schema=kind)
+
+    with open(docs, "rb") as vectors, pq.ParquetWriter(f"{path}/chunks.parquet", kind, filesystem=fs, compression="zstd") as out:
+        for record in _records(os.path.join(folder, m["files"]["chunks"])):
+            _need(done + len(part) < n, "the number of chunks differs")
+            part.append(record)
+            if len(part) == PIECE_ROWS:
+                out.write_table(piece())
+                done, part = done + len(part), []
+        _need(done + len(part) == n, "the number of chunks differs")
+        out.write_table(piece())
+    return spark.read.schema(_CHUNK).parquet(uri)
+
+
+def _hashed(folder: str, stem: str, ext: str, data: bytes | Iterable[bytes]) -> str:
+    """Written under the name that its content gives."""
+    digest, new = hashlib.sha256(), os.path.join(folder, f"{stem}.{ext}.tmp")
+    try:
+        with open(new, "wb") as f:
+            for piece in [data] if isinstance(data, bytes) else data:
+                digest.update(piece)
+                f.write(piece)
+        name = f"{stem}.{digest.hexdigest()[:12]}.{ext}"
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            _need(filecmp.cmp(new, path, shallow=False), f"{name} exists with other content")
+        else:
+            os.replace(new, path)
+    finally:
+        if os.path.exists(new):
+            os.remove(new)
     return name
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks as the bytes they are in the files: records with commas between them, and vectors."""
+    for batch in batches:
+        for i in range(0, len(batch), PIECE_ROWS):
+            part = batch.slice(i, PIECE_ROWS)
+            columns = [part.column(c).to_pylist() for c in range(len(_REQUIRED) + len(_OPTIONAL))]
+            records = [{k: v for k, v in zip((*_REQUIRED, *_OPTIONAL), row, strict=True) if k in _REQUIRED or v is not None} for row in zip(*columns, strict=True)]
+            data = np.asarray(part.column(len(columns)).flatten()).astype(np.int8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([len(records)], pa.int64()), pa.array([_json(records)[1:-1]], pa.binary()), pa.array([data], pa.binary())], ["n", "records", "docs"])
+
+
+def _pieces(uri: str, column: str) -> Iterator[object]:
+    """A column of a table of _packed in the table's order, which is that of its files."""
+    fs, path = filesystem(uri)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda x: x.base_name):
+        if info.base_name.endswith(".parquet"):
+            for batch in pq.ParquetFile(info.path, filesystem=fs).iter_batches(4, columns=[column]):
+                yield from batch.column(0).to_pylist()
+
+
+def _array(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    yield b"["
+    for i, piece in enumerate(pieces):
+        yield b"," + piece if i else piece
+    yield b"]"
+
+
 def _json(value: object) -> bytes:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8")
 
@@ -156,25 +268,31 @@ def write_bundle(folder: str, chunks: DataFrame, model: DataFrame, *, model_id:
 
     _need(isinstance(model_id, str) and bool(model_id), "model_id must not be empty")
     os.makedirs(folder, exist_ok=True)
-    tokens = model.withColumn("scale", fv.row_scale(F.col("v"))).select("token_id", "token", fv.quantize(F.col("v"), F.col("scale")).alias("v"), "scale", F.size("v").alias("dims")).orderBy("token_id").collect()
-    _need(bool(tokens) and tokens[0].dims > 0, "a model needs a token and a dimension")
-    dims = tokens[0].dims
-    _need(all(t.dims == dims for t in tokens) and [t.token_id for t in tokens] == list(range(len(tokens))), "token ids must run from 0 and vectors have one length")
+    tokens = model.withColumn("scale", fv.row_scale(F.col("v"))).select("token_id", "token", fv.quantize(F.col("v"), F.col("scale")).alias("v"), "scale").orderBy("token_id").toArrow().combine_chunks()
+    sizes = [] if not len(tokens) else tokens["v"].combine_chunks().value_lengths().fill_null(-1).to_pylist()
+    _need(bool(sizes) and sizes[0] > 0, "a model needs a token and a dimension")
+    dims = sizes[0]
+    _need(all(x == dims for x in sizes) and tokens["token_id"].to_pylist() == list(range(len(tokens))), "token ids must run from 0 and vectors have one length")
     off = ~F.coalesce((F.size("v") == dims) & (F.abs(fv.l2_norm(F.col("v")) - 1) <= 2e-4), F.lit(False))
     if not quarantine:
         bad = chunks.where(off).select("document", "chunk_ord").head(5)
         _need(not bad, f"chunks without a unit vector: {[(b.document, b.chunk_ord) for b in bad]}")
-    rows = chunks.where(~off).withColumn("q", fv.to_int8(F.col("v"))).orderBy("doc_ord", "chunk_ord").toLocalIterator()
-    records, docs = [], bytearray()
-    for r in rows:
-        records.append({k: r[k] for k in (*_REQUIRED, *_OPTIONAL) if k in _REQUIRED or r[k] is not None})
-        docs += np.array(r.q, np.int8).tobytes()
+    spark = chunks.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    fields = chunks.where(~off).select("doc_ord", "chunk_ord", *_REQUIRED, *_OPTIONAL, fv.to_int8(F.col("v")).alias("v"))
+    rows = fields.repartitionByRange(parts, "doc_ord", "chunk_ord").sortWithinPartitions("doc_ord", "chunk_ord").drop("doc_ord", "chunk_ord")
+    packed = shared_folder(spark, "packed")
+    rows.mapInArrow(_packed, "n long, records binary, docs binary").write.option("compression", "zstd").parquet(packed)
+    release(spark)
+    n_chunks = sum(_pieces(packed, "n"))
     files = {
-        "chunks": _hashed(folder, "chunks", "json", _json(records)), "docs": _hashed(folder, "docs", "bin", bytes(docs)),
-        "tokens": _hashed(folder, "tokens", "bin", b"".join(np.array(t.v, np.int8).tobytes() for t in tokens)),
-        "scales": _hashed(folder, "scales", "bin", np.array([t.scale for t in tokens], "<f4").tobytes()), "vocab": _hashed(folder, "vocab", "json", _json([t.token for t in tokens])),
+        "chunks": _hashed(folder, "chunks", "json", _array(_pieces(packed, "records"))), "docs": _hashed(folder, "docs", "bin", _pieces(packed, "docs")),
+        "tokens": _hashed(folder, "tokens", "bin", np.asarray(tokens["v"].combine_chunks().flatten()).astype(np.int8).tobytes()),
+        "scales": _hashed(folder, "scales", "bin", tokens["scale"].to_numpy().astype("<f4").tobytes()), "vocab": _hashed(folder, "vocab", "json", _json(tokens["token"].to_pylist())),
     }
-    manifest = {version_key: VERSION, "model_id": model_id, "dims": dims, "vocab_size": len(tokens), "n_chunks": len(records), "chunk_size": chunk_size, "chunk_overlap": chunk_overlap,
+    fs, path = filesystem(packed)
+    fs.delete_dir(path)
+    manifest = {version_key: VERSION, "model_id": model_id, "dims": dims, "vocab_size": len(tokens), "n_chunks": n_chunks, "chunk_size": chunk_size, "chunk_overlap": chunk_overlap,
                 "title_prefix": title_prefix, "chunker_version": chunker_version, "doc_scale": DOC_SCALE, "files": files}
     _commit(folder, "manifest.json", check_manifest(manifest, version_key))
     for name in os.listdir(folder):

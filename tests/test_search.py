@@ -354,3 +354,21 @@ def test_first_of_a_fusion_equals_all_of_it(spark):
             columns = ["query_id", "rank", "document", "chunk_ord", "score"]
             assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and got.count() == 15 or docs < 9
     assert rk.depth([1.0, 1.0], 60, 10, 9) == 81 and rk.depth([1e-9], 60, 10, 9) is None
+
+
+def test_bundle_in_pieces(spark, index, tmp_path, monkeypatch):
+    """A bundle that is written and read in pieces of a few bytes and rows is the same as one that is read whole."""
+    folder, model = str(tmp_path / "b"), ix.dequantized(index.model).withColumnRenamed("term", "token")
+    table = with_vectors(index).crossJoin(spark.range(9)).withColumn("chunk_ord", (F.col("id") * 2 + F.col("chunk_ord")).cast("int")).withColumn("snippet", F.concat("snippet", F.lit(' "],[{é ☃\n'), F.col("id").cast("string")))
+    bundle.write_bundle(folder, table, model, model_id="m")
+    want = [tuple(r) for r in bundle.read_bundle(folder).chunk_table(spark).orderBy("chunk_ix").collect()]
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(bundle, "PIECE_BYTES", size)
+        monkeypatch.setattr(bundle, "PIECE_ROWS", size)
+        assert [tuple(r) for r in bundle.stored_chunks(spark, folder).orderBy("chunk_ix").collect()] == want and len(want) == 27
+    for wrong in (b"", b"[", b"{}", b"[1]", b"[{}]", b"[]x", b"[,]"):
+        (tmp_path / "w.json").write_bytes(wrong)
+        with pytest.raises(bundle.BundleError):
+            list(bundle._records(str(tmp_path / "w.json")))
+    (tmp_path / "w.json").write_bytes(b" [ ] ")
+    assert list(bundle._records(str(tmp_path / "w.json"))) == []
